@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,9 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-SAMPLE_DOCUMENTS = 2000
+SAMPLE_DOCUMENTS = 500
 #: Nats for each pair of characters by which the random model must be ahead.
-MARGIN = 0.25
+MARGIN = 1.0
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -75,8 +76,11 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list[flo
     b64 = F.base64(digest)
     made = F.array(b64, F.hex(digest), F.lower(F.hex(digest)), F.translate(b64, "+/=", ""), F.upper(F.translate(b64, "+/=", "")), F.translate(b64, "+/", "-_"))
     words = F.filter(F.split("text", "[^\\p{L}\\p{N}]+"), lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9]|[^A-Za-z]"))
-    pairs = F.transform(words, lambda w, i: F.concat(w, F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit(""), F.lit("/")), (i % 4 + 1).cast("int")), F.initcap(F.coalesce(F.get(words, i + 1), w))))
-    labelled = some.select(F.explode(made).alias("s"), F.lit(1).alias("y")).unionByName(some.select(F.explode(F.array_distinct(F.concat(words, pairs))).alias("s"), F.lit(0).alias("y")))
+    joint = F.array(F.lit("_"), F.lit("-"), F.lit(""), F.lit("/"))
+    ordinary = F.transform(
+        F.array(words), lambda ws: F.array_distinct(F.concat(ws, F.transform(ws, lambda w, i: F.concat(w, F.get(joint, i % 4), F.initcap(F.coalesce(F.get(ws, i + 1), w))))))
+    )[0]
+    labelled = some.select(F.explode(made).alias("s"), F.lit(1).alias("y")).unionByName(some.select(F.explode(ordinary).alias("s"), F.lit(0).alias("y")))
     counts = (
         labelled.where(F.length("s") > 1)
         .select("y", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"))
@@ -94,7 +98,7 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list[flo
 
 def random_ratio(word: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of a string's character pairs."""
-    size, weights = len(ALPHABET) + 1, F.array(*[F.lit(x) for x in model])
+    size, weights = len(ALPHABET) + 1, F.lit(np.array(model))
     codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
     total = F.transform(F.array(codes), lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), F.lit(0.0), lambda acc, i: acc + F.get(weights, F.get(c, i) * size + F.get(c, i + 1))) / (F.size(c) - 1))[0]
     return F.when(F.length(word) >= 2, total).otherwise(F.lit(0.0))
