@@ -185,7 +185,7 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary_
                     scores.append(0.0)
                     continue
                 words = words_of(t)
-                new = list(set(words).difference(known.keys()))
+                new = [w for w in set(words) if w not in known]
                 if new:
                     if len(known) + len(new) > most:
                         known.clear()
