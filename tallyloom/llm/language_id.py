@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,8 +32,23 @@ def vocabulary(path: str) -> dict[str, int]:
     return _vocabularies[path]
 
 
+_prefixes: dict[int, dict[str, int]] = {}
+
+
+def prefixes(pieces: dict[str, int]) -> dict[str, int]:
+    """Everything that a piece begins with: the number of the piece, or -1 where only longer ones are pieces."""
+    if id(pieces) not in _prefixes:
+        own = {p[:n]: -1 for p in pieces for n in range(1, len(p))}
+        _prefixes[id(pieces)] = own | pieces
+    return _prefixes[id(pieces)]
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """Runs of letters, in lower case."""
+    return _LETTERS.findall((text or "").lower())
 
 
 class Lattice:
@@ -43,15 +59,22 @@ class Lattice:
         self.n, self.t = len(marked), len(marked[0])
         none, other = len(pieces) + 1, len(pieces)
         self.piece = np.full((self.n, self.t, min(LONGEST, self.t)), none, "i4")
-        get = pieces.get
+        longer = prefixes(pieces)
+        rows, starts, sizes, ids = [], [], [], []
         for i, w in enumerate(marked):
-            own = self.piece[i]
             for a in range(self.t):
                 for b in range(a + 1, min(self.t, a + LONGEST) + 1):
-                    if (p := get(w[a:b])) is not None:
-                        own[a, b - a - 1] = p
-                if own[a, 0] == none:
-                    own[a, 0] = other
+                    part = w[a:b]
+                    if (p := longer.get(part)) is None:
+                        break
+                    if p >= 0:
+                        rows.append(i)
+                        starts.append(a)
+                        sizes.append(b - a - 1)
+                        ids.append(p)
+        self.piece[rows, starts, sizes] = ids
+        unknown = self.piece[:, :, 0] == none
+        self.piece[:, :, 0][unknown] = other
 
     def forward(self, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """prob[piece, language] (0 for none) -> alpha[n, end, language], scaled, and the log scale of each end."""
@@ -101,6 +124,8 @@ class Lattice:
 
 def _by_length(words: Sequence[str]) -> Iterator[np.ndarray]:
     """Indices of words of equal length, few at a time where words are long: memory stays bounded."""
+    if not len(words):
+        return
     sizes = np.array([len(w) for w in words])
     order = np.argsort(sizes, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
@@ -167,7 +192,7 @@ def train(docs: DataFrame, vocabulary_path: str, sample_documents: int = SAMPLE_
     return languages, prob
 
 
-def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary_path: str, most: int = 200_000) -> DataFrame:
+def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary_path: str, most: int = 600_000) -> DataFrame:
     """All columns of ``docs``, then _tl_lang, the language with the greatest probability of the whole
     text, and _tl_score, its share of the languages' probabilities; ``und`` and 0 if the text is null, has no
     letter, or no language is known. A word's probabilities are found once and kept, up to ``most``."""
@@ -179,28 +204,28 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary_
         log = np.zeros((1024, len(languages)))
         for batch in batches:
             names, scores = [], []
-            for t in batch.column(place).to_pylist():
-                if not languages or t is None or not any(map(str.isalpha, t)):
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                words = words_of(t)
-                new = [w for w in set(words) if w not in known]
-                if new:
-                    if len(known) + len(new) > most:
-                        known.clear()
-                        new = list(set(words))
-                    first = len(known)
-                    if first + len(new) > len(log):
-                        log = np.concatenate([log, np.zeros((max(len(log), len(new)), len(languages)))])
-                    for group in _by_length(new):
-                        log[first + group] = Lattice([new[i] for i in group], pieces).log_probability(table)
-                    known.update(zip(new, range(first, first + len(new)), strict=True))
-                total = log[np.fromiter(map(known.__getitem__, words), "i8", len(words))].sum(0)
-                share = np.exp(total - total.max())
-                best = int(share.argmax())
-                names.append(languages[best])
-                scores.append(float(share[best] / share.sum()))
+            for at in range(0, batch.num_rows, 1024):
+                texts = [words_of(t) for t in batch.column(place).slice(at, 1024).to_pylist()]
+                new = [w for w in set().union(*texts) if w not in known] if languages else []
+                if len(known) + len(new) > most:
+                    known.clear()
+                    new = list(set().union(*texts))
+                first = len(known)
+                if first + len(new) > len(log):
+                    log = np.concatenate([log, np.zeros((max(len(log), len(new)), len(languages)))])
+                for group in _by_length(new):
+                    log[first + group] = Lattice([new[i] for i in group], pieces).log_probability(table)
+                known.update(zip(new, range(first, first + len(new)), strict=True))
+                for words in texts:
+                    if not languages or not words:
+                        names.append("und")
+                        scores.append(0.0)
+                        continue
+                    total = log[np.fromiter(map(known.__getitem__, words), "i8", len(words))].sum(0)
+                    share = np.exp(total - total.max())
+                    best = int(share.argmax())
+                    names.append(languages[best])
+                    scores.append(float(share[best] / share.sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_tl_lang", "_tl_score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
