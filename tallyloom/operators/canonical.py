@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.lineage import cut
 from tallyloom.functions.text import is_blank
 from tallyloom.operators import conflict
 
@@ -87,10 +88,10 @@ def cluster(rows: DataFrame, entity: Entity) -> DataFrame:
         out = out.join(least, out[f"key_{i}"] == least[f"_k{i}"], "left").drop(f"_k{i}")
     earlier = [F.when(F.col(f"_f{i}") < F.col("row_number"), F.col(f"_f{i}")) for i in range(len(entity.keys) + 1)]
     out = out.withColumn("first", F.coalesce(*earlier, "row_number")).drop(*[f"_f{i}" for i in range(len(entity.keys) + 1)])
-    pointers = out.select("row_number", "first").checkpoint()
+    pointers = cut(out.select("row_number", "first"))
     while True:
         ahead = pointers.select(F.col("row_number").alias("_r"), F.col("first").alias("_next"))
-        jumped = pointers.join(ahead, F.col("first") == F.col("_r")).select("row_number", F.col("_next").alias("to"), (F.col("_next") != F.col("first")).alias("moved")).checkpoint()
+        jumped = cut(pointers.join(ahead, F.col("first") == F.col("_r")).select("row_number", F.col("_next").alias("to"), (F.col("_next") != F.col("first")).alias("moved")))
         pointers = jumped.select("row_number", F.col("to").alias("first"))
         if jumped.where("moved").isEmpty():
             return out.drop("first").join(pointers, "row_number")
@@ -115,7 +116,7 @@ def load(records: DataFrame, store: DataFrame, entity: Entity, trust: DataFrame,
     incoming values win (``winner="trust"``: only where its source is not trusted less). Rows that match
     nothing are clustered among themselves and inserted. Rows without any key are entities of their own.
     """
-    rows = match(typed(records, entity), store, entity).checkpoint()
+    rows = cut(match(typed(records, entity), store, entity))
     hit = rows.where("entity_id IS NOT NULL")
     new = cluster(rows.where("entity_id IS NULL").drop("entity_id"), entity)
     made = F.sha2(F.concat_ws("/", F.lit(entity.table), "source", F.col("first").cast("string")), 256)

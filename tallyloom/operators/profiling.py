@@ -132,10 +132,10 @@ def profile_drift(profiles: DataFrame, least_batches: int = 3) -> DataFrame:
     past = last.where("age > 1")
     spread = past.select("source_id", "field", ends.alias("x")).groupBy("source_id", "field").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
     history = past.groupBy("source_id", "field").agg(
-        F.count(F.lit(1)).alias("times"), F.round(F.avg(F.coalesce("null_rate", F.lit(0)).cast("decimal(5,4)")), 4).cast("decimal(5,4)").alias("usual"), F.array_distinct(F.flatten(F.collect_list("top_values"))).alias("known")
+        F.count(F.lit(1)).alias("times"), F.round(F.avg(F.coalesce(F.col("null_rate").cast("decimal(5,4)"), F.lit(0)).cast("decimal(5,4)")), 4).cast("decimal(5,4)").alias("usual"), F.array_distinct(F.flatten(F.collect_list("top_values"))).alias("known")
     )
     now = last.where("age = 1").join(history.where(F.col("times") >= least_batches - 1), ["source_id", "field"]).join(spread, ["source_id", "field"])
-    rate = F.coalesce("null_rate", F.lit(0)).cast("decimal(5,4)")
+    rate = F.coalesce(F.col("null_rate").cast("decimal(5,4)"), F.lit(0)).cast("decimal(5,4)")
     away = F.abs(rate - F.col("usual"))
     top = F.array_distinct(F.coalesce("top_values", F.array().cast("array<string>")))
     skewed = (F.size(top) > 0) & (F.size("known") > 0) & (F.size(F.array_except(top, "known")) / F.size(top) > 0.5)

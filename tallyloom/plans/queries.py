@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, REGISTRY, WEIGHTS
+from tallyloom.functions.lineage import cut
 from tallyloom.operators import canonical, conflict, evolve, mapping, profiling, quality, reads
 from tallyloom.plans import demo
 from tallyloom.sources.staging import duplicate_hashes as find_duplicates
@@ -317,8 +318,8 @@ def _loaded(spark: SparkSession, sf_dir: str, kind: str, entity: canonical.Entit
     store, found = canonical.empty_store(spark, entity), None
     for s in sources:
         store, conflicts, _ = canonical.load(demo.records(spark, sf_dir, s, kind), store, entity, demo.trust(spark))
-        store = store.checkpoint()
-        conflicts = conflicts.checkpoint()
+        store = cut(store)
+        conflicts = cut(conflicts)
         found = conflicts if found is None else found.unionByName(conflicts)
     return store, found
 
