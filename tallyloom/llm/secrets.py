@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +15,8 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 SAMPLE_DOCUMENTS = 500
+#: Digests from which the random samples are made.
+RANDOM_STRINGS = 4000
 #: Nats for each pair of characters by which the random model must be ahead.
 MARGIN = 1.0
 
@@ -62,17 +62,16 @@ def base_spans(text: Column) -> Column:
 def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of each pair of character classes.
 
-    Labelled samples come from about ``sample_documents`` documents: random strings in the usual
-    alphabets, made from digests of their ids; and ordinary identifiers, made from their words
-    (alone, joined by ``_`` or ``-``, and in camel case), without words that have digits. Both models are
-    first-order chains with one added to each count. Only the counts of pairs of the 68 character
+    Labelled samples: random strings in the usual alphabets, made from RANDOM_STRINGS digests; and
+    ordinary identifiers, made from the words of about ``sample_documents`` documents (alone, joined by ``_`` or ``-``, and in camel case), without words that have digits. Both models are
+    first-order chains, smoothed by two counts spread as the single characters are. Only the counts of pairs of the 68 character
     classes reach the driver.
     """
     n = docs.count()
     if not n:
         return [0.0] * (len(ALPHABET) + 1) ** 2
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // sample_documents))) == 0).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    digest = F.unhex(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256))
+    digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     b64 = F.base64(digest)
     made = F.array(b64, F.hex(digest), F.lower(F.hex(digest)), F.translate(b64, "+/=", ""), F.upper(F.translate(b64, "+/=", "")), F.translate(b64, "+/", "-_"))
     words = F.filter(F.split("text", "[^\\p{L}\\p{N}]+"), lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9]|[^A-Za-z]"))
@@ -80,7 +79,7 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list[flo
     ordinary = F.transform(
         F.array(words), lambda ws: F.array_distinct(F.concat(ws, F.transform(ws, lambda w, i: F.concat(w, F.get(joint, i % 4), F.initcap(F.coalesce(F.get(ws, i + 1), w))))))
     )[0]
-    labelled = some.select(F.explode(made).alias("s"), F.lit(1).alias("y")).unionByName(some.select(F.explode(ordinary).alias("s"), F.lit(0).alias("y")))
+    labelled = docs.sparkSession.range(RANDOM_STRINGS).select(F.explode(made).alias("s"), F.lit(1).alias("y")).unionByName(some.select(F.explode(ordinary).alias("s"), F.lit(0).alias("y")))
     counts = (
         labelled.where(F.length("s") > 1)
         .select("y", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"))
@@ -89,11 +88,13 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list[flo
         .collect()
     )
     size = len(ALPHABET) + 1
-    table = [[[1.0] * size for _ in range(size)] for _ in range(2)]
+    table = np.zeros((2, size, size))
     for r in counts:
-        table[r["y"]][r["a"]][r["b"]] += r["count"]
-    log = [[[math.log(x / sum(row)) for x in row] for row in t] for t in table]
-    return [log[1][a][b] - log[0][a][b] for a in range(size) for b in range(size)]
+        table[r["y"], r["a"], r["b"]] += r["count"]
+    single = table.sum(1) + 0.5
+    single /= single.sum(1, keepdims=True)
+    log = np.log((table + 2 * single[:, None, :]) / (table.sum(2, keepdims=True) + 2))
+    return (log[1] - log[0]).ravel().tolist()
 
 
 def random_ratio(word: Column, model: list[float]) -> Column:
