@@ -22,13 +22,15 @@ AHEAD = 3
 class Bpe:
     """Ranks of byte strings, from a file with a base64 token and a rank on each line."""
 
-    def __init__(self, lines: list[bytes], pattern: str, most: int = 400_000):
+    def __init__(self, lines: list[bytes], pattern: str, most: int = 1_000_000):
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
+        # what pieces were encoded to, as decimal ids and as the bytes that these decode to
+        self.shown: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
         self.most = most
 
     def merge(self, piece: bytes) -> list[int]:
@@ -75,15 +77,22 @@ class Bpe:
                     heapq.heappush(heap, (r, a, live[a], live[b]))
         return [self.ranks[p] for p in live if p is not None]
 
-    def encode_pieces(self, pieces: list[str]) -> np.ndarray:
-        known = self.pieces
-        new = set(pieces).difference(known.keys())
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = set(pieces)
+    def _learn(self, pieces: list[str]) -> None:
+        new = [p for p in set(pieces) if p not in self.shown]
+        if len(self.shown) + len(new) > self.most:
+            self.shown.clear()
+            self.raw.clear()
+            new = list(set(pieces))
         for p in new:
-            known[p] = np.array(self.merge(p.encode()), "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+            ids = self.merge(p.encode())
+            self.shown[p] = " ".join(map(str, ids))
+            self.raw[p] = self.decode(ids)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[str, bytes]:
+        """Of a text given as its pieces: the decimal ids joined by spaces, and the raw bytes of the ids,
+        those of each piece one after the other."""
+        self._learn(pieces)
+        return " ".join(map(self.shown.__getitem__, pieces)), b"".join(map(self.raw.__getitem__, pieces))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -147,8 +156,8 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHU
     names = schema.replace(",", " ").split()[::2]
 
     def digest(own: Bpe, pieces: list[str]) -> tuple[int, str, str]:
-        ids = own.encode_pieces(pieces).tolist()
-        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
+        ids, raw = own.encode_pieces(pieces)
+        return ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(ranks, pattern)

@@ -99,20 +99,24 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     is 0. Of rows with one doc_id, the one with the least text hash stands for the id before it.
     Each text is shuffled once; of the next document only the start that is needed moves again.
     """
+    named = F.col("doc_id").isNotNull()
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("sketch", sketch(F.col("text"), k))
     before = successors(docs).withColumnRenamed("doc_id", "id")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     heads = (
-        rows.where("doc_id IS NOT NULL")
-        .withColumn("nth", nth)
-        .where("nth = 1")
-        .join(before, F.col("doc_id") == F.col("id"))
-        .select(F.col("prev_id").alias("of"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"))
+        rows.where(named)
+        .join(before.hint("merge"), F.col("doc_id") == F.col("id"))
+        .select(F.col("prev_id").alias("of"), F.xxhash64("text").alias("h"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"))
+        .groupBy("of")
+        .agg(F.min(F.struct("h", "head", "next_sketch")).alias("n"))
+        .select("of", "n.head", "n.next_sketch")
     )
+    # both sides of this join start from one shuffle of the texts; rows without an id need none
+    joined = rows.where(named).join(heads, F.col("doc_id") == F.col("of"), "left")
+    alone = rows.where(~named).select("*", *[F.lit(None).cast(t).alias(c) for c, t in heads.dtypes])
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.when(F.col("of").isNull(), F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("head", F.lit(1), quarter)))
     return (
-        rows.join(heads, F.col("doc_id") == F.col("of"), "left")
+        joined.unionByName(alone)
         .select("doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
         .withColumn("edited_sketch", sketch(F.col("edited"), k))
         .select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,12 @@ WIDTH = 5
 SLOTS = 127
 BANDS, ROWS = 25, 5
 PERCENT = 85
+#: By how much a signature's estimate may fall below the similarity: five standard deviations at 0.85.
+STRAY = 0.16
+#: Members of a bucket that meet in one task; larger buckets are dealt out in pairs of such parts.
+PART = 256
+#: So many ids (16 MB) may be broadcast to pick texts; beyond that, texts and ids are shuffled.
+BROADCAST_IDS = 2_000_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], "u8")
 
@@ -61,7 +67,7 @@ class Shingler:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """SuperMinHash of each set, a row of SLOTS values of 32 bits; empty sets get zeros.
+    """SuperMinHash of each set, a row of SLOTS values of 16 bits; empty sets get zeros.
 
     An element ranks all slots by a permutation of its own (a hash-chosen affine one modulo a prime:
     its ranks of any two slots are as those of a uniform permutation, which is all that the
@@ -74,7 +80,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     out = np.full((len(sets), SLOTS), np.uint64(0xFFFFFFFFFFFFFFFF))
     filled = np.zeros((len(sets), SLOTS), bool)
     if not sizes.sum():
-        return np.zeros((len(sets), SLOTS), "u4")
+        return np.zeros((len(sets), SLOTS), "u2")
     x = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     h = _mix(x + np.uint64(0x9E3779B97F4A7C15))
@@ -94,7 +100,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             break
         if not keep.all():
             x, owner, h, a, b = x[keep], owner[keep], h[keep], a[keep], b[keep]
-    sig = (out >> np.uint64(32)).astype("u4")
+    sig = (out >> np.uint64(48)).astype("u2")
     sig[sizes == 0] = 0
     return sig
 
@@ -120,7 +126,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sig = signatures(sets)
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(sets)), pa.array([s.size for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(list(band_keys(sig)), pa.list_(pa.int64())), pa.array([s.tobytes() for s in (sig & 0xFFFF).astype("u2")], pa.binary())],
+                    [batch.column(0).slice(at, len(sets)), pa.array([s.size for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(list(band_keys(sig)), pa.list_(pa.int64())), pa.array([s.tobytes() for s in sig], pa.binary())],
                     names=["doc_id", "n_shingles", "set_id", "keys", "sig"],
                 )
 
@@ -128,14 +134,13 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs whose set sizes and signatures allow the similarity. The share of equal slots strays
-    from the similarity by 0.032 (one standard deviation at 0.85); six of them are left."""
+    """Pairs whose signatures allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u2").reshape(-1, SLOTS) for c in ("sig_a", "sig_b"))
-                keep = (x == y).mean(1) >= PERCENT / 100 - 0.19
+                keep = (x == y).mean(1) >= PERCENT / 100 - STRAY
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
     left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
@@ -143,26 +148,140 @@ def _possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs with 100 * intersection >= PERCENT * union, on the full sets of their texts."""
+def _streamed(df: DataFrame, by: list[str], order: list[str], use: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Rows with equal ``by`` meet in one task, in order, and go to ``use`` together. Groups follow
+    one another in a sorted partition, so small ones cost little and a task holds one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cut(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+            keys = np.stack([table.column(c).to_numpy() for c in by])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [table.num_rows]])
+            if not last:
+                cuts = cuts[:-1]
+            out = [use(table.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return [x for x in out if x is not None], table.slice(cuts[-1])
+
+        for batch in batches:
+            if batch.num_rows:
+                out, rest = cut(pa.Table.from_batches([*held, batch]), False)
+                held = rest.to_batches()
+                yield from out
+        if held:
+            yield from cut(pa.Table.from_batches(held), True)[0]
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def _first_band(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The first band in which signatures agree with one."""
+    same = (sig[:, : BANDS * ROWS] == one[: BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
+    return same.argmax(1)
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components within the buckets.
+
+    ``members(key, band, id, n, comp, sig)``. Buckets are cut in parts of about PART members, and every two
+    parts of a bucket meet where their rows land. There, pairs of different components that sizes and
+    signatures allow are noted, each in the first band that both have, as positions in one row for
+    the parts, never as rows. The sets of the members with such pairs then come to the same parts, and
+    pairs are confirmed on them; a pair whose ends are linked by then is passed over.
+    """
+    parts = ["key", "i", "j"]
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = (
+        members.join(sizes, "key")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "band", "id", "n", "comp", "sig")
+    )
+
+    def meet(table: pa.Table) -> pa.RecordBatch | None:
+        comp = table.column("comp").to_numpy()
+        if comp.size < 2 or (comp == comp[0]).all():
+            return None
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        id_, n, band = table.column("id").to_numpy(), table.column("n").to_numpy(), table.column("band")[0].as_py()
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u2").reshape(-1, SLOTS)
+        rows = np.flatnonzero(left)
+        cols = rows if same else np.flatnonzero(~left)
+        found = []
+        for r in rows:
+            c = cols[cols > r] if same else cols
+            c = c[(comp[c] != comp[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * PERCENT)]
+            if c.size:
+                c = c[(sig[c] == sig[r]).mean(1) >= PERCENT / 100 - STRAY]
+            if c.size:
+                c = c[_first_band(sig[c], sig[r]) == band]
+                found.append(np.stack([np.full(c.size, r), c]))
+        if not found or not (pairs := np.concatenate(found, 1)).size:
+            return None
+        used, place = np.unique(pairs, return_inverse=True)
+        key = [table.column(c).slice(0, 1).combine_chunks() for c in parts]
+        return pa.RecordBatch.from_arrays([*key, pa.array([id_[used]], pa.list_(pa.int64())), pa.array([place.astype("i4").tobytes()], pa.binary())], names=[*parts, "ids", "pairs"])
+
+    def confirm(table: pa.Table) -> pa.RecordBatch | None:
+        ids = table.column("id").to_numpy()
+        sets = [np.frombuffer(x, "u8") for x in table.column("set").to_pylist()]
+        pairs = np.frombuffer(next(x for x in table.column("pairs").to_pylist() if x is not None), "i4").reshape(2, -1)
+        at = dict(zip(table.column("pos").to_pylist(), range(len(ids)), strict=True))
+        root = list(range(len(ids)))
+        links = []
+        for x, y in zip(*pairs.tolist(), strict=True):
+            x, y = at[x], at[y]
+            a, b = x, y
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b and _alike(sets[x], sets[y]):
+                root[max(a, b)] = min(a, b)
+                links.append((ids[x], ids[y]))
+        if not links:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([min(v) for v in links], pa.int64()), pa.array([max(v) for v in links], pa.int64())], names=["a", "b"])
+
+    noted = materialise(_streamed(dealt, parts, ["id"], meet, "key long, i int, j int, ids array<bigint>, pairs binary"), "noted")
+    wanted = noted.select(*parts, F.posexplode("ids").alias("pos", "id"), "pairs").withColumn("pairs", F.when(F.col("pos") == 0, F.col("pairs")))
+    sets = _sets(docs, wanted.select(F.col("id").alias("doc_id")))
+    with_sets = wanted.join(sets.withColumnRenamed("doc_id", "id"), "id").dropDuplicates([*parts, "pos"])
+    return _streamed(with_sets, parts, ["pos"], confirm, "a long, b long").distinct()
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (both.size - common)
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, set (64-bit hashes of all shingles) of the documents in ``ids(doc_id)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "set"])
 
+    ids = materialise(ids.distinct(), "ends")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return materialise(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs with 100 * intersection >= PERCENT * union, on the full sets of their texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                both = np.concatenate([np.frombuffer(x, "u8"), np.frombuffer(y, "u8")])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= PERCENT * (both.size - common))
+            keep = [_alike(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = materialise(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "sets")
+    full = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     left = full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
     right = full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
@@ -177,8 +296,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member of a bucket with one centre of it (another choice in each band), which connects
     what is alike with as many pairs as there are members; then, in the buckets that still hold
     several components, the members of different components with each other. Pairs pass the sizes, the
-    signatures and then the full sets. Similar classes (0.85) share a band but for 4 in ten
-    million. A row without doc_id is linked with nothing: component_id null, kept. Rows with the same
+    signatures and then the full sets. Similar classes (0.85) share a band, and pass the signatures, but
+    for less than one in a million. A row without doc_id is linked with nothing: component_id null, kept. Rows with the same
     doc_id count as one document in links. Extra columns are not read.
     """
     spark = docs.sparkSession
@@ -187,28 +306,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = materialise(rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").select("doc_id", "n_shingles", "rep"), "members")
     reps = rows.join(member.where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").where("n_shingles > 0")
     sigs = reps.select("doc_id", "sig")
-    keyed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key")).select("key", "id", "n")
+    keyed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key")).select("key", "band", "id", "n")
     order = F.xxhash64("key", "id")
     centre = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = materialise(keyed.join(centre, "key").select("key", "id", "n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")), "buckets")
+    buckets = materialise(keyed.join(centre, "key").select("key", "band", "id", "n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")), "buckets")
     fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
-    star = (
+    star = materialise(
         buckets.where((F.col("id") != F.col("cid")) & fits(F.col("n"), F.col("cn")))
         .select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b"))
-        .distinct()
+        .distinct(),
+        "star",
     )
     first = materialise(_verified(materialise(_possible(star, sigs), "pairs"), docs), "links")
     labels = components(first)
-    placed = buckets.join(labels, buckets.id == labels.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    placed = buckets.join(labels, buckets.id == labels.node, "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialise(placed.join(mixed, "key", "left_semi"), "open")
-    x = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
-    second = _verified(materialise(_possible(across, sigs), "pairs"), docs)
+    open_ = placed.join(mixed, "key", "left_semi").join(sigs.withColumnRenamed("doc_id", "id"), "id")
+    second = _across(open_, docs)
     final = components(materialise(first.unionByName(second), "links"))
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return (
         member.join(final, member.rep == final.node, "left")
         .select("doc_id", F.col("n_shingles").cast("long"), component.alias("component_id"))

@@ -3,8 +3,8 @@
 File format: a Parquet file for each shard (a range of doc_ids), a row for each segment of at
 most ``SEGMENT`` ids or so (a document is never divided). A row has
 ``shard, segment``, ``n_ids``, ``doc_ids`` and ``lengths`` of its documents in order, and the
-matrix: ``planes``, one bit vector for each bit of the ids from the highest down, each
-zlib-compressed; ``zeros``, the number of 0 bits of each plane; ``ranks``, the number of 1 bits
+matrix: ``planes``, one bit vector for each bit of the ids from the highest down, which the
+Parquet file holds zstd-compressed; ``zeros``, the number of 0 bits of each plane; ``ranks``, the number of 1 bits
 before every ``BLOCK``-th position as little-endian uint32. In each plane, ids stand in the order
 of the plane above, stably divided by that plane's bit.
 """
@@ -28,48 +28,99 @@ SHARD_BYTES = 8 << 20
 SCHEMA = "shard int, segment int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, planes array<binary>, zeros array<bigint>, ranks array<binary>"
 
 #: White space of Unicode, as the byte-level pre-tokeniser has it.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Stretches that the byte-level pre-tokeniser never joins: its pattern with one class for all that
-#: is not white space. It cuts a stretch further, looking at nothing outside of it.
-STRETCH = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters that may make a word here; other letters go with their stretch.
+LETTER = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
+#: Parts that the byte-level pre-tokeniser never joins: words that end before an ASCII character
+#: that is no letter, else all up to the next white space, and white space as its pattern has it. It
+#: cuts a part further, looking at nothing outside of it.
+STRETCH = re.compile(f" ?[{LETTER}]+(?=[\\x00-@\\[-`{{-\\x7f]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
-class StretchCache(dict):
-    """Stretch -> its ids as little-endian bytes; misses are encoded together, and the cache is
-    emptied when it holds ``most`` stretches, so its memory is bounded."""
+#: Texts whose single spaces do not all stand between two characters that are no white space.
+UNEVEN = f"^ | $| [{SPACE}]|[{SPACE}] "
 
-    def __init__(self, encode_all, most: int = 400_000):
-        super().__init__()
-        self.encode_all, self.most = encode_all, most
 
-    def join(self, stretches: list[str]) -> bytes:
-        new = list(set(stretches).difference(self.keys()))
-        if new:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = list(set(stretches))
-            self.update(zip(new, self.encode_all(new), strict=True))
-        return b"".join(map(self.__getitem__, stretches))
+def id_kind(size: int) -> str:
+    """Little-endian type that holds the ids of a vocabulary."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
-_caches: dict[str, StretchCache] = {}
+class Encoder:
+    """The tokenizers library on stretches: each is encoded once and kept, up to ``most`` of them."""
 
-
-def library_cache(path: str) -> StretchCache:
-    """Encoder of the tokenizers library, one for each worker process and file."""
-    if path not in _caches:
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = id_kind(self.tokenizer.get_vocab_size())
+        self.most = most
+        self.stretches: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _bytes(self, parts: list[str]) -> list[bytes]:
+        """Ids of texts that no stretch leaves, as bytes."""
+        split = [STRETCH.findall(p) for p in parts]
+        known = self.stretches
+        new = [s for s in set().union(*split) if s not in known]
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = list(set().union(*split))
+        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[s] = np.array(e.ids, self.kind).tobytes()
+        return [b"".join(map(known.__getitem__, s)) for s in split]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words with the space before them."""
+        known = self.words
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = words
+        known.update(zip(new, self._bytes([" " + w for w in new]), strict=True))
+        return [known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts. A single space between other characters always begins a stretch, so texts
+        are cut there, equal words are found as arrays, and each distinct word is looked up once."""
+        import pyarrow.compute as pc
+
+        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
+        for at, ids in zip(np.flatnonzero(uneven), self._bytes(texts.filter(pa.array(uneven)).to_pylist()), strict=True):
+            out[at] = np.frombuffer(ids, self.kind)
+        rows = np.flatnonzero(~uneven)
+        if not rows.size:
+            return out
+        parts = pc.split_pattern(texts.filter(pa.array(~uneven)), " ")
+        firsts = np.asarray(parts.offsets)[:-1] - parts.offsets[0].as_py()
+        words = parts.flatten()
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype("i8")
+        code[firsts] = len(coded.dictionary) + np.arange(rows.size)
+        table = self._spaced(coded.dictionary.to_pylist()) + self._bytes(words.take(pa.array(firsts)).to_pylist())
+        ids = np.frombuffer(b"".join(table), self.kind)
+        sizes = np.fromiter(map(len, table), "i4", len(table)) // ids.itemsize
+        begins = np.cumsum(sizes, dtype="i4") - sizes
+        n = sizes[code]
+        ends = np.cumsum(n, dtype="i4")
+        flat = ids.take(np.repeat(begins[code] - (ends - n), n) + np.arange(ends[-1], dtype="i4"))
+        for row, one in zip(rows, np.split(flat, ends[firsts[1:] - 1]), strict=True):
+            out[row] = one
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
 
-        def encode_all(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _caches[path] = StretchCache(encode_all)
-    return _caches[path]
+def encoder(path: str) -> Encoder:
+    """One for each worker process and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 class WaveletMatrix:
@@ -86,19 +137,19 @@ class WaveletMatrix:
         cur = ids.astype("<u2" if top < 1 << 16 else "<u4")
         planes, zeros, ranks = [], [], []
         for bit in range(max(1, top.bit_length()) - 1, -1, -1):
-            ones = (cur >> bit & 1).astype(bool)
+            ones = (cur & cur.dtype.type(1 << bit)) != 0
             packed = np.packbits(ones)
-            planes.append(zlib.compress(packed.tobytes(), 1))
+            planes.append(packed.tobytes())
             counts = np.bitwise_count(np.pad(packed, (0, -packed.size % (BLOCK // 8)))).reshape(-1, BLOCK // 8).sum(1, dtype="u4") if packed.size else np.zeros(0, "u4")
             ranks.append(np.concatenate([[0], np.cumsum(counts)]).astype("<u4").tobytes())
-            low = cur[~ones]
+            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
             zeros.append(low.size)
-            cur = np.concatenate([low, cur[ones]])
+            cur = np.concatenate([cur.take(low), cur.take(high)])
         return cls(ids.size, planes, zeros, ranks)
 
     def plane(self, level: int) -> np.ndarray:
         if level not in self.bits:
-            self.bits[level] = np.frombuffer(zlib.decompress(self.packed[level]), "u1")
+            self.bits[level] = np.frombuffer(self.packed[level], "u1")
         return self.bits[level]
 
     def _ones_before(self, level: int, at: int) -> int:
@@ -165,30 +216,31 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_byt
     rows = docs.select("doc_id", text).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, segment = library_cache(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        ids: list[bytes] = []
+        own, shard, segment = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], own.kind)
+        ids: list[np.ndarray] = []
         names: list = []
         lengths: list[int] = []
         held = 0
 
         def row() -> pa.RecordBatch:
-            m = WaveletMatrix.of(np.frombuffer(b"".join(ids), "<u4"))
+            m = WaveletMatrix.of(np.concatenate(ids))
             data = {"shard": shard, "segment": segment, "n_ids": m.n, "doc_ids": names, "lengths": lengths, "planes": m.packed, "zeros": m.zeros, "ranks": [r.tobytes() for r in m.ranks]}
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(data.values(), kinds, strict=True)], names=list(data))
 
         for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = cache.join(STRETCH.findall(t)) + end
-                ids.append(one)
-                names.append(name)
-                lengths.append(len(one) // 4)
-                held += len(one) // 4
-                if held >= SEGMENT:
-                    yield row()
-                    ids, names, lengths, held = [], [], [], 0
-                    segment += 1
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                for name, one in zip(part.column(0).to_pylist(), own.encode(part.column(1)), strict=True):
+                    ids += [one, end]
+                    names.append(name)
+                    lengths.append(len(one) + 1)
+                    held += len(one) + 1
+                    if held >= SEGMENT:
+                        yield row()
+                        ids, names, lengths, held = [], [], [], 0
+                        segment += 1
         if names:
             yield row()
 
