@@ -11,9 +11,9 @@ of the plane above, stably divided by that plane's bit.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +29,12 @@ SCHEMA = "shard int, segment int, n_ids long, doc_ids array<bigint>, lengths arr
 
 #: White space of Unicode, as the byte-level pre-tokeniser has it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Letters that may make a word here; other letters go with their stretch.
-LETTER = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f"
-#: Parts that the byte-level pre-tokeniser never joins: words that end before an ASCII character
-#: that is no letter, else all up to the next white space, and white space as its pattern has it. It
-#: cuts a part further, looking at nothing outside of it.
-STRETCH = re.compile(f" ?[{LETTER}]+(?=[\\x00-@\\[-`{{-\\x7f]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-
-
 #: Texts whose single spaces do not all stand between two characters that are no white space.
 UNEVEN = f"^ | $| [{SPACE}]|[{SPACE}] "
+#: The byte-level alphabet's character for a space.
+SPACE_MARK = "\u0120"
+#: Words that are encoded as one text.
+TOGETHER = 256
 
 
 def id_kind(size: int) -> str:
@@ -47,7 +43,11 @@ def id_kind(size: int) -> str:
 
 
 class Encoder:
-    """The tokenizers library on stretches: each is encoded once and kept, up to ``most`` of them."""
+    """The tokenizers library on words: each is encoded once and kept, up to ``most`` of them.
+
+    Words go to the library many at a time, joined by single spaces. The pre-tokeniser gives each such
+    space to the word after it, so the ids that begin with a space tell where the words begin.
+    """
 
     def __init__(self, path: str, most: int = 700_000):
         import os
@@ -57,57 +57,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_kind(self.tokenizer.get_vocab_size())
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_MARK) for i in range(self.tokenizer.get_vocab_size())])
         self.most = most
-        self.stretches: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _bytes(self, parts: list[str]) -> list[bytes]:
-        """Ids of texts that no stretch leaves, as bytes."""
-        split = [STRETCH.findall(p) for p in parts]
-        known = self.stretches
-        new = [s for s in set().union(*split) if s not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(set().union(*split))
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[s] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, s)) for s in split]
-
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of words with the space before them."""
-        known = self.words
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = words
-        known.update(zip(new, self._bytes([" " + w for w in new]), strict=True))
-        return [known[w] for w in words]
+        self._forget()
+
+    def _forget(self) -> None:
+        """words: place of each; begins: of that place in ids, and at last where the next one begins."""
+        self.words: dict[str, int] = {}
+        self.begins = np.zeros(1, "i8")
+        self.ids = np.zeros(0, self.kind)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), self.kind), np.fromiter(map(len, found), "i8", len(found))
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of words with the space before them."""
+        ids, _ = self._whole([" " + " ".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)])
+        starts = np.flatnonzero(self.opens[ids])
+        if starts.size == len(words):
+            sizes = np.diff(starts, append=ids.size)
+        else:
+            ids, sizes = self._whole([" " + w for w in words])
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of whole texts. A single space between other characters always begins a stretch, so texts
-        are cut there, equal words are found as arrays, and each distinct word is looked up once."""
+        """Ids of whole texts. They are cut at single spaces between other characters, equal words are found as
+        arrays, and each distinct word is looked up once. Texts with other spaces go to the library whole."""
         import pyarrow.compute as pc
 
         uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
-        for at, ids in zip(np.flatnonzero(uneven), self._bytes(texts.filter(pa.array(uneven)).to_pylist()), strict=True):
-            out[at] = np.frombuffer(ids, self.kind)
+        for at in np.flatnonzero(uneven):
+            out[at] = self._whole([texts[at].as_py()])[0]
         rows = np.flatnonzero(~uneven)
         if not rows.size:
             return out
         parts = pc.split_pattern(texts.filter(pa.array(~uneven)), " ")
         firsts = np.asarray(parts.offsets)[:-1] - parts.offsets[0].as_py()
         words = parts.flatten()
-        coded = words.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype("i8")
-        code[firsts] = len(coded.dictionary) + np.arange(rows.size)
-        table = self._spaced(coded.dictionary.to_pylist()) + self._bytes(words.take(pa.array(firsts)).to_pylist())
-        ids = np.frombuffer(b"".join(table), self.kind)
-        sizes = np.fromiter(map(len, table), "i4", len(table)) // ids.itemsize
-        begins = np.cumsum(sizes, dtype="i4") - sizes
-        n = sizes[code]
-        ends = np.cumsum(n, dtype="i4")
-        flat = ids.take(np.repeat(begins[code] - (ends - n), n) + np.arange(ends[-1], dtype="i4"))
+        first_ids, first_sizes = self._whole(words.take(pa.array(firsts)).to_pylist())
+        inner = np.ones(len(words), bool)
+        inner[firsts] = False
+        coded = words.filter(pa.array(inner)).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in self.words]
+        if len(self.words) + len(new) > self.most:
+            self._forget()
+            new = distinct
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(self.words.__getitem__, distinct), "i8", len(distinct))
+        ids = np.concatenate([self.ids, first_ids])
+        begin, size = np.empty(len(words), "i8"), np.empty(len(words), "i8")
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        begin[inner], size[inner] = self.begins[place][code], (self.begins[place + 1] - self.begins[place])[code]
+        begin[firsts], size[firsts] = self.ids.size + np.cumsum(first_sizes) - first_sizes, first_sizes
+        ends = np.cumsum(size)
+        flat = ids.take(np.repeat(begin - (ends - size), size) + np.arange(ends[-1]))
         for row, one in zip(rows, np.split(flat, ends[firsts[1:] - 1]), strict=True):
             out[row] = one
         return out
@@ -195,9 +205,8 @@ class WaveletMatrix:
             ones = np.unpackbits(self.plane(level), count=self.n).astype(bool)
             up = np.empty_like(cur)
             z = self.zeros[level]
-            up[~ones] = cur[:z]
-            up[ones] = cur[z:]
-            up |= ones.astype(cur.dtype) << (len(self.packed) - 1 - level)
+            up[np.flatnonzero(~ones)] = cur[:z]
+            up[np.flatnonzero(ones)] = cur[z:] | cur.dtype.type(1 << (len(self.packed) - 1 - level))
             cur = up
         return cur.astype("<u4")
 
