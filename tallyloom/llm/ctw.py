@@ -8,15 +8,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.store import materialise
 
-#: Bytes of context, and the least share of the training bytes that makes a context a node of its own.
+#: Bytes of context.
 DEPTH = 5
-LEAST_SHARE = 2.0**-16
+#: Contexts of so many bytes (65,536 at most, whatever the corpus) meet on the driver; the longer ones stay in buckets.
+TOP = 2
 BLOCK_BYTES = 8 << 20
 #: A byte that UTF-8 never has: it stands before a text and ends it.
 EDGE = 0xFF
@@ -81,7 +83,8 @@ class ContextTree:
 
 
 def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
-    """The tree of (codes, counts[context, 256]) for contexts of 0, 1, ... bytes.
+    """The tree of (codes, counts[context, 256]) for contexts of 0, 1, ... bytes, in memory: what
+    ``window_logs`` computes in buckets, in its plain form.
 
     A node's children are the contexts one byte longer; those too rare to be nodes share one more leaf,
     which holds what the node has and its children don't. With P_e the KT estimate and P_w = P_e at
@@ -126,14 +129,16 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
 
 
 def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH + 1 bytes that end at each byte of each text and at its end, and each text's first."""
+    """Codes of DEPTH + 1 bytes that end at each byte of each text and at its end, and each text's first.
+    The byte is lowest; its context goes from the latest byte, highest, to the earliest, so that what
+    shares a context is a range."""
     pad = bytes([EDGE]) * DEPTH
     joined = np.frombuffer(b"".join(pad + t + b"\xff" for t in texts), "u1")
     sizes = np.array([len(t) + 1 for t in texts])
     begins = np.concatenate([[0], np.cumsum(sizes + DEPTH)])[:-1]
     code = np.zeros(joined.size, "u8")
     for back in range(DEPTH, -1, -1):
-        code[back:] |= joined[: joined.size - back].astype("u8") << np.uint64(8 * back)
+        code[back:] |= joined[: joined.size - back].astype("u8") << np.uint64(8 * (DEPTH + 1 - back) if back else 0)
     real = np.ones(joined.size, bool)
     for i in range(DEPTH):
         real[begins + i] = False
@@ -163,23 +168,18 @@ def _word(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w) - (1 << 63)
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """kind, key, n: how often each word (kind 0, by its 64-bit hash; the end token too) and each
-    window of bytes (kind 1) occurs in ``docs(text)``. Tasks add up what they read before the shuffle."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """w, c: how often each word (by its 64-bit hash; the end token too) occurs in ``docs(text)``.
+    Tasks add up what they read before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         ends = 0
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
 
-        def given(kind: int, k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def given() -> Iterator[pa.RecordBatch]:
+            k, n = np.fromiter(map(_word, words), "i8", len(words)), np.fromiter(words.values(), "i8", len(words))
             for at in range(0, len(k), 100_000):
-                part = k[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, "i4")), pa.array(part.astype("i8")), pa.array(n[at : at + 100_000].astype("i8"))], names=["kind", "key", "n"])
-
-        def flush_words() -> Iterator[pa.RecordBatch]:
-            yield from given(0, np.fromiter(map(_word, words), "i8", len(words)), np.fromiter(words.values(), "i8", len(words)))
+                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["w", "c"])
             words.clear()
 
         for batch in batches:
@@ -187,49 +187,207 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 for t in strip:
                     words.update(t.split())
                 ends += len(strip)
-                k, n = np.unique(_windows(strip)[0], return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                if sum(map(len, keys)) > 4_000_000:
-                    k, n = _summed(keys, counts)
-                    keys, counts = [k], [n]
-                    if len(k) > 2_000_000:
-                        yield from given(1, k, n)
-                        keys, counts = [], []
                 if len(words) > 1_000_000:
-                    yield from flush_words()
-        yield from flush_words()
-        yield from given(0, np.array([END]), np.array([ends])) if ends else ()
-        if keys:
-            yield from given(1, *_summed(keys, counts))
-
-    return docs.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def learn(windows: DataFrame, least_share: float = LEAST_SHARE) -> ContextTree:
-    """The context tree from counted windows(key, n). A context is a node if it has ``least_share``
-    of all bytes, so no depth has more than 1 / least_share nodes and the tree at most DEPTH *
-    1 KB / least_share (320 MB), however large the corpus; text takes a tenth of that. All bytes count
-    in their deepest node."""
-    total = windows.agg(F.sum("n")).first()[0] or 0
-    levels = [(np.zeros(1, "u8"), np.zeros((1, 256)))]
-    if total:
-        each = windows.select(F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("d"), "key", "n")
-        part = each.withColumn("key", F.expr("key & (shiftleft(1L, 8 * (d + 1)) - 1)")).groupBy("d", "key").agg(F.sum("n").alias("n"))
-        part = materialise(part.withColumn("context", F.shiftright("key", 8)), "windows")
-        enough = part.groupBy("d", "context").agg(F.sum("n").alias("m")).where(F.col("m") >= total * least_share).select("d", "context")
-        found = part.join(enough, ["d", "context"], "left_semi").select("d", "context", F.col("key").bitwiseAND(255).alias("byte"), "n").toPandas()
-        levels = []
-        for d in range(DEPTH + 1):
-            own = found[found.d == d]
-            codes = np.unique(own.context.to_numpy().astype("u8"))
-            if d:  # a node's parent has at least as many bytes, so it is a node too
-                codes = codes[np.isin(codes & np.uint64((1 << 8 * (d - 1)) - 1), levels[d - 1][0])]
-            table = np.zeros((len(codes), 256))
-            place = np.searchsorted(codes, own.context.to_numpy().astype("u8"))
-            table[place, own.byte.to_numpy()] = own.n.to_numpy()
-            levels.append((codes, table))
-    return build(levels)
+                    yield from given()
+        yield from given()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends])], names=["w", "c"])
+
+    return docs.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as bytes of equal weight side by side, which compress well."""
+    return values.view("u1").reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, "u1").reshape(size, -1).T.copy().reshape(-1).view(kind)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, "u8"), dtype="u8")
+
+
+def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each window, by the TOP + 1 latest bytes of its context."""
+    x = keys >> np.uint64(8 * (DEPTH - TOP))
+    x = (x ^ (x >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(33)) % np.uint64(buckets)).astype("i4")
+
+
+@dataclass
+class _Level:
+    """Binary decisions (context and node, ``codes``) at one length of context: zeros, ones, own
+    prediction of a 1 and weight, ln P_w, and where each one's parent with one byte less stands."""
+
+    codes: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    estimate: np.ndarray
+    weighted: np.ndarray
+    up: np.ndarray
+
+    @property
+    def own(self) -> np.ndarray:
+        return (self.ones + 0.5) / (self.zeros + self.ones + 1)
+
+    @property
+    def share(self) -> np.ndarray:
+        return np.exp(np.log(0.5) + self.estimate - self.weighted)
+
+
+def _level(codes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> _Level:
+    estimate = kt(zeros, ones)
+    weighted = estimate if below is None else np.logaddexp(np.log(0.5) + estimate, np.log(0.5) + below)
+    return _Level(codes, zeros, ones, estimate, weighted, np.zeros(0, "i8"))
+
+
+def _shorter(level: _Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, zeros, ones and the children's ln P_w for contexts with one byte less; sets ``level.up``."""
+    codes = (level.codes >> np.uint64(16) << np.uint64(8)) | (level.codes & np.uint64(255))
+    own, level.up = np.unique(codes, return_inverse=True)
+    return own, *(np.bincount(level.up, x, own.size).astype("f8") for x in (level.zeros, level.ones, level.weighted))
+
+
+def _deep(keys: np.ndarray, n: np.ndarray) -> tuple[list[_Level], np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From the windows of whole buckets: levels of DEPTH to TOP + 1 bytes, each window's eight
+    decisions at the first of them, and what goes to TOP."""
+    byte = (keys & np.uint64(255)).astype("i8")[:, None]
+    depth = np.arange(8)
+    node = (1 << depth) | (byte >> (8 - depth))
+    codes = (keys >> np.uint64(8) << np.uint64(8))[:, None] | node.astype("u8")
+    own, at = np.unique(codes.ravel(), return_inverse=True)
+    bit = byte >> (7 - depth) & 1
+    given = n.astype("f8")[:, None]
+    levels = [_level(own, np.bincount(at, (given * (1 - bit)).ravel(), own.size), np.bincount(at, (given * bit).ravel(), own.size), None)]
+    above = _shorter(levels[0])
+    for _ in range(DEPTH - TOP - 1):
+        levels.append(_level(*above))
+        above = _shorter(levels[-1])
+    return levels, at.reshape(-1, 8), above
+
+
+def _mixed(level: _Level, part: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the weighted predictions down to this level, and the weight left for longer contexts."""
+    part, left, share = part[level.up], left[level.up], level.share
+    return part + left * share * level.own, left * (1 - share)
+
+
+def _shallow(codes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_mixed`` at TOP bytes of context, for each of ``codes``."""
+    levels = [_level(codes, zeros, ones, below)]
+    for _ in range(TOP):
+        levels.append(_level(*_shorter(levels[-1])))
+    levels[-1].up = np.zeros(levels[-1].codes.size, "i8")
+    part, left = np.zeros(1), np.ones(1)
+    for level in reversed(levels):
+        part, left = _mixed(level, part, left)
+    return part, left
+
+
+def _grouped(keys: np.ndarray, n: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted windows in pieces of about ``most``, cut only where the TOP + 1 latest bytes change."""
+    context = keys >> np.uint64(8 * (DEPTH - TOP))
+    at = 0
+    while at < keys.size:
+        end = keys.size if at + most >= keys.size else int(np.searchsorted(context, context[at + most], "right"))
+        yield keys[at:end], n[at:end]
+        at = end
+
+
+def window_logs(windows: DataFrame) -> DataFrame:
+    """bucket, keys, logs: log10 of each window's last byte after the others, from
+    ``windows(bucket, keys, n)`` with all windows of a bucket in one row and their training counts.
+
+    Every context that occurs is a node. With P_e the KT estimate and P_w = P_e at DEPTH bytes,
+    every shorter context has P_w = (P_e + product of its children's P_w) / 2, for each of the binary
+    decisions of a byte; decisions without counts have probability 1/2. Contexts of more than TOP bytes
+    lie whole in a bucket and never leave it; the shorter ones are added up over the buckets. Windows
+    that only other texts have come with n = 0.
+    """
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for keys, counts in _grouped(_unpack_keys(k), _unpack(n, "i8")):
+                    codes, *sums = _deep(keys, counts)[2]
+                    yield pa.RecordBatch.from_arrays([pa.array(codes.astype("i8")), *map(pa.array, sums)], names=["code", "zeros", "ones", "below"])
+
+    short = windows.mapInArrow(up, "code long, zeros double, ones double, below double").groupBy("code").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+    found = short.toArrow().sort_by("code")
+    top, zeros, ones, below = (found.column(c).to_numpy() for c in ("code", "zeros", "ones", "below"))
+    top = top.astype("u8")
+    sent = windows.sparkSession.sparkContext.broadcast((top.astype("u4"), *_shallow(top, zeros, ones, below)))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, *above = sent.value
+        for batch in batches:
+            for bucket, k, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                logs = []
+                for keys, counts in _grouped(_unpack_keys(k), _unpack(n, "i8")):
+                    levels, at, (codes, *_) = _deep(keys, counts)
+                    place = np.searchsorted(top, codes.astype("u4"))
+                    part, left = (x[place] for x in above)
+                    for level in reversed(levels[1:]):
+                        part, left = _mixed(level, part, left)
+                    one = (part[levels[0].up] + left[levels[0].up] * levels[0].own)[at]
+                    bit = (keys & np.uint64(255)).astype("i8")[:, None] >> (7 - np.arange(8)) & 1
+                    logs.append(np.log10(np.where(bit == 1, one, 1 - one)).sum(1).astype("f4"))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([k], pa.binary()), pa.array([_pack(np.concatenate(logs))], pa.binary())], names=["bucket", "keys", "logs"])
+
+    return windows.mapInArrow(down, "bucket int, keys binary, logs binary")
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """bucket, keys, n: the windows of each bucket and their sums, from parts of it. A bucket's parts
+    come one after another and are added up as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held, size = None, [], 0
+
+        def given() -> pa.RecordBatch:
+            keys, n = _summed(*zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([_pack_keys(keys)], pa.binary()), pa.array([_pack(n)], pa.binary())], names=["bucket", "keys", "n"])
+
+        for batch in batches:
+            for bucket, k, n in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if bucket.as_py() != own and held:
+                    yield given()
+                    held, size = [], 0
+                own = bucket.as_py()
+                held.append((_unpack_keys(k.as_py()), _unpack(n.as_py(), "i4")))
+                size += held[-1][0].size
+                if size > 4_000_000 and size > 2 * held[0][0].size:
+                    held = [_summed(*zip(*held, strict=True))]
+                    size = held[0][0].size
+        if held:
+            yield given()
+
+    return parts.select("bucket", "keys", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, keys binary, n binary")
+
+
+def _looked_up(parts: DataFrame, logs: DataFrame) -> DataFrame:
+    """block, keys, logs: the logs of each part's windows. A bucket's table comes before its parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = np.zeros(0, "u8"), np.zeros(0, "f4")
+        for batch in batches:
+            for block, k, v in zip(*(batch.column(i) for i in range(1, 4)), strict=True):
+                keys = _unpack_keys(k.as_py())
+                if block.as_py() < 0:
+                    known, table = keys, _unpack(v.as_py(), "f4")
+                else:
+                    found = table[np.searchsorted(known, keys)]
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([k.as_py()], pa.binary()), pa.array([_pack(found)], pa.binary())], names=["block", "keys", "logs"])
+
+    both = logs.select("bucket", F.lit(-1).alias("block"), "keys", "logs").unionByName(parts.select("bucket", "block", "keys", F.lit(None).cast("binary").alias("logs")))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block int, keys binary, logs binary")
 
 
 def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -238,15 +396,12 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_by
     Texts (null: empty) are scored whole, A-Z in lower case. ``score`` is log10 of the context
     tree's probability of the bytes and the end; ``base_score`` that of the tokens by add-one word
     frequencies. Both learn from documents whose crc32(doc_id as text) mod ``folds`` is not ``held_out`` (null
-    ids count as the empty text). Word counts stay distributed: each block of about ``block_bytes`` of
-    texts gets the counts of its own words. Only the bounded tree is broadcast.
+    ids count as the empty text). Word counts and the tree stay distributed: each block of about
+    ``block_bytes`` of texts gets the counts of its own words and the logs of its own windows.
     """
-    spark = docs.sparkSession
     out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_out
     texts = docs.select("doc_id", out.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    counts = materialise(corpus_counts(texts.where(~F.col("held_out"))), "counts")
-    tree = spark.sparkContext.broadcast(learn(counts.where("kind = 1").select("key", "n")))
-    words = counts.where("kind = 0").select(F.col("key").alias("w"), F.col("n").alias("c"))
+    words = materialise(word_counts(texts.where(~F.col("held_out"))), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -265,11 +420,35 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_by
             for w in set(t.encode().lower().split()).difference(known):
                 known[w] = _word(w)
         own = np.unique(np.fromiter((*known.values(), END), "i8", len(known) + 1))
-        return pa.table({"block": pa.array(np.full(own.size, table.column("block")[0].as_py(), "i4")), "w": pa.array(own)})
+        keys, counts = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
+        for taught in (True, False):
+            for strip in _strips(table.filter(pc.equal(table.column("held_out"), not taught)).column("text").to_pylist()):
+                k, n = np.unique(_windows(strip)[0], return_counts=True)
+                keys.append(k)
+                counts.append(n * taught)
+        keys, counts = _summed(keys, counts)
+        bucket = _buckets(keys, blocks)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.flatnonzero(np.diff(bucket[order])) + 1
+        parts = np.split(order, ends) if order.size else []
+        pad = [None] * len(parts)
+        columns = {
+            "block": pa.array(np.full(own.size + len(parts), table.column("block")[0].as_py(), "i4")),
+            "w": pa.concat_arrays([pa.array(own), pa.array(pad, pa.int64())]),
+            "bucket": pa.array([None] * own.size + [int(bucket[p[0]]) for p in parts], pa.int32()),
+            "keys": pa.array([None] * own.size + [_pack_keys(keys[p]) for p in parts], pa.binary()),
+            "n": pa.array([None] * own.size + [_pack(counts[p].astype("i4")) for p in parts], pa.binary()),
+        }
+        return pa.table(columns)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = tree.value
-        w, c = right.column("w").to_numpy(), right.column("c").to_numpy()
+        counted = right.filter(pc.is_valid(right.column("w")))
+        w, c = counted.column("w").to_numpy(), counted.column("c").to_numpy()
+        listed = right.filter(pc.is_valid(right.column("keys")))
+        seen = np.concatenate([np.zeros(0, "u8"), *(_unpack_keys(k) for k in listed.column("keys").to_pylist())])
+        logs = np.concatenate([np.zeros(0, "f4"), *(_unpack(v, "f4") for v in listed.column("logs").to_pylist())])
+        place = np.argsort(seen)
+        seen, logs = seen[place], logs[place]
         order = np.argsort(w)
         w, c = np.concatenate([w[order], [np.iinfo("i8").max]]), np.concatenate([c[order], [0]])
         texts = left.column("text").to_pylist()
@@ -277,7 +456,7 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_by
         known: dict[bytes, int] = {}
         for strip in _strips(texts):
             code, begins = _windows(strip)
-            log = model.table[model.rows(code >> np.uint64(8)), (code & np.uint64(255)).astype("i8")]
+            log = logs[np.searchsorted(seen, code)]
             cols[3] += np.add.reduceat(log.astype("f8"), begins).tolist()
             cols[4] += map(len, strip)
             own = tokens(strip, known)
@@ -290,8 +469,14 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_by
             cols[2] += np.add.reduceat(np.log10((n + 1.0) / (total + distinct + 1)), starts).tolist()
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()), "n_bytes": pa.array(cols[4], pa.int64())})
 
-    need = dealt.groupBy("block").applyInArrow(needed, "block int, w long")
-    have = need.join(words, "w").select("block", "w", "c")
+    need = materialise(dealt.groupBy("block").applyInArrow(needed, "block int, w long, bucket int, keys binary, n binary"), "need")
+    parts = need.where("bucket IS NOT NULL")
+    logs = materialise(window_logs(materialise(_merged(parts), "windows")), "logs")
+    nothing = F.lit(None)
+    have = (
+        need.where("w IS NOT NULL").join(words, "w").select("block", "w", "c", nothing.cast("binary").alias("keys"), nothing.cast("binary").alias("logs"))
+        .unionByName(_looked_up(parts, logs).select("block", nothing.cast("long").alias("w"), nothing.cast("long").alias("c"), "keys", "logs"))
+    )
     scored = dealt.groupBy("block").cogroup(have.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * F.log2(F.lit(10.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte")

@@ -165,3 +165,23 @@ def test_bounds_are_never_below_the_cosine():
     q, s, e = embeddings.quantise(x)
     upper = (q.astype("f8") * s[:, None]) @ (q.astype("f8") * s[:, None]).T + e[:, None] + (1 + e[:, None]) * e[None, :]
     assert (upper >= x @ x.T).all()
+
+
+def test_rare_contexts_are_nodes_in_large_corpora(spark):
+    """Scores are those of the whole tree: a text that occurs three times keeps all its contexts."""
+    rows = [(i, f"{t} {t} {t}", lang) for i, t, lang in texts(1400, 7)] + [(2000 + i, "жзб щьъ фюя ёыэ", "x") for i in range(3)] + [(3000, "qqq ÿ unseen", "x"), (3001, None, "x")]
+    depth = ctw.DEPTH
+    counts = [{} for _ in range(depth + 1)]
+    padded = {i: b"\xff" * depth + (t or "").encode().lower() + b"\xff" for i, t, _ in rows}
+    for i, s in padded.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for at in range(depth, len(s)):
+                for d in range(depth + 1):
+                    counts[d].setdefault(int.from_bytes(s[at - d : at], "big"), np.zeros(256))[s[at]] += 1
+    assert counts[0][0].sum() > 4 * 2**16
+    tree = ctw.build([(np.array(sorted(c), "u8"), np.array([c[k] for k in sorted(c)])) for c in counts])
+    for r in ctw.score_documents(frame(spark, rows), block_bytes=50_000).collect():
+        s = padded[r["doc_id"]]
+        before = np.array([int.from_bytes(s[at - depth : at], "big") for at in range(depth, len(s))], "u8")
+        want = tree.table[tree.rows(before), list(s[depth:])].astype("f8").sum()
+        assert math.isclose(r["score"], want, rel_tol=1e-4, abs_tol=1e-3), r
