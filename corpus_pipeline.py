@@ -17,8 +17,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id."""
-    return minhash.keep_one(docs)
+    """One document of each group of near copies (five words, similarity 0.8), that with the smallest doc_id."""
+    return minhash.keep_one(docs, 80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,12 +14,12 @@ from tallyloom.llm.components import components
 from tallyloom.llm.store import materialise
 
 WIDTH = 5
-#: A prime: the slots that the elements rank. BANDS * ROWS of them make the bands.
+#: A prime: the slots that the elements rank. Bands have ROWS of them, or fewer where more than MISSED of the pairs would share none.
 SLOTS = 127
-BANDS, ROWS = 25, 5
+ROWS, MISSED = 5, 1e-6
 PERCENT = 85
-#: By how much a signature's estimate may fall below the similarity: five standard deviations at 0.85.
-STRAY = 0.16
+#: By how many standard deviations a signature's estimate may fall below the similarity.
+STRAY = 5
 #: Members of a bucket that meet in one task; larger buckets are dealt out in pairs of such parts.
 PART = 256
 #: So many ids (16 MB) may be broadcast to pick texts; beyond that, texts and ids are shuffled.
@@ -105,16 +105,28 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return sig
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each signature."""
-    acc = np.zeros((sig.shape[0], BANDS), "u8") + np.arange(BANDS, dtype="u8") * np.uint64(0xA24BAED4963EE407)
-    rows = sig[:, : BANDS * ROWS].astype("u8").reshape(-1, BANDS, ROWS)
-    for i in range(ROWS):
+def rows_of(percent: float) -> int:
+    """Slots in a band, by the estimate for independent slots: 25 bands of 5 at 85 (4e-7 of the pairs missed), 31 of 4 at 80 (8e-8)."""
+    return next((n for n in range(ROWS, 1, -1) if (1 - (percent / 100) ** n) ** (SLOTS // n) < MISSED), 1)
+
+
+def least_estimate(percent: float) -> float:
+    """The least estimate of a signature that allows the similarity."""
+    p = percent / 100
+    return p - STRAY * (p * (1 - p) / SLOTS) ** 0.5
+
+
+def band_keys(sig: np.ndarray, size: int = ROWS) -> np.ndarray:
+    """A 64-bit key for each band of ``size`` slots of each signature."""
+    bands = SLOTS // size
+    acc = np.zeros((sig.shape[0], bands), "u8") + np.arange(bands, dtype="u8") * np.uint64(0xA24BAED4963EE407)
+    rows = sig[:, : bands * size].astype("u8").reshape(-1, bands, size)
+    for i in range(size):
         acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, i])
     return acc.view("i8")
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_id (128-bit hash of the whole set), keys (one for each band), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,21 +138,21 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sig = signatures(sets)
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(sets)), pa.array([s.size for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(list(band_keys(sig)), pa.list_(pa.int64())), pa.array([s.tobytes() for s in sig], pa.binary())],
+                    [batch.column(0).slice(at, len(sets)), pa.array([s.size for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(list(band_keys(sig, rows_of(percent))), pa.list_(pa.int64())), pa.array([s.tobytes() for s in sig], pa.binary())],
                     names=["doc_id", "n_shingles", "set_id", "keys", "sig"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<bigint>, sig binary")
 
 
-def _possible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, sigs: DataFrame, percent: float) -> DataFrame:
     """Pairs whose signatures allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u2").reshape(-1, SLOTS) for c in ("sig_a", "sig_b"))
-                keep = (x == y).mean(1) >= PERCENT / 100 - STRAY
+                keep = (x == y).mean(1) >= least_estimate(percent)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
     left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
@@ -174,13 +186,14 @@ def _streamed(df: DataFrame, by: list[str], order: list[str], use: Callable[[pa.
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
-def _first_band(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """The first band in which signatures agree with one."""
-    same = (sig[:, : BANDS * ROWS] == one[: BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
+def _first_band(sig: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
+    """The first band of ``size`` slots in which signatures agree with one."""
+    used = SLOTS // size * size
+    same = (sig[:, :used] == one[:used]).reshape(-1, used // size, size).all(2)
     return same.argmax(1)
 
 
-def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
+def _across(members: DataFrame, docs: DataFrame, percent: float) -> DataFrame:
     """Links (a, b) between different components within the buckets.
 
     ``members(key, band, id, n, comp, sig)``. Buckets are cut in parts of about PART members, and every two
@@ -212,11 +225,11 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
         found = []
         for r in rows:
             c = cols[cols > r] if same else cols
-            c = c[(comp[c] != comp[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * PERCENT)]
+            c = c[(comp[c] != comp[r]) & (np.minimum(n[c], n[r]) * 100 >= np.maximum(n[c], n[r]) * percent)]
             if c.size:
-                c = c[(sig[c] == sig[r]).mean(1) >= PERCENT / 100 - STRAY]
+                c = c[(sig[c] == sig[r]).mean(1) >= least_estimate(percent)]
             if c.size:
-                c = c[_first_band(sig[c], sig[r]) == band]
+                c = c[_first_band(sig[c], sig[r], rows_of(percent)) == band]
                 found.append(np.stack([np.full(c.size, r), c]))
         if not found or not (pairs := np.concatenate(found, 1)).size:
             return None
@@ -238,7 +251,7 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
                 a = root[a]
             while root[b] != b:
                 b = root[b]
-            if a != b and _alike(sets[x], sets[y]):
+            if a != b and _alike(sets[x], sets[y], percent):
                 root[max(a, b)] = min(a, b)
                 links.append((ids[x], ids[y]))
         if not links:
@@ -252,11 +265,11 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
     return _streamed(with_sets, parts, ["pos"], confirm, "a long, b long").distinct()
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+def _alike(x: np.ndarray, y: np.ndarray, percent: float) -> bool:
     both = np.concatenate([x, y])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= PERCENT * (both.size - common)
+    return 100 * common >= percent * (both.size - common)
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -273,12 +286,12 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialise(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary"), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs with 100 * intersection >= PERCENT * union, on the full sets of their texts."""
+def _verified(pairs: DataFrame, docs: DataFrame, percent: float) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union, on the full sets of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_alike(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
+            keep = [_alike(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), percent) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     full = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
@@ -287,8 +300,8 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document.
+def near_duplicates(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document, linked at a similarity of ``percent``.
 
     A set is a text's distinct shingles of five words; with fewer words the whole sequence; null,
     empty or blank texts have an empty set, linked with nothing. Documents with equal sets form a
@@ -296,12 +309,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member of a bucket with one centre of it (another choice in each band), which connects
     what is alike with as many pairs as there are members; then, in the buckets that still hold
     several components, the members of different components with each other. Pairs pass the sizes, the
-    signatures and then the full sets. Similar classes (0.85) share a band, and pass the signatures, but
-    for less than one in a million. A row without doc_id is linked with nothing: component_id null, kept. Rows with the same
+    signatures and then the full sets. Similar classes share a band, and pass the signatures, but
+    for less than one in a million by estimate. A row without doc_id is linked with nothing: component_id null, kept. Rows with the same
     doc_id count as one document in links. Extra columns are not read.
     """
     spark = docs.sparkSession
-    rows = materialise(sketch(docs), "sketch")
+    rows = materialise(sketch(docs, percent), "sketch")
     classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     member = materialise(rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").select("doc_id", "n_shingles", "rep"), "members")
     reps = rows.join(member.where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").where("n_shingles > 0")
@@ -310,19 +323,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     order = F.xxhash64("key", "id")
     centre = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n")).alias("c"), F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = materialise(keyed.join(centre, "key").select("key", "band", "id", "n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")), "buckets")
-    fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent
     star = materialise(
         buckets.where((F.col("id") != F.col("cid")) & fits(F.col("n"), F.col("cn")))
         .select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b"))
         .distinct(),
         "star",
     )
-    first = materialise(_verified(materialise(_possible(star, sigs), "pairs"), docs), "links")
+    first = materialise(_verified(materialise(_possible(star, sigs, percent), "pairs"), docs, percent), "links")
     labels = components(first)
     placed = buckets.join(labels, buckets.id == labels.node, "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_ = placed.join(mixed, "key", "left_semi").join(sigs.withColumnRenamed("doc_id", "id"), "id")
-    second = _across(open_, docs)
+    second = _across(open_, docs, percent)
     final = components(materialise(first.unionByName(second), "links"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return (
@@ -332,9 +345,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
     """The documents with one of each group: the smallest doc_id stays (of rows that repeat it, one)."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     first = docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi")
     named = first.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return named.unionByName(first.where("doc_id IS NULL"))

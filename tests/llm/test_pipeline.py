@@ -1,8 +1,10 @@
+import random
+
 import corpus_pipeline
 from tallyloom.llm import packing, secrets
 from tallyloom.llm.store import documents
 from tests.conftest import SF
-from tests.llm.test_documents import near_by_force
+from tests.llm.test_documents import near_by_force, sets_of
 
 
 def test_stages_against_brute_force(spark):
@@ -22,3 +24,23 @@ def test_stages_against_brute_force(spark):
         packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
         assert r["bin_size"] in packing.SIZES
     assert packed == size
+
+
+def test_near_copies_from_four_fifths_go(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([24, 50, 120]))]
+        for tail in (0, 3, 4, 5, 6, 12):
+            rows.append((len(rows), " ".join([*base[: len(base) - tail], *(f"x{g}.{tail}.{i}" for i in range(tail))])))
+    sets = {i: sets_of(t) for i, t in rows}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    assert any(0.8 <= s < 0.85 for s in alike.values()) and any(0.7 < s < 0.8 for s in alike.values())
+    best = {i: i for i in sets}
+    for _ in rows:
+        for (i, j), s in alike.items():
+            if s >= 0.8:
+                best[i] = best[j] = min(best[i], best[j])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], documents(spark, SF).schema)
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert {r["doc_id"] for r in got.collect()} == {i for i in best if best[i] == i}
