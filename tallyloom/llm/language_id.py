@@ -51,6 +51,17 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The documents whose texts have a letter."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(words_of(t)) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Lattice:
     """All segmentations of words of one length (with the begin mark): piece[n, start, length - 1]."""
 

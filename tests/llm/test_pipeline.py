@@ -44,3 +44,9 @@ def test_near_copies_from_four_fifths_go(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], documents(spark, SF).schema)
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
     assert {r["doc_id"] for r in got.collect()} == {i for i in best if best[i] == i}
+
+
+def test_documents_without_any_label_stay(spark):
+    docs = spark.createDataFrame([(1, "plain words", None, "s", 11), (2, None, None, "s", 0), (3, "123 ?!", None, "s", 6), (4, "ü", None, None, None)], documents(spark, SF).schema)
+    got = corpus_pipeline.keep_identified(spark, docs, SF)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 4]
