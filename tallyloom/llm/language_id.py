@@ -7,13 +7,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.store import materialise
 
-#: Documents for each language, about, that the piece probabilities are learned from.
+#: Distinct texts of each language, at most, that the piece probabilities are learned from.
 SAMPLE_DOCUMENTS = 1000
+#: Parts of a language's texts that are ranked apart before their first ones are ranked together.
+SALTS = 64
 ROUNDS = 3
 LONGEST = 16
 BEGIN = "▁"
@@ -152,18 +154,26 @@ def _probabilities(counts: np.ndarray, used: int) -> np.ndarray:
     return np.vstack([smooth / smooth.sum(0), np.zeros(counts.shape[1])])
 
 
+def sample(known: DataFrame, most: int) -> DataFrame:
+    """lang, text: of each language's distinct texts the ``most`` with the least hashes, or all if there are fewer."""
+    hashed = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    each = hashed.select("lang", "h").distinct().withColumn("salt", F.pmod(F.hash("h"), F.lit(SALTS)))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+    first = each.withColumn("r", rank("lang", "salt")).where(F.col("r") <= most)
+    least = materialise(first.withColumn("r", rank("lang")).where(F.col("r") <= most).select("lang", "h"), "sample")
+    return hashed.join(F.broadcast(least), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def train(docs: DataFrame, vocabulary_path: str, sample_documents: int = SAMPLE_DOCUMENTS) -> tuple[list[str], np.ndarray]:
-    """Languages and prob[piece, language], by expectation-maximisation over the words of about
-    ``sample_documents`` documents of each language. ``docs``: text and lang, neither null. Only piece counts,
+    """Languages and prob[piece, language], by expectation-maximisation over the words of
+    ``sample_documents`` distinct texts of each language (all if there are fewer). ``docs``: text and lang, neither null. Only piece counts,
     bounded by the vocabulary and the languages, reach the driver."""
     spark = docs.sparkSession
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    languages = sorted(counts)
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
         return [], np.zeros((len(vocabulary(vocabulary_path)) + 2, 0))
-    every = F.create_map(*[x for g in languages for x in (F.lit(g), F.lit(-(-counts[g] // sample_documents)))])
-    some = known.where(F.pmod(F.xxhash64("text"), F.element_at(every, F.col("lang"))) == 0).select("lang", "text")
+    some = sample(known, sample_documents)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter

@@ -185,3 +185,18 @@ def test_rare_contexts_are_nodes_in_large_corpora(spark):
         before = np.array([int.from_bytes(s[at - depth : at], "big") for at in range(depth, len(s))], "u8")
         want = tree.table[tree.rows(before), list(s[depth:])].astype("f8").sum()
         assert math.isclose(r["score"], want, rel_tol=1e-4, abs_tol=1e-3), r
+
+
+def test_samples_are_distinct_texts_and_no_language_is_without(spark):
+    rows = [("aa", f"text {i % 3}") for i in range(60)] + [("bb", f"text {i}") for i in range(300)] + [("bb", "often")] * 200
+    for most in (1, 7, 1000):
+        got = [tuple(r) for r in language_id.sample(spark.createDataFrame(rows, "lang string, text string"), most).collect()]
+        assert len(got) == len(set(got)) and set(got) <= set(rows)
+        assert [sum(g == x for g, _ in got) for x in ("aa", "bb")] == [min(most, 3), min(most, 301)]
+
+
+def test_language_of_few_distinct_texts_is_learned(spark):
+    rows = [(i, ["der und nicht mit", "eine für auf werden"][i % 2], "de") for i in range(600)] + [(1000 + i, t, "en") for i, t, lang in texts(90, 5) if lang == "en"]
+    for most in (2, 3, 5, 8):
+        languages, prob = language_id.train(frame(spark, rows).select("text", "lang"), PIECES, most)
+        assert languages == ["de", "en"] and all(np.ptp(prob[:-1, g]) > 1e-3 for g in range(2))
