@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``, or the session's own checkpoint folder where that is unset."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if path is None:
-        path = tempfile.mkdtemp(prefix="tallyloom-")
+        raise ValueError("spark.checkpoint.dir is not set, nor has the session a checkpoint folder")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
@@ -33,3 +36,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def slices(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """(from, number) of rows whose texts are about ``most_bytes`` together; a longer text is on its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8") + 64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+        yield at, to - at
+        at = to

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 
 from tallyloom.llm import ctw, embeddings, language_id
+from tests.conftest import SF
 
 PIECES = P.path("piece_bpe_32k.model")
 WORDS = {"en": "the of and to in that with for this from", "de": "der die und nicht mit eine für auf werden sich", "fr": "les des que dans une pour est pas plus avec"}
@@ -39,29 +40,86 @@ def test_language(spark):
     assert [r["lang_pred"] for r in language_id.identify(frame(spark, [(1, "words", None)]), PIECES).collect()] == ["und"]
 
 
+def by_force(word, number, other, log_prob, longest=16):
+    """ln of the sum over all segmentations, place by place."""
+    w = "▁" + word
+    total = [0.0] + [-math.inf] * len(w)
+    for end in range(1, len(w) + 1):
+        for start in range(max(0, end - longest), end):
+            piece = number.get(w[start:end], other if end - start == 1 else None)
+            if piece is not None:
+                a, b = sorted((total[end], total[start] + log_prob[piece]))
+                total[end] = b + math.log1p(math.exp(a - b))
+    return total[-1]
+
+
 def test_forward_sums_all_segmentations():
-    pieces = {"▁": 0, "▁a": 1, "a": 2, "b": 3, "ab": 4, "▁ab": 5, "ba": 6}
-    rng = np.random.default_rng(0)
-    prob = np.vstack([rng.random((8, 2)), np.zeros(2)])
-
-    def force(w, lang):
-        if not w:
-            return 1.0
-        total = 0.0
-        for n in range(1, len(w) + 1):
-            if w[:n] in pieces:
-                total += prob[pieces[w[:n]], lang] * force(w[n:], lang)
-            elif n == 1:
-                total += prob[7, lang] * force(w[1:], lang)
-        return total
-
-    words = ["abab", "bbaa", "axab"]
-    got = language_id.Lattice(words, pieces).log_probability(prob)
-    assert np.allclose(got, [[math.log(force("▁" + w, g)) for g in range(2)] for w in words])
-    long = language_id.Lattice(["ab" * 4000], pieces).log_probability(prob / 50)
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "A", "▁abab"]
+    number = {p: i for i, p in enumerate(pieces)}
+    log_prob = np.log(np.random.default_rng(0).random((10, 2)) / 5)
+    words = ["abab", "bbaa", "axab", "", "ABba", "ab" * 30, "q"]
+    got = language_id.log_probabilities(words, language_id.Pieces(pieces), log_prob)
+    want = [[by_force(w, number, 9, log_prob[:, g]) for g in range(2)] for w in words]
+    assert np.allclose(got, want)
+    lattice = language_id.Lattice(words, language_id.Pieces(pieces))
+    assert np.allclose(lattice.log_probability(log_prob, True), want) and np.allclose(lattice.log_probability(log_prob), want)
+    long = language_id.log_probabilities(["ab" * 4000], language_id.Pieces(pieces), log_prob - 10)
     assert np.isfinite(long).all()
-    use = language_id.Lattice(["ab"], pieces).expected(prob, np.ones((1, 2)))
-    assert np.allclose(use[:, 0] @ np.array([1, 2, 1, 1, 2, 3, 2, 1, 0]), 3)  # pieces used cover the word's three characters
+    use = language_id.Lattice(["ab"], language_id.Pieces(pieces)).expected(log_prob, np.zeros(1, "i8"), np.ones(1))
+    assert np.allclose(use[:, 0] @ np.array([1, 2, 1, 1, 2, 3, 2, 1, 5, 1]), 3)  # pieces used cover the word's three characters
+
+
+def test_languages_against_brute_force(spark):
+    """The query's results on the smallest tables, from a plain scorer with the same probabilities."""
+    import re
+
+    import sentencepiece
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = docs.collect()
+    learned = spark.createDataFrame([(r["text"], r["lang"]) for r in rows if not out(r["doc_id"])], "text string, lang string")
+    languages, log_prob = language_id.train(learned, PIECES)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    number = {}
+    for i in range(sp.get_piece_size()):
+        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
+            number[sp.id_to_piece(i)] = len(number)
+    assert len(log_prob) == len(number) + 1
+    word = {}
+    got = {r["doc_id"]: r for r in language_id.identify(docs, PIECES).collect()}
+    right = []
+    for r in rows:
+        g, ws = got[r["doc_id"]], re.split(r"\s+", (r["text"] or "").strip())
+        assert g["held_out"] == out(r["doc_id"])
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (g["lang_pred"], g["score"]) == ("und", 0.0)
+            continue
+        if len(r["text"]) > 4000:
+            continue
+        for w in ws:
+            if w not in word:
+                word[w] = np.array([by_force(w, number, len(number), log_prob[:, k].tolist()) for k in range(len(languages))])
+        total = sum(word[w] for w in ws)
+        share = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert g["lang_pred"] == languages[int(total.argmax())] and math.isclose(g["score"], share.max(), rel_tol=1e-6)
+        if g["held_out"] and r["lang"]:
+            right.append(g["lang_pred"] == r["lang"])
+    assert np.mean(right) > 0.95
+
+
+def test_texts_of_numerals_have_no_language(spark):
+    rows = [*texts(60), (900, "² ½ Ⅷ ① 123", "en"), (901, "x" * 300 + " " + "é" * 300, "fr"), (902, "THE AND", "en"), (903, "\u3000 les \x85 des\n", "fr")]
+    got = {r["doc_id"]: r for r in language_id.identify(frame(spark, rows), PIECES).collect()}
+    assert got[900]["lang_pred"] == "und" and all(math.isfinite(r["score"]) and math.isfinite(r["margin"]) for r in got.values())
+    assert got[903]["lang_pred"] == "fr" and got[903]["score"] > 0.9
+
+
+def test_what_no_language_explains_goes(spark):
+    rows = [*texts(150), (900, "#$%&x{}~|^" * 40, None), (901, None, "en"), (902, "12 34", None), (903, "les des que dans", None)]
+    kept = language_id.keep_identified(frame(spark, rows), PIECES)
+    assert kept.columns == frame(spark, []).columns and {r["doc_id"] for r in kept.collect()} == {*range(150), 903}
+    assert {r["lang"] for r in language_id.keep_identified(frame(spark, rows), PIECES, ["fr"]).collect()} == {"fr", None}
 
 
 def test_context_tree_is_sequential_ctw():
@@ -198,5 +256,5 @@ def test_samples_are_distinct_texts_and_no_language_is_without(spark):
 def test_language_of_few_distinct_texts_is_learned(spark):
     rows = [(i, ["der und nicht mit", "eine für auf werden"][i % 2], "de") for i in range(600)] + [(1000 + i, t, "en") for i, t, lang in texts(90, 5) if lang == "en"]
     for most in (2, 3, 5, 8):
-        languages, prob = language_id.train(frame(spark, rows).select("text", "lang"), PIECES, most)
-        assert languages == ["de", "en"] and all(np.ptp(prob[:-1, g]) > 1e-3 for g in range(2))
+        languages, log_prob = language_id.train(frame(spark, rows).select("text", "lang"), PIECES, most)
+        assert languages == ["de", "en"] and all(np.ptp(np.exp(log_prob[:, g])) > 1e-3 for g in range(2))
