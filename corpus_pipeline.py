@@ -10,13 +10,9 @@ from tallyloom.llm.store import documents, materialise
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; what has no letter or a null text goes.
-    Without any labelled text no language can be told, and only those go."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    languages, prob = language_id.train(docs.select("text", "lang"), path)
-    if not languages:
-        return language_id.lettered(docs)
-    return language_id.predict(docs, languages, prob, path).where("_tl_lang <> 'und'").select(*docs.columns)
+    """Documents whose language is recognised; null texts go, texts without a letter, and those that no language
+    explains better than equally likely pieces. Without any labelled text only the first two go."""
+    return language_id.keep_identified(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
