@@ -167,14 +167,14 @@ class Lattice:
         alpha = self._forward(weight)
         beta = np.full(self.word.size, -np.inf)
         beta[self.last] = 0
-        out = np.zeros(log_prob.size)
+        cells, uses = [np.zeros(0, "i8")], [np.zeros(0)]
         for step in reversed(self.steps):
             for start, end, ids in reversed(step):
                 w, of = weight(start, ids), self.word[start]
                 beta[start] = np.logaddexp(beta[start], beta[end] + w)
-                use = np.exp(alpha[start] + w + beta[end] - alpha[self.last[of]]) * n[of]
-                out += np.bincount(ids * log_prob.shape[1] + language[of], use, out.size)
-        return out.reshape(log_prob.shape)
+                uses.append(np.exp(alpha[start] + w + beta[end] - alpha[self.last[of]]) * n[of])
+                cells.append(ids * log_prob.shape[1] + language[of])
+        return np.bincount(np.concatenate(cells), np.concatenate(uses), log_prob.size).reshape(log_prob.shape)
 
 
 def _together(words: Sequence[str]) -> Iterator[np.ndarray]:

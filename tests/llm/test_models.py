@@ -95,7 +95,7 @@ def test_languages_against_brute_force(spark):
         if not any(map(str.isalpha, r["text"] or "")):
             assert (g["lang_pred"], g["score"]) == ("und", 0.0)
             continue
-        if len(r["text"]) > 4000:
+        if len(r["text"]) > 1500:
             continue
         for w in ws:
             if w not in word:
