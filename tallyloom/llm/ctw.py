@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +20,14 @@ DEPTH = 5
 #: Contexts of so many bytes (65,536 at most, whatever the corpus) meet on the driver; the longer ones stay in buckets.
 TOP = 2
 BLOCK_BYTES = 8 << 20
+#: Windows that are in memory together; a longer text is taken in stretches.
+STRIP = 8 << 20
 #: A byte that UTF-8 never has: it stands before a text and ends it.
 EDGE = 0xFF
 #: White space is never part of a word, so this names the end token.
-END = xxhash.xxh3_64_intdigest(b" ") - (1 << 63)
-_STRIP = 2 << 20
+END = xxhash.xxh3_64_intdigest(b" ")
+#: Counts whose logarithms of the gamma function are looked up.
+_SMALL = 4096
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -36,9 +39,22 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - shift
 
 
+_WHOLE = np.array([math.lgamma(n + 1) for n in range(_SMALL)])
+_HALF = np.array([math.lgamma(n + 0.5) for n in range(_SMALL)])
+
+
+def _looked(table: np.ndarray, counts: np.ndarray, add: float) -> np.ndarray:
+    """ln of the gamma function at counts + add, which are whole numbers mostly small."""
+    out = table.take(np.minimum(counts, _SMALL - 1).astype("i8"))
+    big = counts >= _SMALL
+    if big.any():
+        out[big] = log_gamma(counts[big] + add)
+    return out
+
+
 def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1)
+    return _looked(_HALF, zeros, 0.5) + _looked(_HALF, ones, 0.5) - np.log(np.pi) - _looked(_WHOLE, zeros + ones, 1.0)
 
 
 def bit_counts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,72 +144,106 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
     return ContextTree([c for c, _ in levels], first, np.concatenate(tables))
 
 
-def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH + 1 bytes that end at each byte of each text and at its end, and each text's first.
-    The byte is lowest; its context goes from the latest byte, highest, to the earliest, so that what
-    shares a context is a range."""
-    pad = bytes([EDGE]) * DEPTH
-    joined = np.frombuffer(b"".join(pad + t + b"\xff" for t in texts), "u1")
-    sizes = np.array([len(t) + 1 for t in texts])
-    begins = np.concatenate([[0], np.cumsum(sizes + DEPTH)])[:-1]
-    code = np.zeros(joined.size, "u8")
-    for back in range(DEPTH, -1, -1):
-        code[back:] |= joined[: joined.size - back].astype("u8") << np.uint64(8 * (DEPTH + 1 - back) if back else 0)
-    real = np.ones(joined.size, bool)
-    for i in range(DEPTH):
-        real[begins + i] = False
-    return code[real], np.concatenate([[0], np.cumsum(sizes)])[:-1]
-
-
-def _strips(texts: list[str | None]) -> Iterator[list[bytes]]:
-    strip, size = [], 0
-    for t in texts:
-        one = (t or "").encode().lower()
-        strip.append(one)
-        size += len(one)
-        if size >= _STRIP:
-            yield strip
-            strip, size = [], 0
-    if strip:
-        yield strip
+def _strips(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, windows): in order, the windows that end at each byte and at the end of some texts from ``first`` on, or of
+    a stretch of one, each above the 16 bits of its text's number after ``first``.
+
+    A window's code has DEPTH + 1 bytes. The last is lowest; its context goes from the latest byte, highest, to the
+    earliest, so that what shares a context is a range.
+    """
+    pieces: list[bytes] = []
+    of: list[int] = []
+    held = 0
+
+    def given() -> tuple[int, np.ndarray]:
+        joined = np.frombuffer(b"".join(pieces), "u1")
+        sizes = np.fromiter(map(len, pieces), "i8", len(pieces)) - DEPTH
+        code = np.zeros(joined.size, "u8")
+        step = 1 << 16
+        for lo in range(0, joined.size, step):
+            part = code[lo : lo + step]
+            for back in range(DEPTH + 1):
+                skip = max(0, back - lo)
+                shift = 16 + (8 * (DEPTH + 1 - back) if back else 0)
+                part[skip:] |= joined[lo + skip - back : lo + part.size - back].astype("u8") << np.uint64(shift)
+        real = np.ones(joined.size, bool)
+        begins = np.cumsum(sizes + DEPTH) - sizes - DEPTH
+        for i in range(DEPTH):
+            real[begins + i] = False
+        code = code[real]
+        code |= np.repeat(np.array(of, "u8") - np.uint64(of[0]), sizes)
+        code.sort()
+        return of[0], code
+
+    for i, t in enumerate(texts):
+        whole = bytes([EDGE]) * DEPTH + t + b"\xff"
+        at = 0
+        while at < len(t) + 1:
+            if of and i - of[0] >= 1 << 16 or held >= STRIP:
+                yield given()
+                pieces, of, held = [], [], 0
+            to = min(len(t) + 1, at + STRIP - held)
+            pieces.append(whole[at : to + DEPTH])
+            of.append(i)
+            held += to - at
+            at = to
+    if held:
+        yield given()
+
+
+def _runs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a strip, and where each begins."""
+    code = windows >> np.uint64(16)
+    first = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1])
+    return code[first], first
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes, A-Z in lower case."""
+    return pc.ascii_lower(column).cast(pa.binary()).to_pylist()
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if len(keys) == 1:
+        return keys[0], counts[0].astype("i8")
     k, n = np.concatenate(keys), np.concatenate(counts)
     own, inverse = np.unique(k, return_inverse=True)
     return own, np.bincount(inverse, n, own.size).astype("i8")
 
 
-def _word(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w) - (1 << 63)
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """w, c: how often each word (by its 64-bit hash; the end token too) occurs in ``docs(text)``.
-    Tasks add up what they read before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        ends = 0
-
-        def given() -> Iterator[pa.RecordBatch]:
-            k, n = np.fromiter(map(_word, words), "i8", len(words)), np.fromiter(words.values(), "i8", len(words))
-            for at in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["w", "c"])
-            words.clear()
-
-        for batch in batches:
-            for strip in _strips(batch.column(0).to_pylist()):
-                for t in strip:
-                    words.update(t.split())
-                ends += len(strip)
-                if len(words) > 1_000_000:
-                    yield from given()
-        yield from given()
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends])], names=["w", "c"])
-
-    return docs.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+def _window_counts(texts: list[bytes], taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all texts and how often each is in those that are ``taught``."""
+    keys, counts = [], []
+    for at, windows in _strips(texts):
+        own, first = _runs(windows)
+        keys.append(own)
+        counts.append(np.add.reduceat(taught[at + (windows & np.uint64(0xFFFF)).astype("i8")].astype("i4"), first))
+    return _summed(keys, counts)
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts: sorted hashes of the distinct ones, the place of each token's there, and its text's number."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    sizes = np.diff(np.asarray(parts.offsets))
+    coded = parts.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(column)), sizes)
+    own, place = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)), return_inverse=True)
+    real = np.array([bool(w) for w in words], bool)
+    if not real.all():  # white space at an end of a text gives empty words
+        kept = real[code]
+        code, owner = code[kept], owner[kept]
+        empty = own == np.uint64(xxhash.xxh3_64_intdigest(b""))
+        place, own = place - np.cumsum(empty)[place], own[~empty]
+    return own, place[code], owner
+
+
+def _word_counts(column: pa.Array, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts and the end, and how often each is in those that are ``taught``."""
+    own, place, owner = _tokens(column)
+    n = np.bincount(place, taught[owner], own.size).astype("i8")
+    return _summed([own, np.array([END], "u8")], [n, np.array([taught.sum()], "i8")])
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -214,13 +264,20 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, "u8"), dtype="u8")
 
 
-def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each window, by the TOP + 1 latest bytes of its context."""
-    x = keys >> np.uint64(8 * (DEPTH - TOP))
+def _mixed_up(x: np.ndarray, buckets: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15)
     return ((x >> np.uint64(33)) % np.uint64(buckets)).astype("i4")
 
 
+def _dealt(keys: np.ndarray, buckets: int, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of keys (windows by the TOP + 1 latest bytes of their contexts; words have buckets of their own, above), the
+    order in which their keys stand, and where each one's begin there."""
+    of = _mixed_up(keys, buckets) + buckets if words else _mixed_up(keys >> np.uint64(8 * (DEPTH - TOP)), buckets)
+    order = np.argsort(of.astype("u2") if 2 * buckets <= 1 << 16 else of, kind="stable")
+    first = np.concatenate([[0], np.flatnonzero(np.diff(of[order])) + 1]) if keys.size else np.zeros(0, "i8")
+    return of[order][first], order, first
+
+
 @dataclass
 class _Level:
     """Binary decisions (context and node, ``codes``) at one length of context: zeros, ones, own
@@ -302,7 +359,7 @@ def _grouped(keys: np.ndarray, n: np.ndarray, most: int = 200_000) -> Iterator[t
 
 
 def window_logs(windows: DataFrame) -> DataFrame:
-    """bucket, keys, logs: log10 of each window's last byte after the others, from
+    """bucket, keys, values: log10 of each window's last byte after the others, from
     ``windows(bucket, keys, n)`` with all windows of a bucket in one row and their training counts.
 
     Every context that occurs is a node. With P_e the KT estimate and P_w = P_e at DEPTH bytes,
@@ -319,7 +376,7 @@ def window_logs(windows: DataFrame) -> DataFrame:
                     codes, *sums = _deep(keys, counts)[2]
                     yield pa.RecordBatch.from_arrays([pa.array(codes.astype("i8")), *map(pa.array, sums)], names=["code", "zeros", "ones", "below"])
 
-    short = windows.mapInArrow(up, "code long, zeros double, ones double, below double").groupBy("code").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+    short = windows.select("bucket", "keys", "n").mapInArrow(up, "code long, zeros double, ones double, below double").groupBy("code").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
     found = short.toArrow().sort_by("code")
     top, zeros, ones, below = (found.column(c).to_numpy() for c in ("code", "zeros", "ones", "below"))
     top = top.astype("u8")
@@ -339,21 +396,22 @@ def window_logs(windows: DataFrame) -> DataFrame:
                     one = (part[levels[0].up] + left[levels[0].up] * levels[0].own)[at]
                     bit = (keys & np.uint64(255)).astype("i8")[:, None] >> (7 - np.arange(8)) & 1
                     logs.append(np.log10(np.where(bit == 1, one, 1 - one)).sum(1).astype("f4"))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([k], pa.binary()), pa.array([_pack(np.concatenate(logs))], pa.binary())], names=["bucket", "keys", "logs"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([k], pa.binary()), pa.array([_pack(np.concatenate(logs))], pa.binary())], names=["bucket", "keys", "values"])
 
-    return windows.mapInArrow(down, "bucket int, keys binary, logs binary")
+    return windows.select("bucket", "keys", "n").mapInArrow(down, "bucket int, keys binary, values binary")
 
 
 def _merged(parts: DataFrame) -> DataFrame:
-    """bucket, keys, n: the windows of each bucket and their sums, from parts of it. A bucket's parts
-    come one after another and are added up as they come."""
+    """bucket, keys, n, total, known: the keys of each bucket and their sums, from parts of it, and over them the sum and
+    how many are not 0. A bucket's parts come one after another and are added up as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, size = None, [], 0
 
         def given() -> pa.RecordBatch:
             keys, n = _summed(*zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([_pack_keys(keys)], pa.binary()), pa.array([_pack(n)], pa.binary())], names=["bucket", "keys", "n"])
+            columns = [pa.array([own], pa.int32()), pa.array([_pack_keys(keys)], pa.binary()), pa.array([_pack(n)], pa.binary()), pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "keys", "n", "total", "known"])
 
         for batch in batches:
             for bucket, k, n in zip(*(batch.column(i) for i in range(3)), strict=True):
@@ -369,25 +427,73 @@ def _merged(parts: DataFrame) -> DataFrame:
         if held:
             yield given()
 
-    return parts.select("bucket", "keys", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, keys binary, n binary")
+    return parts.select("bucket", "keys", "n").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, keys binary, n binary, total long, known long")
 
 
-def _looked_up(parts: DataFrame, logs: DataFrame) -> DataFrame:
-    """block, keys, logs: the logs of each part's windows. A bucket's table comes before its parts."""
+def _looked_up(parts: DataFrame, tables: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, values: the values of each part's keys, in order. A bucket's table comes before its parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = np.zeros(0, "u8"), np.zeros(0, "f4")
         for batch in batches:
-            for block, k, v in zip(*(batch.column(i) for i in range(1, 4)), strict=True):
+            blocks, own, values = [], [], []
+            for bucket, block, k, v in zip(*(batch.column(i) for i in range(4)), strict=True):
                 keys = _unpack_keys(k.as_py())
                 if block.as_py() < 0:
-                    known, table = keys, _unpack(v.as_py(), "f4")
+                    known, table = keys, _unpack(v.as_py(), "f4" if bucket.as_py() < buckets else "i8")
                 else:
-                    found = table[np.searchsorted(known, keys)]
-                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([k.as_py()], pa.binary()), pa.array([_pack(found)], pa.binary())], names=["block", "keys", "logs"])
+                    blocks.append(block.as_py())
+                    own.append(bucket.as_py())
+                    values.append(_pack(table[np.searchsorted(known, keys)]))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(own, pa.int32()), pa.array(values, pa.binary())], names=["block", "bucket", "values"])
 
-    both = logs.select("bucket", F.lit(-1).alias("block"), "keys", "logs").unionByName(parts.select("bucket", "block", "keys", F.lit(None).cast("binary").alias("logs")))
-    return both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block int, keys binary, logs binary")
+    both = tables.select("bucket", F.lit(-1).cast("long").alias("block"), "keys", "values").unionByName(parts.select("bucket", "block", "keys", F.lit(None).cast("binary").alias("values")))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, values binary")
+
+
+def _blocks(texts: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
+    """Rows of two sorts: block, doc_id, held_out, text of each document; and block, bucket, keys, n of the windows and the
+    words that a block has, with their counts in its training texts. A block is what a task reads one after another, about
+    ``block_bytes`` of text, so equal rows need not meet."""
+    from pyspark import TaskContext
+
+    names = ["block", "doc_id", "held_out", "text", "bucket", "keys", "n"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
+
+    def rows(**columns: pa.Array) -> pa.RecordBatch:
+        n = len(columns["block"])
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, k)) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            text, out = (table.column(c).chunk(0) for c in ("text", "held_out"))
+            yield rows(block=pa.array(np.full(len(text), block)), doc_id=table.column("doc_id").chunk(0), held_out=out, text=text)
+            taught = ~out.to_numpy(zero_copy_only=False).astype(bool)
+            for words, (keys, n) in ((False, _window_counts(_texts(text), taught)), (True, _word_counts(text, taught))):
+                of, order, first = _dealt(keys, buckets, words)
+                cut = first[1:]
+                parts = [_pack_keys(x) for x in np.split(keys[order], cut)], [_pack(x) for x in np.split(n[order].astype("i4"), cut)]
+                yield rows(block=pa.array(np.full(of.size, block)), bucket=pa.array(of, pa.int32()), keys=pa.array(parts[0], pa.binary()), n=pa.array(parts[1], pa.binary()))
+
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype("i8") + 64)
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                to = min(batch.num_rows, int(np.searchsorted(ends, before + block_bytes - size, "left")) + 1)
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to - 1]) - before
+                at = to
+                if size >= block_bytes:
+                    yield from given()
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield from given()
+
+    return texts.mapInArrow(run, "block long, doc_id long, held_out boolean, text string, bucket int, keys binary, n binary")
 
 
 def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -397,87 +503,64 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_by
     tree's probability of the bytes and the end; ``base_score`` that of the tokens by add-one word
     frequencies. Both learn from documents whose crc32(doc_id as text) mod ``folds`` is not ``held_out`` (null
     ids count as the empty text). Word counts and the tree stay distributed: each block of about
-    ``block_bytes`` of texts gets the counts of its own words and the logs of its own windows.
+    ``block_bytes`` of texts gives its words and windows once, sorted, and gets back the counts and logs of just these.
+    Rows that repeat are rows of their own; extra columns are not read; doc_id is taken as a long.
     """
     out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_out
-    texts = docs.select("doc_id", out.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    words = materialise(word_counts(texts.where(~F.col("held_out"))), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-    def tokens(texts: list[bytes], known: dict[bytes, int]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        for ws in split:
-            for w in set(ws).difference(known):
-                known[w] = _word(w)
-        return [np.fromiter((*map(known.__getitem__, ws), END), "i8", len(ws) + 1) for ws in split]
-
-    def needed(table: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        for t in table.column("text").to_pylist():
-            for w in set(t.encode().lower().split()).difference(known):
-                known[w] = _word(w)
-        own = np.unique(np.fromiter((*known.values(), END), "i8", len(known) + 1))
-        keys, counts = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
-        for taught in (True, False):
-            for strip in _strips(table.filter(pc.equal(table.column("held_out"), not taught)).column("text").to_pylist()):
-                k, n = np.unique(_windows(strip)[0], return_counts=True)
-                keys.append(k)
-                counts.append(n * taught)
-        keys, counts = _summed(keys, counts)
-        bucket = _buckets(keys, blocks)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.flatnonzero(np.diff(bucket[order])) + 1
-        parts = np.split(order, ends) if order.size else []
-        pad = [None] * len(parts)
+    # fewer than the blocks where these are many: else the parts, one for each of both, would grow with the square of the texts
+    buckets = min(blocks, 16 * math.isqrt(blocks) + 16)
+    both = materialise(_blocks(texts, buckets, block_bytes), "blocks")
+    parts = both.where("bucket IS NOT NULL")
+    merged = materialise(_merged(parts), "merged")
+    words, windows = merged.where(F.col("bucket") >= buckets), merged.where(F.col("bucket") < buckets)
+    total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    tables = materialise(window_logs(windows).unionByName(words.select("bucket", "keys", F.col("n").alias("values"))), "tables")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        text = left.column("text").combine_chunks()
+        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+        of = right.column("bucket").to_numpy()
+        packed = right.column("values").to_pylist()
+        at = np.argsort(of)
+        logs = np.concatenate([np.zeros(0, "f4"), *(_unpack(packed[i], "f4") for i in at if of[i] < buckets)])
+        counts = np.concatenate([np.zeros(0, "i8"), *(_unpack(packed[i], "i8") for i in at if of[i] >= buckets)])
+        raw = _texts(text)
+        strips = list(_strips(raw)) if sum(map(len, raw)) < 2 * STRIP else None
+        keys = _summed(*zip(*((k, np.zeros(k.size)) for k, _ in (_runs(w) for _, w in strips or _strips(raw))), strict=True))[0]
+        in_order = np.empty(keys.size, "f4")
+        in_order[_dealt(keys, buckets, False)[1]] = logs
+        whole = np.zeros(len(raw))
+        for first, windows in strips or _strips(raw):
+            own, begins = _runs(windows)
+            value = in_order[np.searchsorted(keys, own)] if own.size < keys.size else in_order
+            each = np.repeat(value.astype("f8"), np.diff(begins, append=windows.size))
+            sums = np.bincount((windows & np.uint64(0xFFFF)).astype("i8"), each)
+            whole[first : first + sums.size] += sums
+        own, place, owner = _tokens(text)
+        listed = np.union1d(own, np.array([END], "u8"))
+        c = np.empty(listed.size, "i8")
+        c[_dealt(listed, buckets, True)[1]] = counts
+        token, end = c[np.searchsorted(listed, own)][place], c[np.searchsorted(listed, np.uint64(END))]
+        log = np.log10((c[np.searchsorted(listed, own)] + 1.0) / (total + distinct + 1))[place]
+        n = len(raw)
         columns = {
-            "block": pa.array(np.full(own.size + len(parts), table.column("block")[0].as_py(), "i4")),
-            "w": pa.concat_arrays([pa.array(own), pa.array(pad, pa.int64())]),
-            "bucket": pa.array([None] * own.size + [int(bucket[p[0]]) for p in parts], pa.int32()),
-            "keys": pa.array([None] * own.size + [_pack_keys(keys[p]) for p in parts], pa.binary()),
-            "n": pa.array([None] * own.size + [_pack(counts[p].astype("i4")) for p in parts], pa.binary()),
+            "doc_id": left.column("doc_id"),
+            "held_out": left.column("held_out"),
+            "n_tokens": pa.array(np.bincount(owner, minlength=n) + 1),
+            "n_known": pa.array(np.bincount(owner, token > 0, n).astype("i8") + int(end > 0)),
+            "base_score": pa.array(np.bincount(owner, log, n) + math.log10((end + 1) / (total + distinct + 1))),
+            "score": pa.array(whole),
+            "n_bytes": pa.array(np.fromiter(map(len, raw), "i8", n)),
         }
         return pa.table(columns)
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        counted = right.filter(pc.is_valid(right.column("w")))
-        w, c = counted.column("w").to_numpy(), counted.column("c").to_numpy()
-        listed = right.filter(pc.is_valid(right.column("keys")))
-        seen = np.concatenate([np.zeros(0, "u8"), *(_unpack_keys(k) for k in listed.column("keys").to_pylist())])
-        logs = np.concatenate([np.zeros(0, "f4"), *(_unpack(v, "f4") for v in listed.column("logs").to_pylist())])
-        place = np.argsort(seen)
-        seen, logs = seen[place], logs[place]
-        order = np.argsort(w)
-        w, c = np.concatenate([w[order], [np.iinfo("i8").max]]), np.concatenate([c[order], [0]])
-        texts = left.column("text").to_pylist()
-        cols: list[list] = [[] for _ in range(5)]
-        known: dict[bytes, int] = {}
-        for strip in _strips(texts):
-            code, begins = _windows(strip)
-            log = logs[np.searchsorted(seen, code)]
-            cols[3] += np.add.reduceat(log.astype("f8"), begins).tolist()
-            cols[4] += map(len, strip)
-            own = tokens(strip, known)
-            flat = np.concatenate(own)
-            at = np.minimum(np.searchsorted(w, flat), w.size - 1)
-            n = np.where(w[at] == flat, c[at], 0)
-            starts = np.cumsum([0, *map(len, own)])[:-1]
-            cols[0] += map(len, own)
-            cols[1] += np.add.reduceat((n > 0).astype("i8"), starts).tolist()
-            cols[2] += np.add.reduceat(np.log10((n + 1.0) / (total + distinct + 1)), starts).tolist()
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()), "n_bytes": pa.array(cols[4], pa.int64())})
-
-    need = materialise(dealt.groupBy("block").applyInArrow(needed, "block int, w long, bucket int, keys binary, n binary"), "need")
-    parts = need.where("bucket IS NOT NULL")
-    logs = materialise(window_logs(materialise(_merged(parts), "windows")), "logs")
-    nothing = F.lit(None)
-    have = (
-        need.where("w IS NOT NULL").join(words, "w").select("block", "w", "c", nothing.cast("binary").alias("keys"), nothing.cast("binary").alias("logs"))
-        .unionByName(_looked_up(parts, logs).select("block", nothing.cast("long").alias("w"), nothing.cast("long").alias("c"), "keys", "logs"))
+    scored = (
+        both.where("bucket IS NULL").select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(_looked_up(parts, tables, buckets).groupBy("block"))
+        .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     )
-    scored = dealt.groupBy("block").cogroup(have.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * F.log2(F.lit(10.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte")
     )

@@ -258,3 +258,29 @@ def test_language_of_few_distinct_texts_is_learned(spark):
     for most in (2, 3, 5, 8):
         languages, log_prob = language_id.train(frame(spark, rows).select("text", "lang"), PIECES, most)
         assert languages == ["de", "en"] and all(np.ptp(np.exp(log_prob[:, g])) > 1e-3 for g in range(2))
+
+
+def test_stretches_of_texts_have_the_windows_of_the_whole(monkeypatch):
+    data = [b"", b"abc", b"x" * 5000, "é ü".encode() * 700, b"", b"end"]
+    def per_text(strips):
+        return sorted((int(w & np.uint64(0xFFFF)) + at, int(w >> np.uint64(16))) for at, ws in strips for w in ws)
+
+    want = []
+    for i, t in enumerate(data):
+        s = b"\xff" * ctw.DEPTH + t + b"\xff"
+        want += [(i, int.from_bytes(s[e - ctw.DEPTH : e][::-1] + s[e : e + 1], "big")) for e in range(ctw.DEPTH, len(s))]
+    assert per_text(ctw._strips(data)) == sorted(want)
+    monkeypatch.setattr(ctw, "STRIP", 1000)
+    assert per_text(ctw._strips(data)) == sorted(want) and len(list(ctw._strips(data))) > 9
+    monkeypatch.setattr(ctw, "STRIP", 1 << 20)
+    assert [at for at, _ in ctw._strips([b"a"] * 70_000)] == [0, 1 << 16]
+
+
+def test_tokens_are_words_between_ascii_space():
+    import pyarrow as pa
+
+    data = ["", " a  B\x0bb\x0c", "\x1ca\x85 b\xa0b", "\t\n", "A"]
+    own, place, owner = ctw._tokens(pa.array(data))
+    words = [(i, w) for i, t in enumerate(data) for w in t.encode().lower().split()]
+    assert owner.tolist() == [i for i, _ in words] and len(own) == len({w for _, w in words})
+    assert len({(int(own[p]), w) for p, (_, w) in zip(place, words, strict=True)}) == len(own)
