@@ -451,14 +451,21 @@ def _looked_up(parts: DataFrame, tables: DataFrame, buckets: int) -> DataFrame:
     return both.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket int, values binary")
 
 
+def _compressed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 def _blocks(texts: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
-    """Rows of two sorts: block, doc_id, held_out, text of each document; and block, bucket, keys, n of the windows and the
-    words that a block has, with their counts in its training texts. A block is what a task reads one after another, about
+    """Rows of two sorts: block, texts with all documents (doc_id, held_out, text) of a block, compressed; and block, bucket,
+    keys, n of the windows and the words that it has, with their counts in its training texts. A block is what a task reads one after another, about
     ``block_bytes`` of text, so equal rows need not meet."""
     from pyspark import TaskContext
 
-    names = ["block", "doc_id", "held_out", "text", "bucket", "keys", "n"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["block", "texts", "bucket", "keys", "n"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def rows(**columns: pa.Array) -> pa.RecordBatch:
         n = len(columns["block"])
@@ -470,7 +477,7 @@ def _blocks(texts: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
         def given() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
             text, out = (table.column(c).chunk(0) for c in ("text", "held_out"))
-            yield rows(block=pa.array(np.full(len(text), block)), doc_id=table.column("doc_id").chunk(0), held_out=out, text=text)
+            yield rows(block=pa.array([block]), texts=pa.array([_compressed(table)], pa.binary()))
             taught = ~out.to_numpy(zero_copy_only=False).astype(bool)
             for words, (keys, n) in ((False, _window_counts(_texts(text), taught)), (True, _word_counts(text, taught))):
                 of, order, first = _dealt(keys, buckets, words)
@@ -493,7 +500,7 @@ def _blocks(texts: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
         if held:
             yield from given()
 
-    return texts.mapInArrow(run, "block long, doc_id long, held_out boolean, text string, bucket int, keys binary, n binary")
+    return texts.mapInArrow(run, "block long, texts binary, bucket int, keys binary, n binary")
 
 
 def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -520,8 +527,8 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_by
     tables = materialise(window_logs(windows).unionByName(words.select("bucket", "keys", F.col("n").alias("values"))), "tables")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        text = left.column("text").combine_chunks()
-        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+        left = pa.ipc.open_stream(left.column("texts")[0].as_buffer()).read_all().combine_chunks()
+        text = left.column("text").chunk(0)
         of = right.column("bucket").to_numpy()
         packed = right.column("values").to_pylist()
         at = np.argsort(of)
@@ -558,7 +565,7 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, block_by
         return pa.table(columns)
 
     scored = (
-        both.where("bucket IS NULL").select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(_looked_up(parts, tables, buckets).groupBy("block"))
+        both.where("bucket IS NULL").select("block", "texts").groupBy("block").cogroup(_looked_up(parts, tables, buckets).groupBy("block"))
         .applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     )
     return scored.select(
