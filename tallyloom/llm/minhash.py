@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
-from tallyloom.llm.store import materialise
+from tallyloom.llm.store import materialise, slices
 
 WIDTH = 5
 #: A prime: the slots that the elements rank. Bands have ROWS of them, or fewer where more than MISSED of the pairs would share none.
@@ -39,7 +39,7 @@ class Shingler:
     """Sets of word shingles as sorted 64-bit hashes. Words are what ASCII white space leaves, with
     A-Z in lower case; word hashes are kept up to a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -100,7 +100,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             break
         if not keep.all():
             x, owner, h, a, b = x[keep], owner[keep], h[keep], a[keep], b[keep]
-    sig = (out >> np.uint64(48)).astype("u2")
+    sig = (_mix(out) >> np.uint64(48)).astype("u2")  # the minima themselves are small in large sets, so their own bits say little
     sig[sizes == 0] = 0
     return sig
 
@@ -132,9 +132,8 @@ def sketch(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                sets = [shingle(t) for t in texts[at : at + 256]]
+            for at, n in slices(batch.column(1), 1 << 20):
+                sets = [shingle(t) for t in batch.column(1).slice(at, n).to_pylist()]
                 sig = signatures(sets)
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -142,7 +141,7 @@ def sketch(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_id", "keys", "sig"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<bigint>, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<bigint>, sig binary")
 
 
 def _possible(pairs: DataFrame, sigs: DataFrame, percent: float) -> DataFrame:
@@ -278,12 +277,14 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "set"])
+            for at, n in slices(batch.column(1)):
+                part = batch.slice(at, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "set"])
 
     ids = materialise(ids.distinct(), "ends")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return materialise(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary"), "sets")
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: float) -> DataFrame:
@@ -346,8 +347,9 @@ def near_duplicates(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
-    """The documents with one of each group: the smallest doc_id stays (of rows that repeat it, one)."""
+    """The documents with one of each group: that with the smallest doc_id stays. Rows that repeat both its id and its text
+    go, rows with its id and another text stay."""
     kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept"]), "left_semi")
-    named = first.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    first = docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    named = first.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     return named.unionByName(first.where("doc_id IS NULL"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.store import scratch_path
+from tallyloom.llm.store import scratch_path, slices
 
 BLOCK = 512
 SEGMENT = 1 << 20
@@ -49,7 +49,7 @@ class Encoder:
     space to the word after it, so the ids that begin with a space tell where the words begin.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -222,7 +222,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_byt
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    rows = docs.select("doc_id", text).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard, segment = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -239,8 +239,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_byt
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(data.values(), kinds, strict=True)], names=list(data))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at, n in slices(batch.column(1), 6 << 20):
+                part = batch.slice(at, n)
                 for name, one in zip(part.column(0).to_pylist(), own.encode(part.column(1)), strict=True):
                     ids += [one, end]
                     names.append(name)

@@ -131,7 +131,7 @@ def sets_of(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def near_by_force(rows):
+def near_by_force(rows, percent=85):
     sets = [sets_of(t) for _, t in rows]
     best = [i for i, _ in rows]
     changed = True
@@ -142,7 +142,7 @@ def near_by_force(rows):
                 if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j]:
                     continue
                 both = len(sets[i] & sets[j])
-                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and best[j] < best[i]:
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and best[j] < best[i]:
                     best[i], changed = best[j], True
     return {(i, len(s), b, b == i or i is None) for (i, _), s, b in zip(rows, sets, best, strict=True)}
 

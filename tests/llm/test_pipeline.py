@@ -1,26 +1,44 @@
 import random
 
+import numpy as np
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tallyloom.llm import packing, secrets
+from tallyloom.llm import language_id, packing, secrets
 from tallyloom.llm.store import documents
 from tests.conftest import SF
 from tests.llm.test_documents import near_by_force, sets_of
 
 
-def test_stages_against_brute_force(spark):
+def test_stages_against_brute_force(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "secret_scan", "packing"]
-    rows = [(r["doc_id"], r["text"]) for r in documents(spark, SF).collect()]
-    lettered = [(i, t) for i, t in rows if t and any(map(str.isalpha, t))]
-    kept = {i for i, _, _, k in near_by_force(lettered) if k}
-    docs = documents(spark, SF)
+    given, sf = documents(spark, SF), str(tmp_path)
+    odd = [(90001, "#$%&{}~|^ x" * 40, None, "s", 0), (90002, None, "en", "s", 0), (90003, "12 ½", "de", "s", 0), (90004, "", None, None, None)]
+    given.unionByName(spark.createDataFrame(odd, given.schema)).write.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in documents(spark, sf).collect()]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    languages, log_prob = language_id.train(documents(spark, sf), path)
+    words = sorted({w for _, t in rows for w in (t or "").split()})
+    even = np.full((len(log_prob), 1), -np.log(len(log_prob)))
+    of = dict(zip(words, language_id.log_probabilities(words, language_id.vocabulary(path), np.hstack([log_prob, even])), strict=True))
+    known = []
+    for i, t in rows:
+        total = sum((of[w] for w in (t or "").split()), np.zeros(len(languages) + 1))
+        if t and any(map(str.isalpha, t)) and total[:-1].max() > total[-1]:
+            known.append((i, t))
+    assert len(known) > 0.9 * len(rows) and max(i for i, _ in known) < 90001
+    kept = {i for i, _, _, k in near_by_force(known, 80) if k}
+    docs = documents(spark, sf)
     for _, stage in corpus_pipeline.STAGES[:2]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == documents(spark, SF).columns
+        docs = stage(spark, docs, sf)
+        assert docs.columns == documents(spark, sf).columns
     assert {r["doc_id"] for r in docs.collect()} == kept
-    clean = secrets.redact(documents(spark, SF).where(documents(spark, SF).doc_id.isin(list(kept))))
+    clean = secrets.redact(documents(spark, sf).where(F.col("doc_id").isin(list(kept))))
     size = {r["doc_id"]: len(r["text"].encode()) + 1 for r in clean.collect()}
     packed = {}
-    for r in corpus_pipeline.run(spark, SF).collect():
+    for r in corpus_pipeline.run(spark, sf).collect():
         packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
         assert r["bin_size"] in packing.SIZES
     assert packed == size
