@@ -84,8 +84,6 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
                 x = None if values is None or values.null_count or not len(values) else values.to_numpy(zero_copy_only=False)
                 if x is not None and (not np.isfinite(x).all() or not x.any()):
                     x = None
-                if x is not None and not np.isfinite(float(np.linalg.norm(x.astype("f8")))) :
-                    x = None
                 out.append(None if x is None else (x.astype("f8") + 0.0).tobytes() if x.dtype != np.float32 else (x + np.float32(0)).tobytes())
             wide = [None if x is None else xxhash.xxh3_128_digest(x) for x in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary()), pa.array(out, pa.binary())], names=["vec_id", "class", "vec"])
@@ -109,6 +107,7 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         left = table.column("left").to_numpy(zero_copy_only=False)
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
         x = np.frombuffer(b"".join(table.column("vec").to_pylist()), f"<{kind}").reshape(len(ids), -1).astype("f8")
+        x = x / np.abs(x).max(1)[:, None]  # no square of a component is then too large or too small for a double
         at_x = np.flatnonzero(left)
         at_y = at_x if same else np.flatnonzero(~left)
         n, label = np.zeros(len(ids), "i8"), np.arange(len(ids))

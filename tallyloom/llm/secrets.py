@@ -70,7 +70,7 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> list[flo
     n = docs.count()
     if not n:
         return [0.0] * (len(ALPHABET) + 1) ** 2
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // sample_documents))) == 0).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(-(-n // sample_documents))) == 0).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     b64 = F.base64(digest)
     made = F.array(b64, F.hex(digest), F.lower(F.hex(digest)), F.translate(b64, "+/=", ""), F.upper(F.translate(b64, "+/=", "")), F.translate(b64, "+/", "-_"))
@@ -106,10 +106,19 @@ def random_ratio(word: Column, model: list[float]) -> Column:
 
 
 def random_spans(text: Column, base: Column, model: list[float], margin: float = MARGIN) -> Column:
-    """Spans of long strings that the random model explains better, outside the base spans."""
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    """Spans of long strings that the random model explains better. What a base span covers is no part of one, what stands
+    beside it may be."""
+
+    def blank(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = F.aggregate(base, start, blank, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     word = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    found = F.filter(F.filter(_spans(text, CANDIDATE, 3, None, 20), apart), lambda s: random_ratio(word(s), model) >= margin)
+    spans = F.when(F.size(base) > 0, _spans(rest, CANDIDATE, 3, None, 20)).otherwise(_spans(text, CANDIDATE, 3, None, 20))
+    found = F.filter(spans, lambda s: random_ratio(word(s), model) >= margin)
     return _if(text.rlike(CANDIDATE.replace("{20,}", "{20}")), found)
 
 

@@ -216,6 +216,12 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_vectors_of_any_length_link(spark):
+    rows = [(i, [1.0 * s, (2.0 + i / 100) * s], 1, "x") for i, s in enumerate([1e-200, 1e200, 5e-324, 1.0, 1e-310])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id string")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, 4, 0) for i in range(5)}
+
+
 def test_bounds_are_never_below_the_cosine():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 33))
