@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 #: ISO-4217 codes that count as valid.
-CURRENCIES = (
-    "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY "
-    "COP CRC CUC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HRK HTG HUF IDR "
-    "ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP "
-    "MRU MUR MVR MWK MXN MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG "
-    "SEK SGD SHP SLL SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD UYU UZS VES VND VUV WST XAF "
-    "XCD XOF XPF YER ZAR ZMW ZWL"
-).split()
+CURRENCIES = [
+    "AED", "AFN", "ALL", "AMD", "ANG", "AOA", "ARS", "AUD", "AWG", "AZN", "BAM", "BBD", "BDT", "BGN", "BHD", "BIF", "BMD", "BND", "BOB", "BRL", "BSD", "BTN", "BWP", "BYN",
+    "BZD", "CAD", "CDF", "CHF", "CLP", "CNY", "COP", "CRC", "CUC", "CUP", "CVE", "CZK", "DJF", "DKK", "DOP", "DZD", "EGP", "ERN", "ETB", "EUR", "FJD", "FKP", "GBP", "GEL",
+    "GHS", "GIP", "GMD", "GNF", "GTQ", "GYD", "HKD", "HNL", "HRK", "HTG", "HUF", "IDR", "ILS", "INR", "IQD", "IRR", "ISK", "JMD", "JOD", "JPY", "KES", "KGS", "KHR", "KMF",
+    "KPW", "KRW", "KWD", "KYD", "KZT", "LAK", "LBP", "LKR", "LRD", "LSL", "LYD", "MAD", "MDL", "MGA", "MKD", "MMK", "MNT", "MOP", "MRU", "MUR", "MVR", "MWK", "MXN", "MYR",
+    "MZN", "NAD", "NGN", "NIO", "NOK", "NPR", "NZD", "OMR", "PAB", "PEN", "PGK", "PHP", "PKR", "PLN", "PYG", "QAR", "RON", "RSD", "RUB", "RWF", "SAR", "SBD", "SCR", "SDG",
+    "SEK", "SGD", "SHP", "SLL", "SOS", "SRD", "SSP", "STN", "SVC", "SYP", "SZL", "THB", "TJS", "TMT", "TND", "TOP", "TRY", "TTD", "TWD", "TZS", "UAH", "UGX", "USD", "UYU",
+    "UZS", "VES", "VND", "VUV", "WST", "XAF", "XCD", "XOF", "XPF", "YER", "ZAR", "ZMW", "ZWL",
+]
 
 #: Country codes and names that count as valid.
 COUNTRIES = [
@@ -68,3 +69,10 @@ EMAIL = "[^@\\s]+@[^@\\s]+\\.[^@\\s]+"
 WEIGHTS = {"COMPLETENESS": "0.20", "VALIDITY": "0.25", "UNIQUENESS": "0.20", "CONSISTENCY": "0.20", "TIMELINESS": "0.10", "ACCURACY": "0.05"}
 PENALTIES = {"CRITICAL": "1.0", "HIGH": "0.5", "MEDIUM": "0.2", "LOW": "0.05"}
 GRADES = [("0.95", "A"), ("0.85", "B"), ("0.70", "C"), ("0.55", "D")]
+
+#: What a record is rejected for.
+MISSING = "Required field '{}' is null or blank"
+#: What values of inferred types look like.
+TYPE_EMAIL = "[A-Za-z0-9+_.-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+TYPE_PHONE = "\\+?[0-9\\-\\s().]{7,20}"
+TYPE_AMOUNT = "[$€£¥]\\s*[0-9]+(\\.[0-9]{1,2})?|[0-9]+(\\.[0-9]{1,2})?\\s*[$€£¥]"

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """``df`` as a checkpoint in ``spark.checkpoint.dir``, or in the session's own checkpoint folder where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyloom-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if path is None:
+            raise ValueError("spark.checkpoint.dir is not set, nor has the session a checkpoint folder")
+        sc.setCheckpointDir(path)
     return df.checkpoint()

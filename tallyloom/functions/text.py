@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.fixed import DATE_FORMATS, EMAIL, RULE_DATES
+from tallyloom.functions.fixed import DATE_FORMATS, EMAIL, RULE_DATES, TYPE_AMOUNT, TYPE_EMAIL, TYPE_PHONE
 
 
 def full(value: Column, pattern: str) -> Column:
@@ -49,15 +49,15 @@ def is_datetime(value: Column) -> Column:
 
 
 def is_email(value: Column) -> Column:
-    return full(value, "[A-Za-z0-9+_.-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}")
+    return full(value, TYPE_EMAIL)
 
 
 def is_phone(value: Column) -> Column:
-    return full(value, "\\+?[0-9\\-\\s().]{7,20}")
+    return full(value, TYPE_PHONE)
 
 
 def is_currency_amount(value: Column) -> Column:
-    return full(value, "[$€£¥]\\s*[0-9]+(\\.[0-9]{1,2})?|[0-9]+(\\.[0-9]{1,2})?\\s*[$€£¥]")
+    return full(value, TYPE_AMOUNT)
 
 
 def matches_format(value: Column, pattern: str) -> Column:

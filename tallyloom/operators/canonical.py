@@ -16,17 +16,20 @@ IDENTIFIERS = ("id", "ref", "code", "external")
 
 @dataclass(frozen=True)
 class Entity:
-    """A canonical table: its columns with types, and the business keys that find an existing row, in order."""
+    """A canonical table: its columns with types, the business keys that find an existing row, in order; the field that is the
+    reference of a record without any other, and what new rows have where nothing is said."""
 
     table: str
     columns: dict[str, str]
     keys: tuple[tuple[str, ...], ...]
     uses_refs: bool = True
+    business: str | None = None
+    defaults: tuple[tuple[str, object], ...] = ()
 
 
-CUSTOMERS = Entity("customers", {"name": "string", "email": "string", "phone": "string", "segment": "string", "region": "string"}, (("email",), ("name", "phone")))
-PRODUCTS = Entity("products", {"sku": "string", "name": "string", "category": "string", "sub_category": "string", "unit_price": "decimal(12,4)", "currency": "string"}, (("sku",),))
-SALESPERSONS = Entity("salespersons", {"name": "string", "email": "string", "territory": "string", "team": "string", "active": "boolean"}, (("email",),))
+CUSTOMERS = Entity("customers", {"name": "string", "email": "string", "phone": "string", "segment": "string", "region": "string"}, (("email",), ("name", "phone")), business="email")
+PRODUCTS = Entity("products", {"sku": "string", "name": "string", "category": "string", "sub_category": "string", "unit_price": "decimal(12,4)", "currency": "string"}, (("sku",),), business="sku")
+SALESPERSONS = Entity("salespersons", {"name": "string", "email": "string", "territory": "string", "team": "string", "active": "boolean"}, (("email",),), business="email", defaults=(("active", True),))
 REGIONS = Entity("regions", {"name": "string", "country": "string", "zone": "string"}, (("name",),), uses_refs=False)
 ORDERS = Entity(
     "orders",
@@ -36,19 +39,41 @@ ORDERS = Entity(
 LINE_ITEMS = {"quantity": "int", "unit_price": "decimal(12,4)", "discount": "decimal(5,4)", "line_total": "decimal(12,4)"}
 
 
+LINKS = ("customer_id", "salesperson_id", "region_id")
+
+
 def external_ref(fields: Column, business: str | None) -> Column:
     """A record's reference for its source: the first non-blank field whose name contains id, ref, code
-    or external; else the business key; else null."""
-    named = lambda e: F.lower(e["key"]).rlike("|".join(IDENTIFIERS)) & ~is_blank(e["value"])
+    or external (links to other entities aside); else the business key; else null."""
+    named = lambda e: F.lower(e["key"]).rlike("|".join(IDENTIFIERS)) & ~e["key"].isin(*LINKS) & ~is_blank(e["value"])
     own = F.get(F.filter(F.map_entries(fields), named), 0)["value"]
-    return own if business is None else F.coalesce(own, F.try_element_at(fields, F.lit(business)))
+    if business is None:
+        return own
+    key = F.try_element_at(fields, F.lit(business))
+    return F.coalesce(own, F.when(~is_blank(key), key))
+
+
+def _no_attributes() -> Column:
+    return F.create_map().cast("map<string,string>")
 
 
 def typed(records: DataFrame, entity: Entity) -> DataFrame:
-    """Records (source, row_number, fields map) with the entity's columns; values that don't fit are null."""
+    """Records (source, row_number, fields map; additional_attributes map and quality_score if there are any) with the entity's
+    columns; values that don't fit are null."""
     cols = [F.try_element_at("fields", F.lit(c)).try_cast(t).alias(c) for c, t in entity.columns.items()]
-    ref = F.try_element_at("fields", F.lit("external_ref")) if entity.uses_refs else F.lit(None).cast("string")
-    return records.select("source", "row_number", ref.alias("ref"), *cols)
+    ref = external_ref(F.col("fields"), entity.business) if entity.uses_refs else F.lit(None).cast("string")
+    attributes = F.coalesce("additional_attributes", _no_attributes()) if "additional_attributes" in records.columns else _no_attributes()
+    score = F.col("quality_score") if "quality_score" in records.columns else F.lit(None)
+    return records.select("source", "row_number", ref.alias("ref"), *cols, attributes.alias("additional_attributes"), score.cast("decimal(5,4)").alias("quality_score"))
+
+
+#: Parts over which rows without a key are dealt in joins.
+_PARTS = 1024
+
+
+def _joinable(key: Column) -> Column:
+    """The key for a left join: rows without one match nothing, and must not all go to one task."""
+    return F.coalesce(F.concat(F.lit("k"), key), F.concat(F.lit("n"), F.pmod(F.xxhash64("row_number"), F.lit(_PARTS)).cast("string")))
 
 
 def _key(cols: tuple[str, ...]) -> Column:
@@ -72,8 +97,8 @@ def match(incoming: DataFrame, store: DataFrame, entity: Entity) -> DataFrame:
     kept = keys_of(store, entity)
     hits = []
     for i in range(len(entity.keys) + 1):
-        found = kept.where(F.col(f"key_{i}").isNotNull()).groupBy(F.col(f"key_{i}").alias(f"_k{i}")).agg(F.min("entity_id").alias(f"_hit{i}"))
-        out = out.join(found, out[f"key_{i}"] == found[f"_k{i}"], "left").drop(f"_k{i}")
+        found = kept.where(F.col(f"key_{i}").isNotNull()).groupBy(F.concat(F.lit("k"), f"key_{i}").alias(f"_k{i}")).agg(F.min("entity_id").alias(f"_hit{i}"))
+        out = out.join(found, _joinable(F.col(f"key_{i}")) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         hits.append(f"_hit{i}")
     return out.withColumn("entity_id", F.coalesce(*hits)).drop(*hits)
 
@@ -84,8 +109,8 @@ def cluster(rows: DataFrame, entity: Entity) -> DataFrame:
     end by doubling, so long chains take logarithmically many rounds."""
     out = rows
     for i in range(len(entity.keys) + 1):
-        least = rows.where(F.col(f"key_{i}").isNotNull()).groupBy(F.col(f"key_{i}").alias(f"_k{i}")).agg(F.min("row_number").alias(f"_f{i}"))
-        out = out.join(least, out[f"key_{i}"] == least[f"_k{i}"], "left").drop(f"_k{i}")
+        least = rows.where(F.col(f"key_{i}").isNotNull()).groupBy(F.concat(F.lit("k"), f"key_{i}").alias(f"_k{i}")).agg(F.min("row_number").alias(f"_f{i}"))
+        out = out.join(least, _joinable(F.col(f"key_{i}")) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
     earlier = [F.when(F.col(f"_f{i}") < F.col("row_number"), F.col(f"_f{i}")) for i in range(len(entity.keys) + 1)]
     out = out.withColumn("first", F.coalesce(*earlier, "row_number")).drop(*[f"_f{i}" for i in range(len(entity.keys) + 1)])
     pointers = cut(out.select("row_number", "first"))
@@ -98,18 +123,22 @@ def cluster(rows: DataFrame, entity: Entity) -> DataFrame:
 
 
 def fold(rows: DataFrame, entity: Entity, by: list[str]) -> DataFrame:
-    """One row for each group: the last value of each column, in row order, that is not null."""
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row_number"))).alias(c) for c in entity.columns]
+    """One row for each group: the last value of each column, in row order, that is not null; the last attributes that are any;
+    the first reference."""
+    some = F.when(F.size("additional_attributes") > 0, F.col("row_number"))
+    last = [F.coalesce(F.max_by("additional_attributes", some), _no_attributes()).alias("additional_attributes"), F.max_by("quality_score", "row_number").alias("quality_score")]
+    last += [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row_number"))).alias(c) for c in entity.columns]
     return rows.groupBy(*by).agg(F.max_by("ref", F.when(F.col("ref").isNotNull(), -F.col("row_number"))).alias("ref"), F.max("row_number").alias("row_number"), *last)
 
 
 def empty_store(spark, entity: Entity) -> DataFrame:
     cols = ", ".join(f"{c} {t}" for c, t in entity.columns.items())
-    return spark.createDataFrame([], f"entity_id string, source string, ref string, {cols}, has_conflicts boolean")
+    return spark.createDataFrame([], f"entity_id string, source string, ref string, {cols}, additional_attributes map<string,string>, quality_score decimal(5,4), has_conflicts boolean")
 
 
 def load(records: DataFrame, store: DataFrame, entity: Entity, trust: DataFrame, winner: str = "incoming") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Load one job of one source. ``records``: source, row_number, fields map.
+    """Load one job of one source. ``records``: source, row_number, fields map, and perhaps additional_attributes map and
+    quality_score, the score of the job, which inserted and updated rows take. Attributes of an update join those stored.
 
     Gives the new store, the conflicts, and row_number -> entity_id. Rows that match a stored row update
     it: what is null never erases; on another source's row, conflicts are found first, then the
@@ -121,10 +150,12 @@ def load(records: DataFrame, store: DataFrame, entity: Entity, trust: DataFrame,
     new = cluster(rows.where("entity_id IS NULL").drop("entity_id"), entity)
     made = F.sha2(F.concat_ws("/", F.lit(entity.table), "source", F.col("first").cast("string")), 256)
     new = new.withColumn("entity_id", made)
-    inserts = fold(new, entity, ["entity_id", "source"]).select("entity_id", "source", "ref", *entity.columns, F.lit(False).alias("has_conflicts"))
+    own = {c: F.coalesce(c, F.lit(v)) for c, v in entity.defaults}
+    others = ["additional_attributes", "quality_score"]
+    inserts = fold(new, entity, ["entity_id", "source"]).withColumns(own).select("entity_id", "source", "ref", *entity.columns, *others, F.lit(False).alias("has_conflicts"))
     updates = fold(hit, entity, ["entity_id", "source"])
     found = conflict.detect(entity.table, store, updates, trust) if entity.table in conflict.WATCHED else None
-    u = updates.select("entity_id", F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in entity.columns])
+    u = updates.select("entity_id", F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in [*entity.columns, *others]])
     both = store.join(u, "entity_id", "left")
     if winner == "trust":
         t = trust.select("source_id", "trust")
@@ -139,7 +170,11 @@ def load(records: DataFrame, store: DataFrame, entity: Entity, trust: DataFrame,
         both = both.join(marked, "entity_id", "left")
         crossed = F.col("_source").isNotNull() & (F.col("_source") != F.col("source"))
         flag = F.when(crossed, F.coalesce("_conflict", F.lit(False))).otherwise(F.col("has_conflicts"))
-    kept = both.select("entity_id", "source", "ref", *[value(c).alias(c) for c in entity.columns], flag.alias("has_conflicts"))
+    added = F.coalesce("_additional_attributes", _no_attributes())
+    stored = F.map_filter(F.coalesce("additional_attributes", _no_attributes()), lambda k, v: ~F.map_contains_key(added, k))
+    kept = both.select(
+        "entity_id", "source", "ref", *[value(c).alias(c) for c in entity.columns], F.map_concat(stored, added).alias("additional_attributes"), F.coalesce("_quality_score", "quality_score").alias("quality_score"), flag.alias("has_conflicts")
+    )
     ids = hit.select("source", "row_number", "entity_id").unionByName(new.select("source", "row_number", "entity_id"))
     return kept.unionByName(inserts), found, ids
 
@@ -152,9 +187,9 @@ def link_orders(records: DataFrame, customer_ids: DataFrame, salesperson_ids: Da
             out = out.withColumn(name, F.lit(None).cast("string"))
         else:
             out = out.join(ids.select("source", "row_number", F.col("entity_id").alias(name)), ["source", "row_number"], "left")
-    added = F.map_filter(F.create_map(*[x for c in ("customer_id", "salesperson_id", "region_id") for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
-    clean = F.map_filter("fields", lambda k, v: ~k.isin("customer_id", "salesperson_id", "region_id"))
-    return out.withColumn("fields", F.map_concat(clean, added)).drop("customer_id", "salesperson_id", "region_id")
+    added = F.map_filter(F.create_map(*[x for c in LINKS for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
+    clean = F.map_filter("fields", lambda k, v: ~k.isin(*LINKS))
+    return out.withColumn("fields", F.map_concat(clean, added)).drop(*LINKS)
 
 
 def line_items(records: DataFrame, order_ids: DataFrame, product_ids: DataFrame) -> DataFrame:

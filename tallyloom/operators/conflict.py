@@ -52,7 +52,8 @@ def detect(entity: str, existing: DataFrame, incoming: DataFrame, trust: DataFra
 
 def resolve(conflicts: DataFrame, entities: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Settle open conflicts by hand. ``choices(entity_id, field, chosen)``: blank values are refused,
-    conflicts that aren't open stay. Gives the conflicts and the entities with the chosen values."""
+    conflicts that aren't open stay. Gives the conflicts and the entities with the chosen values. Whether a value is blank is
+    looked up at once, by a job over the choices."""
     bad = choices.where("chosen IS NULL OR trim(chosen) = ''")
     if not bad.isEmpty():
         raise ValueError("a chosen value is blank")
@@ -60,7 +61,7 @@ def resolve(conflicts: DataFrame, entities: DataFrame, choices: DataFrame) -> tu
     hit = (F.col("status") == "OPEN") & F.col("chosen").isNotNull()
     after = done.withColumns({"resolved_value": F.when(hit, F.col("chosen")), "status": F.when(hit, "RESOLVED").otherwise(F.col("status"))}).drop("chosen")
     made = after.where("resolved_value IS NOT NULL").groupBy("entity_id").agg(F.map_from_entries(F.collect_set(F.struct("field", "resolved_value"))).alias("_set"))
-    put = {c: F.coalesce(F.try_element_at("_set", F.lit(c)).try_cast(entities.schema[c].dataType), F.col(c)) for c in entities.columns if c != "entity_id"}
+    put = {c: F.coalesce(F.try_element_at("_set", F.lit(c)).try_cast(entities.schema[c].dataType), F.col(c)) for c in entities.columns if any(c in of for of in WATCHED.values())}
     return after, entities.join(made, "entity_id", "left").withColumns(put).drop("_set")
 
 

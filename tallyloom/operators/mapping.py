@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.fixed import REGISTRY
+from tallyloom.functions.lineage import cut
 from tallyloom.functions.text import is_blank, name_tokens, norm_name
 
 
+log = logging.getLogger(__name__)
+
+
 def registry(spark: SparkSession, targets: list | None = None) -> DataFrame:
     """The canonical targets as a table: ord, entity, target, target_type, names (synonyms and the field itself)."""
     rows = [(i, e, f, t, [f, *s]) for i, (e, f, t, s) in enumerate(targets or REGISTRY)]
@@ -71,6 +76,28 @@ def map_fields(fields: DataFrame, targets: DataFrame, existing: DataFrame | None
     return out if kept is None else kept.select(*out.columns).unionByName(out)
 
 
+def samples(staged: DataFrame, k: int = 10, seed: int | None = None) -> DataFrame:
+    """source_id, field, samples: up to k values of each field, drawn at random from its records that have one."""
+    cells = staged.select("source_id", F.explode(F.map_entries("payload")).alias("e")).select("source_id", F.col("e.key").alias("field"), F.col("e.value").alias("v"))
+    drawn = cells.where(F.col("v").isNotNull()).withColumn("_r", F.rand(seed))
+    w = Window.partitionBy("source_id", "field").orderBy("_r")
+    return drawn.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).groupBy("source_id", "field").agg(F.collect_list("v").alias("samples"))
+
+
+def retried(advisor: Callable[[DataFrame], DataFrame], attempts: int = 3) -> Callable[[DataFrame], DataFrame]:
+    """The advisor, asked again when it fails; after so many failures it has no suggestions, and the heuristic stands."""
+
+    def ask(fields: DataFrame) -> DataFrame:
+        for _ in range(attempts):
+            try:
+                return cut(advisor(fields))
+            except Exception as failed:
+                log.warning("the advisor failed: %s", failed)
+        return fields.sparkSession.createDataFrame([], "source_id string, field string, entity string, target string, confidence double")
+
+    return ask
+
+
 def stale(existing: DataFrame, fields: DataFrame) -> DataFrame:
     """Mappings whose field the schema no longer has."""
     return existing.join(fields.select("source_id", "field").distinct(), ["source_id", "field"], "left_anti")

@@ -73,7 +73,8 @@ def sample_values(vals: DataFrame, k: int = 5) -> DataFrame:
 def extremes(vals: DataFrame, typed: DataFrame) -> DataFrame:
     """Least and greatest value of each field: by number for INTEGER and DECIMAL (the text is kept,
     the first seen wins ties), else by text."""
-    number = F.col("v").try_cast("decimal(38,10)")
+    # doubles order any size and exponent; where two are equal, the decimals tell, if they fit
+    number = F.when(F.col("v").try_cast("double").isNotNull(), F.struct(F.col("v").try_cast("double"), F.col("v").try_cast("decimal(38,10)")))
     both = vals.groupBy(*FIELD).agg(
         F.min_by("v", F.when(number.isNotNull(), F.struct(number, "first_row"))).alias("num_min"),
         F.max_by("v", F.when(number.isNotNull(), F.struct(number, -F.col("first_row")))).alias("num_max"),
@@ -141,11 +142,11 @@ def profile_drift(profiles: DataFrame, least_batches: int = 3) -> DataFrame:
     skewed = (F.size(top) > 0) & (F.size("known") > 0) & (F.size(F.array_except(top, "known")) / F.size(top) > 0.5)
     low, high = F.col("mean") - 3 * F.col("sd"), F.col("mean") + 3 * F.col("sd")
     wider = (F.col("n") >= 2) & (F.col("sd") != 0) & (F.coalesce(number("min_value") < low, F.lit(False)) | F.coalesce(number("max_value") > high, F.lit(False)))
-    says = F.format_string("Field '%s' null rate has shifted from historical avg %.1f%% to %.1f%% (diff: %.1f%%)", "field", (F.col("usual") * 100).cast("double"), (rate * 100).cast("double"), (away * 100).cast("double"))
+    says = F.format_string("%s: %.1f%% of values are usually missing, now %.1f%%, which is %.1f points away", "field", (F.col("usual") * 100).cast("double"), (rate * 100).cast("double"), (away * 100).cast("double"))
     kinds = [
         (away > F.lit("0.20").cast("decimal(5,4)"), "COMPLETENESS_NULL_RATE_DRIFT", "COMPLETENESS", says),
-        (skewed, "VALIDITY_VALUE_DISTRIBUTION_DRIFT", "VALIDITY", F.format_string("Field '%s' top-10 values have changed significantly from historical baseline", "field")),
-        (wider, "ACCURACY_RANGE_EXPANSION_DRIFT", "ACCURACY", F.format_string("Field '%s' min/max range has expanded beyond 3 standard deviations of historical baseline", "field")),
+        (skewed, "VALIDITY_VALUE_DISTRIBUTION_DRIFT", "VALIDITY", F.format_string("%s: most of the frequent values were not among those of the profiles before", "field")),
+        (wider, "ACCURACY_RANGE_EXPANSION_DRIFT", "ACCURACY", F.format_string("%s: the least or the greatest value lies more than three deviations from the mean of earlier ends", "field")),
     ]
     fired = F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(d).alias("dimension"), F.lit("MEDIUM").alias("severity"), m.alias("message"))) for c, r, d, m in kinds])
     return now.select("source_id", "field", F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("i")).select("source_id", "field", "i.*")

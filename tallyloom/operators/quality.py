@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, GRADES, PENALTIES, WEIGHTS
+from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, GRADES, MISSING, PENALTIES, WEIGHTS
 from tallyloom.functions.text import first_present, is_blank, is_rule_date, is_rule_email, iso_date, trim
 
 KEYS = ["source_id", "job_id", "row_number"]
@@ -35,7 +35,7 @@ def completeness(p: Column) -> list[Rule]:
         "total_amount": ("COMPLETENESS_TOTAL_AMOUNT", ["total_amount", "Sales", "amount"]),
         "sku": ("COMPLETENESS_SKU", ["sku", "product_sku", "product_code"]),
     }
-    return [Rule(code, "COMPLETENESS", "CRITICAL", f, first_present(p, names).isNull(), F.lit(f"Required field '{f}' is null or blank")) for f, (code, names) in needed.items()]
+    return [Rule(code, "COMPLETENESS", "CRITICAL", f, first_present(p, names).isNull(), F.lit(MISSING.format(f))) for f, (code, names) in needed.items()]
 
 
 def validity(p: Column) -> list[Rule]:
@@ -101,21 +101,28 @@ def user_rule(code: str, dimension: str, severity: str, field: str, expression:
     return Rule(code, dimension, severity, field, ~F.coalesce(F.expr(expression), F.lit(False)), F.lit(f"Rule not met: {expression}"))
 
 
-def check(staged: DataFrame, as_of: str, extra: list[Rule] | None = None, dimensions: set[str] | None = None) -> DataFrame:
-    """Issues: keys, rule_ord, rule, dimension, severity, field, message, status. All rules are one
-    projection; only copies of a hash need a shuffle, and only if uniqueness is asked for."""
-    unique = dimensions is None or "UNIQUENESS" in dimensions
-    copies = F.count(F.lit(1)).over(Window.partitionBy("source_id", "record_hash")) if unique else F.lit(1)
-    base = staged.withColumn("_copies", F.when(is_blank(F.col("record_hash")), F.lit(1)).otherwise(copies))
-    rules = [*rules_for(F.col("payload"), F.col("_copies"), F.lit(as_of).cast("date")), *(extra or [])]
-    wanted = [(i, r) for i, r in enumerate(rules) if dimensions is None or r.dimension in dimensions]
+def _fired(rows: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
     fired = F.array(
-        *[F.when(r.condition, F.struct(F.lit(i).alias("rule_ord"), F.lit(r.code).alias("rule"), F.lit(r.dimension).alias("dimension"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"), r.message.alias("message"))) for i, r in wanted]
+        *[F.when(r.condition, F.struct(F.lit(i).alias("rule_ord"), F.lit(r.code).alias("rule"), F.lit(r.dimension).alias("dimension"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"), r.message.alias("message"))) for i, r in rules]
     )
-    found = base.select(*KEYS, F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("i"))
+    found = rows.select(*KEYS, F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("i"))
     return found.select(*KEYS, "i.*", F.lit("OPEN").alias("status"))
 
 
+def check(staged: DataFrame, as_of: str, extra: list[Rule] | None = None, dimensions: set[str] | None = None) -> DataFrame:
+    """Issues: keys, rule_ord, rule, dimension, severity, field, message, status. The rules of a record are one
+    projection. For uniqueness only keys and hashes move: hashes are counted, and those with copies meet the keys again."""
+    rules = [*rules_for(F.col("payload"), F.col("_copies"), F.lit(as_of).cast("date")), *(extra or [])]
+    wanted = [(i, r) for i, r in enumerate(rules) if dimensions is None or r.dimension in dimensions]
+    of_hash = [(i, r) for i, r in wanted if r.code == "UNIQUENESS_DUPLICATE_HASH"]
+    found = [_fired(staged, of_record)] if (of_record := [x for x in wanted if x not in of_hash]) else []
+    if of_hash:
+        hashes = staged.select(*KEYS, "record_hash")
+        copies = hashes.groupBy("source_id", "record_hash").agg(F.count_if(~is_blank(F.col("record_hash"))).alias("_copies")).where("_copies > 1")
+        found.append(_fired(hashes.join(copies, ["source_id", "record_hash"]), of_hash))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
 def rejected(issues: DataFrame) -> DataFrame:
     """Records with a critical issue and why, messages in rule order."""
     critical = issues.where("severity = 'CRITICAL'").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("rule_ord", "message"))).alias("m"))

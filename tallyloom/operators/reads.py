@@ -25,6 +25,11 @@ def page(df: DataFrame, order: list, number: int = 0, size: int = 20) -> DataFra
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+def counted_page(df: DataFrame, order: list, number: int = 0, size: int = 20) -> tuple[DataFrame, int]:
+    """The page, and how many rows there are on all pages."""
+    return page(df, order, number, size), df.count()
+
+
 def latest(df: DataFrame, by: list[str], newest: str, k: int = 1) -> DataFrame:
     """The k newest rows of each group."""
     w = Window.partitionBy(*by).orderBy(F.desc(newest))

@@ -87,22 +87,35 @@ PRODUCT_FIELDS = {
     "web": ("true", {"sku": "'P' || cast(p_partkey as string)", "name": "p_name", "category": "p_brand", "sub_category": "p_type", "unit_price": money(f"case when p_partkey % 7 = 0 then cast(floor({_PRICE} * 102 / 100) as bigint) when p_partkey % 11 = 0 then cast(floor({_PRICE} * 1005 / 1000) as bigint) else {_PRICE} end")}),
     "partner": ("p_partkey % 2 = 0", {"sku": "'P' || cast(p_partkey as string)", "name": "p_name", "category": "case when p_partkey % 6 = 0 then 'OTHER' else p_brand end", "sub_category": "case when p_partkey % 10 = 0 then 'MISC' else p_type end", "unit_price": "null"}),
 }
-#: Orders: totals of the web one cent or one unit off for some.
+#: Orders: those of the web have no references, totals one cent or one unit off for some, and other ship modes.
 ORDER_FIELDS = {
+    "web": ("true", {"order_date": f"{_YEAR} || '-' || {_MONTH} || '-' || {_DAY}", "total_amount": money(f"{_CENTS} + case when o_orderkey % 7 = 0 then 100 when o_orderkey % 5 = 0 then 1 else 0 end"), "ship_mode": "case when o_orderkey % 11 = 0 then null when o_orderkey % 3 = 0 then 'RAIL' when o_orderkey % 2 = 0 then 'AIR' else 'SHIP' end"}),
     "store": ("true", {"external_ref": "'O' || cast(o_orderkey as string)", "order_date": f"{_YEAR} || '-' || {_MONTH} || '-' || {_DAY}", "total_amount": money(_CENTS), "ship_mode": "case when o_orderkey % 2 = 0 then 'AIR' else 'SHIP' end", "currency": "'USD'"}),
 }
 
 
+#: Salespersons and regions: all of the store, again from the web with some changes.
+SELLER_FIELDS = {
+    "store": ("true", {"name": "s_name", "email": "'s' || cast(s_suppkey as string) || '@example.com'", "territory": "'T' || cast(s_nationkey as string)", "grade": "cast(s_suppkey % 3 as string)"}),
+    "web": ("s_suppkey % 2 = 0", {"name": "case when s_suppkey % 8 = 0 then null else s_name end", "email": "'s' || cast(s_suppkey as string) || '@example.com'", "territory": "case when s_suppkey % 6 = 0 then 'T99' else 'T' || cast(s_nationkey as string) end", "active": "case when s_suppkey % 10 = 0 then 'false' end"}),
+}
+REGION_FIELDS = {
+    "store": ("true", {"name": "r_name", "country": "'C' || cast(r_regionkey as string)"}),
+    "web": ("r_regionkey % 2 = 0", {"name": "r_name", "country": "case when r_regionkey = 0 then null else 'W' || cast(r_regionkey as string) end", "zone": "'Z'"}),
+}
+_KINDS = {"customers": ("customer", "c_custkey", CUSTOMER_FIELDS), "products": ("part", "p_partkey", PRODUCT_FIELDS), "orders": ("orders", "o_orderkey", ORDER_FIELDS), "salespersons": ("supplier", "s_suppkey", SELLER_FIELDS), "regions": ("region", "r_regionkey", REGION_FIELDS)}
+
+
 def records(spark: SparkSession, sf_dir: str, source: str, kind: str) -> DataFrame:
-    """Records (source, row_number, fields) of a source's customers, products or orders."""
-    name, key, spec = {"customers": ("customer", "c_custkey", CUSTOMER_FIELDS), "products": ("part", "p_partkey", PRODUCT_FIELDS), "orders": ("orders", "o_orderkey", ORDER_FIELDS)}[kind]
+    """Records (source, row_number, fields) of a source's entities of a kind."""
+    name, key, spec = _KINDS[kind]
     where, fields = spec[source]
     payload = F.create_map(*[x for f, e in fields.items() for x in (F.lit(f), F.expr(e).cast("string"))])
     return table(spark, sf_dir, name).where(where).select(F.lit(source).alias("source"), F.col(key).alias("row_number"), payload.alias("fields"))
 
 
 def flat_sql(source: str, kind: str) -> str:
-    name, key, spec = {"customers": ("customer", "c_custkey", CUSTOMER_FIELDS), "products": ("part", "p_partkey", PRODUCT_FIELDS), "orders": ("orders", "o_orderkey", ORDER_FIELDS)}[kind]
+    name, key, spec = _KINDS[kind]
     where, fields = spec[source]
     return f"(select {key} as k, {', '.join(f'{e} as {f}' for f, e in fields.items())} from {name} where {where})"
 

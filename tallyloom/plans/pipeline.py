@@ -1,36 +1,119 @@
-"""One job from staged rows to scores and canonical rows."""
+"""One job from staged rows to scores and canonical rows, and the same for each window of the live path."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.lineage import cut
 from tallyloom.operators import canonical, mapping, profiling, quality
+from tallyloom.sources.staging import numbered
+
+#: Entities that stand by themselves, loaded before the orders that link to them.
+ALONE = {"customer": canonical.CUSTOMERS, "product": canonical.PRODUCTS, "salesperson": canonical.SALESPERSONS, "region": canonical.REGIONS}
+JOB = ["source_id", "job_id"]
+
+
+def counters(staged: DataFrame, issues: DataFrame, ids: dict[str, DataFrame], conflicts: list[DataFrame]) -> DataFrame:
+    """For each job: records read, without and with a critical issue, with any canonical row, and its conflicts."""
+    critical = issues.where("severity = 'CRITICAL'").select(*quality.KEYS).distinct().withColumn("_bad", F.lit(True))
+    hit = None
+    for own in ids.values():
+        one = own.select(F.col("source").alias("source_id"), "row_number")
+        hit = one if hit is None else hit.unionByName(one)
+    marked = staged.select(*quality.KEYS).join(critical, quality.KEYS, "left").join(hit.distinct().withColumn("_loaded", F.lit(True)), ["source_id", "row_number"], "left")
+    out = marked.groupBy(*JOB).agg(F.count(F.lit(1)).alias("read_records"), F.count_if(F.col("_bad").isNull()).alias("passed_records"), F.count("_bad").alias("rejected_records"), F.count("_loaded").alias("loaded_records"))
+    each = None
+    for found in conflicts:
+        one = found.select(F.col("source_b").alias("source_id"))
+        each = one if each is None else each.unionByName(one)
+    return out.join(each.groupBy("source_id").agg(F.count(F.lit(1)).alias("conflicts")), "source_id", "left").fillna(0, ["conflicts"])
 
 
-def run_job(staged: DataFrame, stores: dict[str, DataFrame], trust: DataFrame, as_of: str, targets: DataFrame, mappings: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_job(staged: DataFrame, stores: dict[str, DataFrame], trust: DataFrame, as_of: str, targets: DataFrame, mappings: DataFrame | None = None, winner: str = "incoming") -> dict[str, DataFrame]:
     """Profile, map, check, score and load one job of one source; each result is a DataFrame by name.
 
-    ``stores``: the canonical tables by name, each an ``entity_id``-keyed DataFrame. Records with a
-    critical issue are not loaded.
+    ``stores``: the canonical tables by name, each an ``entity_id``-keyed DataFrame. Records with a critical issue are not
+    loaded. Customers, products, salespersons and regions come first, then orders with the customer of their record (and its
+    salesperson and region if there are any), then line items. Rows carry additional attributes and the job's score.
     """
-    profiles = profiling.profile(staged)
+    profiles = cut(profiling.profile(staged))
     fields = profiles.select("source_id", "field", "inferred_type")
-    maps = mapping.map_fields(fields, targets, mappings)
-    issues = quality.check(staged, as_of)
-    scores = quality.scores(staged, issues)
+    maps = cut(mapping.map_fields(fields, targets, mappings))
+    issues = cut(quality.check(staged, as_of))
+    scores = cut(quality.scores(staged, issues))
     good = quality.accepted(staged, issues)
-    long = mapping.transform_long(good, maps)
-    parts = mapping.entities(long).select(F.col("source_id").alias("source"), "row_number", "entity", "fields")
+    long = cut(mapping.transform_long(good, maps))
+    overall = scores.select(*JOB, F.col("overall").alias("quality_score"))
+    parts = cut(mapping.entities(long).join(overall, JOB).select(F.col("source_id").alias("source"), "row_number", "entity", "fields", "additional_attributes", "quality_score"))
     out = {"profiles": profiles, "mappings": maps, "issues": issues, "scores": scores, "rejected": quality.rejected(issues)}
-    ids, lines = {}, []
-    for name, entity in (("customer", canonical.CUSTOMERS), ("product", canonical.PRODUCTS)):
-        store, conflicts, ids[name] = canonical.load(parts.where(F.col("entity") == name).drop("entity"), stores[entity.table], entity, trust)
-        out |= {entity.table: store, f"{entity.table}_conflicts": conflicts}
+    ids, lines, conflicts = {}, [], []
+
+    def put(name: str, entity: canonical.Entity, records: DataFrame) -> None:
+        store, found, ids[name] = canonical.load(records, stores[entity.table], entity, trust, winner)
+        out[entity.table] = store
+        if found is not None:
+            out[f"{entity.table}_conflicts"] = found
+            conflicts.append(found)
         lines.append(canonical.lineage(long, ids[name], name))
-    orders = canonical.link_orders(parts.where("entity = 'order'").drop("entity"), ids["customer"])
-    store, conflicts, ids["order"] = canonical.load(orders, stores["orders"], canonical.ORDERS, trust)
-    out |= {"orders": store, "orders_conflicts": conflicts, "lineage": lines[0].unionByName(lines[1]).unionByName(canonical.lineage(long, ids["order"], "order"))}
+
+    for name, entity in ALONE.items():
+        put(name, entity, parts.where(F.col("entity") == name).drop("entity"))
+    put("order", canonical.ORDERS, canonical.link_orders(parts.where("entity = 'order'").drop("entity"), ids["customer"], ids["salesperson"], ids["region"]))
     items = parts.where("entity = 'order_line_item'").drop("entity")
     out["order_line_items"] = canonical.line_items(items, ids["order"], ids["product"])
-    return out
+    lineage = lines[0]
+    for more in lines[1:]:
+        lineage = lineage.unionByName(more)
+    return out | {"lineage": lineage, "counters": counters(staged, issues, ids, conflicts)}
+
+
+def empty_stores(spark: SparkSession) -> dict[str, DataFrame]:
+    return {e.table: canonical.empty_store(spark, e) for e in (*ALONE.values(), canonical.ORDERS)}
+
+
+def each_window(root: str, trust: DataFrame, targets: DataFrame, as_of: Callable[[], str]) -> Callable[[DataFrame, int], None]:
+    """What the live path does with each window: one job for each of its sources, in order of their ids.
+
+    The first window of a source maps its fields, later ones keep those mappings and map new fields; every window is
+    profiled. Results are tables under ``root``, a folder for each window, so a window that runs again replaces what it
+    wrote; stores and mappings are read from the newest window before it.
+    """
+
+    def read(spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
+        try:
+            kept = spark.read.parquet(f"{root}/{name}").where(F.col("window") < batch_id)
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        newest = kept.agg(F.max("window")).first()[0]
+        return None if newest is None else kept.where(F.col("window") == newest).drop("window")
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        staged = cut(numbered(rows.select("source_id", "job_id", "payload", "raw_payload", "record_hash")))
+        sources = sorted(r["source_id"] for r in staged.select("source_id").distinct().collect())
+        stores = {n: read(spark, n, batch_id) for n in empty_stores(spark)}
+        stores = {n: empty if stores[n] is None else stores[n].select(*empty.columns) for n, empty in empty_stores(spark).items()}
+        maps = read(spark, "mappings", batch_id)
+        kept: dict[str, list[DataFrame]] = {}
+        for source in sources:
+            known = None if maps is None else maps.where(F.col("source_id") == source)
+            out = run_job(staged.where(F.col("source_id") == source), stores, trust, as_of(), targets, known)
+            for name in stores:
+                stores[name] = cut(out[name])
+            for name in ("profiles", "mappings", "issues", "scores", "lineage", "counters", "order_line_items", *[n for n in out if n.endswith("_conflicts")]):
+                kept.setdefault(name, []).append(out[name])
+        if maps is not None and sources:
+            kept["mappings"].append(maps.where(~F.col("source_id").isin(sources)))
+        for name, tables in [*kept.items(), *[(n, [s]) for n, s in stores.items() if sources]]:
+            whole = tables[0]
+            for more in tables[1:]:
+                whole = whole.unionByName(more)
+            whole.write.mode("overwrite").parquet(f"{root}/{name}/window={batch_id}")
+
+    return each

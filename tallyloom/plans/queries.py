@@ -11,6 +11,7 @@ from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, REGISTRY, WEIGHTS
 from tallyloom.functions.lineage import cut
 from tallyloom.operators import canonical, conflict, evolve, mapping, profiling, quality, reads
 from tallyloom.plans import demo
+from tallyloom.plans.pipeline import empty_stores, run_job
 from tallyloom.sources.staging import duplicate_hashes as find_duplicates
 from tallyloom.streaming import live
 
@@ -348,6 +349,84 @@ def canonical_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(store, "unit_price").select("sku", "name", "category", "sub_category", "unit_price", "source", "has_conflicts")
 
 
+_S = f"with s as {demo.flat_sql('store', 'salespersons')}, w as {demo.flat_sql('web', 'salespersons')}"
+
+
+@query(
+    f"""{_S} select coalesce(w.name, s.name) as name, s.email, coalesce(w.territory, s.territory) as territory, coalesce(cast(w.active as boolean), true) as active, 'store' as source,
+    coalesce(w.territory <> s.territory, false) as has_conflicts from s left join w on s.k = w.k"""
+)
+def canonical_salespersons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir, "salespersons", canonical.SALESPERSONS, ("store", "web"))[0].select("name", "email", "territory", "active", "source", "has_conflicts")
+
+
+@query(f"with s as {demo.flat_sql('store', 'regions')}, w as {demo.flat_sql('web', 'regions')} select s.name, coalesce(w.country, s.country) as country, w.zone, 'store' as source from s left join w on s.k = w.k")
+def canonical_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, conflicts = canonical.empty_store(spark, canonical.REGIONS), []
+    for source in ("store", "web"):
+        store, found, _ = canonical.load(demo.records(spark, sf_dir, source, "regions"), store, canonical.REGIONS, demo.trust(spark))
+        store = cut(store)
+        conflicts += [found] * (found is not None)
+    if conflicts:
+        raise AssertionError("regions are not watched for conflicts")
+    return store.select("name", "country", "zone", "source")
+
+
+@query(
+    f"""with s as {demo.flat_sql('store', 'orders')}, w as {demo.flat_sql('web', 'orders')}
+    select s.k as entity_id, 'total_amount' as field, cast(cast(s.total_amount as decimal(12,4)) as string) as value_a, cast(cast(w.total_amount as decimal(12,4)) as string) as value_b, 'TRUST_HIERARCHY' as strategy from s join w on s.k = w.k
+    where abs(cast(s.total_amount as decimal(12,4)) - cast(w.total_amount as decimal(12,4))) > 0.01
+    union all select s.k, 'ship_mode', s.ship_mode, w.ship_mode, 'TRUST_HIERARCHY' from s join w on s.k = w.k where s.ship_mode <> w.ship_mode"""
+)
+def order_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and ship modes of the same orders as two sources have them."""
+    sides = [canonical.typed(demo.records(spark, sf_dir, s, "orders"), canonical.ORDERS).withColumnRenamed("row_number", "entity_id") for s in ("store", "web")]
+    return conflict.detect("orders", *sides, demo.trust(spark)).select("entity_id", "field", "value_a", "value_b", "strategy")
+
+
+@query("select o_orderkey as row_number, strftime(o_orderdate, '%Y-%m-%d') as order_date, cast(round(o_totalprice * 100) as bigint) as cents from orders")
+def match_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second load of orders without references finds each by date, total and source."""
+    bare = demo.records(spark, sf_dir, "store", "orders").withColumn("fields", F.map_filter("fields", lambda k, v: k != "external_ref"))
+    store, _, _ = canonical.load(bare, canonical.empty_store(spark, canonical.ORDERS), canonical.ORDERS, demo.trust(spark))
+    hit = canonical.match(canonical.typed(bare, canonical.ORDERS), cut(store), canonical.ORDERS).select("row_number", "entity_id")
+    found = hit.join(store.select("entity_id", "order_date", "total_amount"), "entity_id")
+    return found.select("row_number", F.col("order_date").cast("string").alias("order_date"), F.round(F.col("total_amount") * 100).cast("bigint").alias("cents"))
+
+
+@query(f"{_C} select s.k as row_number, s.email as ref from s")
+def external_refs_business(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a field named like one, the business key is the reference."""
+    return canonical.typed(demo.records(spark, sf_dir, "store", "customers"), canonical.CUSTOMERS).select("row_number", "ref")
+
+
+@query(
+    f"""{ISSUES}, bad as (select distinct {_K} from issues where severity = 'CRITICAL')
+    select s.source_id, s.job_id, count(*) as read_records, count(*) filter (where b.row_number is null) as passed_records, count(b.row_number) as rejected_records, count(*) filter (where b.row_number is null) as loaded_records, 0 as conflicts
+    from sales s left join bad b on s.source_id = b.source_id and s.job_id = b.job_id and s.row_number = b.row_number group by all"""
+)
+def run_job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole jobs of both sources, from staged rows to canonical ones, into empty stores."""
+    return _job(spark, sf_dir)["counters"]
+
+
+def _job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    maps = _maps(spark).withColumn("confidence", F.lit("1.00").cast("decimal(3,2)"))
+    return run_job(demo.sales(spark, sf_dir), empty_stores(spark), demo.trust(spark), demo.AS_OF, mapping.registry(spark), maps)
+
+
+@query(f"{SALES} select source_id, field, least(10, count(*)) as drawn from (select source_id, unnest([{', '.join(f'{chr(39)}{f}{chr(39)}' for f in demo.FIELDS)}]) as field, unnest([{', '.join(f'{chr(34)}{f}{chr(34)}' for f in demo.FIELDS)}]) as v from sales) where v is not null group by source_id, field")
+def random_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values the advisor sees of each field; which ones is left to chance."""
+    return mapping.samples(demo.sales(spark, sf_dir)).select("source_id", "field", F.size("samples").cast("bigint").alias("drawn"))
+
+
+@query(f"{ISSUES} select rule, count(*) as n, (select count(*) from issues where source_id = 'store') as total from (select * from issues where source_id = 'store' order by row_number, rule limit 20) group by rule")
+def issues_counted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, total = reads.counted_page(reads.filtered(_issues(spark, sf_dir), source_id="store"), ["row_number", "rule"])
+    return rows.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.lit(total))
+
+
 def _with_owner(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders, each record with its customer; customers with ids; the order records."""
     orders = demo.records(spark, sf_dir, "store", "orders")
@@ -532,6 +611,12 @@ def stream_valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.fresh(live.valid(_resolved(spark, sf_dir)), None).select("source_id", F.col("payload")["event_id"].alias("event_id"), "record_hash")
 
 
+@query(f"{_LIVE}, kept as (select distinct source_id, event_id, event_time, kind, source_system from judged where error is null) select count(*) as read, (select count(*) from kept) as staged, count(*) filter (where error is null) - (select count(*) from kept) as repeated, count(error) as dead, count(*) filter (where error = 'unknown source system') as unknown from judged")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = _resolved(spark, sf_dir)
+    return live.metrics(resolved, live.fresh(live.valid(resolved), None)).select("read", "staged", "repeated", "dead", "unknown")
+
+
 @query(f"{_LIVE} select error, count(*) as n from judged where error is not null group by all")
 def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.dead_letters(_resolved(spark, sf_dir)).groupBy("error").agg(F.count(F.lit(1)).alias("n"))

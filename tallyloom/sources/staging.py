@@ -7,14 +7,12 @@
 from __future__ import annotations
 
 import re
-import zipfile
-from io import BytesIO
-from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import trim
+from tallyloom.sources.excel import first_sheet
 
 
 def stage(df: DataFrame, fields: list[str], source_id: Column, job_id: Column, row_number: Column) -> DataFrame:
@@ -50,10 +48,11 @@ def read_csv(spark: SparkSession, path: str, source_id: str, job_id: str) -> Dat
 
 def read_jdbc(spark: SparkSession, config: dict[str, str], source_id: str, job_id: str) -> DataFrame:
     """A query against a JDBC source, all columns as text. ``config``: jdbcUrl, user, password,
-    driverClassName, query; anything but a SELECT is refused."""
+    driverClassName, query; anything but a SELECT is refused. The query runs once, as one partition, and its rows are numbered
+    in the order in which they come."""
     options = jdbc_options(config)
     df = spark.read.format("jdbc").options(**options).load()
-    return stage(numbered(df), df.columns, F.lit(source_id), F.lit(job_id), F.col("row_number"))
+    return stage(df.withColumn("row_number", F.monotonically_increasing_id() + 1), df.columns, F.lit(source_id), F.lit(job_id), F.col("row_number"))
 
 
 def jdbc_options(config: dict[str, str]) -> dict[str, str]:
@@ -65,46 +64,9 @@ def jdbc_options(config: dict[str, str]) -> dict[str, str]:
     return {"url": config["jdbcUrl"], "user": config["user"], "password": config["password"], "driver": config["driverClassName"], "query": config["query"], "fetchsize": "1000"}
 
 
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def _xlsx_rows(data: bytes) -> list[list[str | None]]:
-    """Cells of the first sheet as text: strings, numbers as shown, booleans, cached formula values; errors and blanks null."""
-    with zipfile.ZipFile(BytesIO(data)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
-        sheet = ElementTree.fromstring(z.read(min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))))
-    rows = []
-    for row in sheet.iter(f"{_SHEET}row"):
-        cells: dict[int, str | None] = {}
-        for nth, c in enumerate(row.iter(f"{_SHEET}c")):
-            at = nth
-            if m := re.match(r"[A-Z]+", c.get("r", "")):
-                at = 0
-                for letter in m[0]:
-                    at = at * 26 + ord(letter) - 64
-                at -= 1
-            kind, v = c.get("t", "n"), c.findtext(f"{_SHEET}v")
-            if kind == "s" and v is not None:
-                v = shared[int(v)]
-            elif kind == "inlineStr":
-                v = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
-            elif kind == "b" and v is not None:
-                v = "true" if v == "1" else "false"
-            elif kind == "e":
-                v = None
-            elif kind == "n" and v is not None and float(v).is_integer():
-                v = str(int(float(v)))
-            cells[at] = v
-        rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return rows
-
-
 def read_excel(spark: SparkSession, path: str, source_id: str, job_id: str) -> DataFrame:
-    """Workbooks (one or a folder of them): first sheet, first row as header, blank headers ``_c<n>``. Each
-    file is read where Spark puts it; rows are numbered within their file."""
+    """Workbooks (one or a folder of them): first sheet, first row as header, blank headers ``_c<n>``; of columns with one header
+    the last counts. Each file is read where Spark puts it; rows are numbered within their file, rows without a cell left out."""
     if not re.search(r"\.xlsx$|/$|\*", path.lower()):
         raise ValueError("an .xlsx file is needed")
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -115,10 +77,11 @@ def read_excel(spark: SparkSession, path: str, source_id: str, job_id: str) -> D
         for pdf in batches:
             out = []
             for name, data in zip(pdf.path, pdf.content, strict=True):
-                sheet = _xlsx_rows(data)
-                header = [h or f"_c{i}" for i, h in enumerate(sheet[0])] if sheet else []
-                for n, cells in enumerate(sheet[1:], 1):
-                    out.append((name, n, [(h, cells[i] if i < len(cells) else None) for i, h in enumerate(header)]))
+                sheet = first_sheet(data)
+                header = [h if h and h.strip() else f"_c{i}" for i, h in enumerate(sheet[0])] if sheet else []
+                for n, cells in enumerate((r for r in sheet[1:] if r), 1):
+                    row = {h: cells[i] if i < len(cells) else None for i, h in enumerate(header)}
+                    out.append((name, n, list(row.items())))
             yield pd.DataFrame(out, columns=["path", "row_number", "cells"])
 
     cells = files.mapInPandas(rows, "path string, row_number long, cells array<struct<name:string,value:string>>")
@@ -133,12 +96,13 @@ def write_staged(staged: DataFrame, path: str) -> None:
 
 def duplicate_hashes(staged: DataFrame) -> DataFrame:
     """Hashes that a source has more than once, with their number of rows."""
-    return staged.where("record_hash <> ''").groupBy("source_id", "record_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return staged.groupBy("source_id", "record_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
 def due_sources(sources: DataFrame, now: str) -> DataFrame:
     """Active JDBC sources whose next run after the last sync (else creation, else the epoch) is before
-    ``now`` (UTC). Cron fields of six: lists, ranges, steps and stars; bad ones are never due."""
+    ``now`` (UTC). Cron fields of six: lists, ranges, steps and stars; bad ones are never due, nor are sources whose ``running``
+    column, if there is one, is true."""
     from tallyloom.sources.cron import next_after
 
     def run(batches):
@@ -148,5 +112,17 @@ def due_sources(sources: DataFrame, now: str) -> DataFrame:
             yield pdf[["source_id", "next_run"]]
 
     base = F.coalesce("last_sync_at", "created_at", F.timestamp_seconds(F.lit(0)))
-    wanted = sources.where("source_type = 'JDBC' AND active AND cron_expression IS NOT NULL").select("source_id", "cron_expression", base.alias("base"))
+    idle = sources.where("running IS NULL OR NOT running") if "running" in sources.columns else sources
+    wanted = idle.where("source_type = 'JDBC' AND active AND cron_expression IS NOT NULL").select("source_id", "cron_expression", base.alias("base"))
     return wanted.mapInPandas(run, "source_id string, next_run timestamp").where(F.col("next_run") < F.lit(now).cast("timestamp"))
+
+
+def require_source(sources: DataFrame, source_id: str, kind: str) -> None:
+    """Raise unless the registry (source_id, source_type, active) has the source, of this type, and active if it is polled."""
+    found = sources.where(F.col("source_id") == source_id).select("source_type", "active").head(1)
+    if not found:
+        raise ValueError(f"no source {source_id}")
+    if found[0]["source_type"] != kind:
+        raise ValueError(f"{source_id} is a source of type {found[0]['source_type']}, not {kind}")
+    if kind == "JDBC" and not found[0]["active"]:
+        raise ValueError(f"{source_id} is not active")

@@ -46,6 +46,24 @@ def dead_letters(resolved: DataFrame) -> DataFrame:
     return resolved.where("error IS NOT NULL").select("value", "error")
 
 
+def metrics(resolved: DataFrame, staged: DataFrame) -> DataFrame:
+    """One row about a window: events read, staged, repeated, broken and of unknown systems, and how long ago its first came."""
+    read = resolved.agg(
+        F.count(F.lit(1)).alias("read"), F.count("error").alias("dead"), F.count_if(F.col("error") == "unknown source system").alias("unknown"), F.min(F.when(F.col("error").isNull(), F.try_to_timestamp(F.try_element_at("payload", F.lit("event_time"))))).alias("first_event")
+    )
+    return read.withColumn("staged", F.lit(staged.count())).select("read", "staged", (F.col("read") - F.col("dead") - F.col("staged")).alias("repeated"), "dead", "unknown", "first_event")
+
+
+def kafka_dead_letters(servers: str, topic: str = "sales.live.DLT") -> Callable[[DataFrame, int], None]:
+    """A sink for ``start``: dead letters go to a topic, why in a header. A window that runs again sends them again."""
+
+    def send(letters: DataFrame, batch_id: int) -> None:
+        reason = F.array(F.struct(F.lit("error").alias("key"), F.col("error").cast("binary").alias("value")))
+        letters.select("value", reason.alias("headers")).write.format("kafka").options(**{"kafka.bootstrap.servers": servers, "topic": topic, "includeHeaders": "true"}).save()
+
+    return send
+
+
 def fresh(events: DataFrame, staged: DataFrame | None) -> DataFrame:
     """Events that neither repeat within the batch nor are staged already, without a time limit."""
     once = events.dropDuplicates(["source_id", "record_hash"])
@@ -60,9 +78,10 @@ def window_counts(events: DataFrame, time: Column, size: str = "1 hour", late: s
     return stamped.groupBy(F.window("event_ts", size).alias("w"), "source_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "source_id", "n")
 
 
-def start(events: DataFrame, sources: Callable[[], DataFrame], staged_path: str, dead_path: str, checkpoint: str, pipeline: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None):
+def start(events: DataFrame, sources: Callable[[], DataFrame], staged_path: str, dead_path: str, checkpoint: str, pipeline: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, dead: Callable[[DataFrame, int], None] | None = None, metrics_path: str | None = None):
     """Run the live path: each micro-batch is the window of 30 seconds, staged under its batch id, then
-    handed to ``pipeline``. A batch that is run again after a failure replaces what it had written, so
+    handed to ``pipeline`` (``plans.pipeline.each_window`` makes one) if it has rows. Dead letters are kept under ``dead_path`` and go to
+    ``dead`` too; ``metrics_path`` gets a row about each window. A batch that is run again after a failure replaces what it had written, so
     the staging table has each event once; the source registry is read anew for every batch."""
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -72,10 +91,15 @@ def start(events: DataFrame, sources: Callable[[], DataFrame], staged_path: str,
             rows = fresh(valid(resolved), old)
             rows.withColumn("job_id", F.concat_ws("-", F.lit("stream"), "source_id", F.lit(str(batch_id)))).write.mode("overwrite").parquet(f"{staged_path}/batch={batch_id}")
             dead_letters(resolved).write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
+            written = spark.read.parquet(f"{staged_path}/batch={batch_id}")
+            if metrics_path is not None:
+                metrics(resolved, written).write.mode("overwrite").parquet(f"{metrics_path}/batch={batch_id}")
+            if dead is not None:
+                dead(dead_letters(resolved), batch_id)
         finally:
             resolved.unpersist()
-        if pipeline is not None:
-            pipeline(spark.read.parquet(f"{staged_path}/batch={batch_id}"), batch_id)
+        if pipeline is not None and not written.isEmpty():
+            pipeline(written, batch_id)
 
     nothing = events.sparkSession.createDataFrame([], "source_id string, payload map<string,string>, raw_payload string, record_hash string, job_id string")
     nothing.write.mode("ignore").parquet(f"{staged_path}/batch=-1")

@@ -43,10 +43,9 @@ def test_conflict_thresholds(spark):
     assert strategy(spark, p, {"sku": "1", "unit_price": "100"}, {"sku": "1", "unit_price": "102"}, A="0.8", B="0.6") == [("unit_price", "FLAGGED_FOR_REVIEW")]
     assert strategy(spark, p, {"sku": "1", "sub_category": "x"}, {"sku": "1", "sub_category": "y"}, A="0.8", B="0.9") == [("sub_category", "LATEST_WINS")]
     assert strategy(spark, p, {"sku": "1", "sub_category": "x"}, {"sku": "1"}, A="0.8", B="0.9") == []
-    o = canonical.ORDERS
-    one = {"external_ref": "1", "total_amount": "10.00"}
-    # references belong to a source, so orders of two sources meet by date, amount and source only
-    assert strategy(spark, o, one, one | {"total_amount": "10.01"}) == []
+    sides = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([("10.00", "10.01"), ("10.00", "10.02"), ("10.00", "9.98"), ("x", "x"), ("1", None)])], "entity_id long, a string, b string")
+    one, two = (sides.select("entity_id", F.lit(k.upper()).alias("source"), F.col(k).alias("total_amount")) for k in "ab")
+    assert sorted(r["entity_id"] for r in conflict.detect("orders", one, two, trust(spark, A="0.9", B="0.6")).collect()) == [1, 2]
 
 
 def test_null_never_erases(spark):
@@ -128,3 +127,37 @@ def test_promote_and_demote_are_inverse(spark):
 def test_pages(spark):
     df = spark.range(45)
     assert [r["id"] for r in reads.page(df, ["id"], 2).collect()] == list(range(40, 45))
+
+
+def test_attributes_scores_and_defaults(spark):
+    def job(source, i, fields, extra, score):
+        df = spark.createDataFrame([(source, i, list(fields.items()), list(extra.items()), score)], "source string, row_number long, f array<struct<k:string,v:string>>, a array<struct<k:string,v:string>>, quality_score double")
+        return df.select("source", "row_number", F.map_from_entries("f").alias("fields"), F.map_from_entries("a").alias("additional_attributes"), "quality_score")
+
+    e, t = canonical.SALESPERSONS, trust(spark, A="0.9")
+    store, _, _ = canonical.load(job("A", 1, {"name": "Ann", "email": "a@x"}, {"tier": "1", "note": "n"}, 0.9), canonical.empty_store(spark, e), e, t)
+    row = store.first()
+    assert (row["active"], row["additional_attributes"], float(row["quality_score"]), row["ref"]) == (True, {"tier": "1", "note": "n"}, 0.9, "a@x")
+    store, _, _ = canonical.load(job("A", 1, {"email": "a@x", "active": "false"}, {"tier": "2"}, 0.8), store.checkpoint(), e, t)
+    row = store.first()
+    assert store.count() == 1 and (row["name"], row["active"], row["additional_attributes"], float(row["quality_score"])) == ("Ann", False, {"tier": "2", "note": "n"}, 0.8)
+
+
+def test_references_come_before_business_keys(spark):
+    store, _ = load(spark, canonical.CUSTOMERS, ("A", [{"customer_code": "7", "email": "old@x", "name": "n"}]), ("A", [{"customer_code": "7", "email": "new@x"}, {"customer_id": "ignored", "email": "new@x", "name": "other"}]))
+    assert sorted((r["email"], r["name"], r["ref"]) for r in store.collect()) == [("new@x", "n", "7"), ("new@x", "other", "new@x")]
+
+
+def test_failing_advisor_is_asked_again(spark):
+    asked = []
+
+    def advisor(df):
+        asked.append(1)
+        if len(asked) < 3:
+            raise RuntimeError("not now")
+        return df.selectExpr("source_id", "field", "'orders' entity", "'ship_date' target", "0.9 confidence")
+
+    fields = spark.createDataFrame([("s", "Random Date Column", "DATE")], "source_id string, field string, inferred_type string")
+    pick = lambda: mapping.map_fields(fields, mapping.registry(spark), advisor=mapping.retried(advisor)).first()["target"]
+    assert pick() == "ship_date" and len(asked) == 3
+    assert mapping.map_fields(fields, mapping.registry(spark), advisor=mapping.retried(lambda df: 1 / 0)).first()["target"] == "order_date"
