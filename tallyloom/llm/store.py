@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``, or the session's own checkpoint folder where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``, or the session's own checkpoint folder where that is unset. Only a session that is
+    one process (``local[n]``) gets a temporary folder where there is neither; on a cluster that is an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if path is None:
-        raise ValueError("spark.checkpoint.dir is not set, nor has the session a checkpoint folder")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set, nor has the session a checkpoint folder")
+        path = tempfile.mkdtemp(prefix="tallyloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
