@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in ``spark.checkpoint.dir``, or in the session's own checkpoint folder where that is unset."""
+    """``df`` as a checkpoint in ``spark.checkpoint.dir``, or in the session's own checkpoint folder where that is unset. Only a
+    session that is one process (``local[n]``) gets a temporary folder where there is neither; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         path = sc.getConf().get("spark.checkpoint.dir")
         if path is None:
-            raise ValueError("spark.checkpoint.dir is not set, nor has the session a checkpoint folder")
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir is not set, nor has the session a checkpoint folder")
+            path = tempfile.mkdtemp(prefix="tallyloom-")
         sc.setCheckpointDir(path)
     return df.checkpoint()
