@@ -4,19 +4,31 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in ``spark.checkpoint.dir``, or in the session's own checkpoint folder where that is unset. Only a
-    session that is one process (``local[n]``) gets a temporary folder where there is neither; on a cluster that is an error."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, or the session's own checkpoint folder where that is unset. Only a session that is
+    one process (``local[n]``) gets a temporary folder where there is neither; on a cluster that is an error."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set, nor has the session a checkpoint folder")
+        path = tempfile.mkdtemp(prefix="tallyloom-")
     if sc.getCheckpointDir() is None:
-        path = sc.getConf().get("spark.checkpoint.dir")
-        if path is None:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir is not set, nor has the session a checkpoint folder")
-            path = tempfile.mkdtemp(prefix="tallyloom-")
         sc.setCheckpointDir(path)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

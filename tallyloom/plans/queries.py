@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, REGISTRY, WEIGHTS
-from tallyloom.functions.lineage import cut
+from tallyloom.functions.lineage import cut, scratch
 from tallyloom.operators import canonical, conflict, evolve, mapping, profiling, quality, reads
 from tallyloom.plans import demo
 from tallyloom.plans.pipeline import empty_stores, run_job
+from tallyloom.sources.staging import due_sources, read_csv, stage, write_staged
 from tallyloom.sources.staging import duplicate_hashes as find_duplicates
 from tallyloom.streaming import live
 
@@ -562,6 +563,129 @@ def demote_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.try_element_at("additional_attributes", F.lit("c_mktsegment")).alias("segment"), F.size("additional_attributes").alias("n_attributes"))
 
 
+# ---- sources, samples, reviews ----
+_CSV_JSON = """'{"key":"' || cast(c_custkey as string) || '","name":"' || c_name || ', of ' || cast(c_nationkey as string) || '","segment":' || case when c_custkey % 5 = 0 then 'null' else '"' || c_mktsegment || '"' end || '}'"""
+
+
+@query(f"select 'upload' as source_id, 'job-1' as job_id, sha256({_CSV_JSON}) as record_hash, (select count(*) from customer) as numbers from customer")
+def staged_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as CSV files, staged, appended to the staging table and read from there; how many row numbers there are."""
+    flat = demo.table(spark, sf_dir, "customer").selectExpr("c_custkey as key", "c_name || ', of ' || cast(c_nationkey as string) as name", "case when c_custkey % 5 <> 0 then c_mktsegment end as segment")
+    at = scratch(spark, "upload")
+    flat.write.option("header", True).csv(f"{at}/customers.csv")
+    write_staged(read_csv(spark, f"{at}/customers.csv", "upload", "job-1"), f"{at}/staging")
+    staged = spark.read.parquet(f"{at}/staging")
+    numbers = staged.agg(F.count_distinct("row_number").alias("numbers"))
+    return staged.select("source_id", "job_id", "record_hash").crossJoin(F.broadcast(numbers))
+
+
+_SYNCED = "case when n_nationkey % 4 <> 0 then timestamp '2024-01-09 20:15:00' + interval '1 hour' * n_nationkey end"
+_CRON_BASE = f"coalesce({_SYNCED}, timestamp '2024-01-08 03:00:00')"
+
+
+@query(
+    f"""with wanted as (select 'n' || cast(n_nationkey as string) as source_id, n_nationkey as k, {_CRON_BASE} as base from nation where n_nationkey % 5 <> 0 and n_nationkey % 7 <> 0 and n_nationkey % 11 <> 0 and n_nationkey % 3 <> 2),
+    runs as (select source_id, case when k % 3 = 0 then date_trunc('day', base) + interval '3 hours' + case when base >= date_trunc('day', base) + interval '3 hours' then interval '1 day' else interval '0 day' end
+    else date_trunc('hour', base) + interval '30 minutes' + case when base >= date_trunc('hour', base) + interval '30 minutes' then interval '1 hour' else interval '0 hour' end end as next_run from wanted)
+    select source_id, strftime(next_run, '%Y-%m-%d %H:%M:%S') as next_run from runs where next_run < timestamp '2024-01-10 12:00:00'"""
+)
+def due_jdbc_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source for each nation: daily at three, hourly at half past or a bad expression; some of another type, idle or running."""
+    sources = demo.table(spark, sf_dir, "nation").selectExpr(
+        "'n' || cast(n_nationkey as string) as source_id",
+        "case when n_nationkey % 5 = 0 then 'CSV' else 'JDBC' end as source_type",
+        "n_nationkey % 7 <> 0 as active",
+        "n_nationkey % 11 = 0 as running",
+        "case n_nationkey % 3 when 0 then '0 0 3 * * *' when 1 then '0 30 * * * *' else 'every hour' end as cron_expression",
+        f"{_SYNCED} as last_sync_at",
+        "timestamp '2024-01-08 03:00:00' as created_at",
+    )
+    return due_sources(sources, "2024-01-10 12:00:00").withColumn("next_run", F.date_format("next_run", "yyyy-MM-dd HH:mm:ss"))
+
+
+_POSITIONS = ", ".join(f"('{f}', {i})" for i, f in enumerate(demo.FIELDS))
+
+
+@query(
+    f"""{_CELLS} select source_id, job_id, cells.field, count(*) as total, count(*) - count(v) as null_count, min(row_number) as first_row, any_value(pos) as first_pos
+    from cells join (values {_POSITIONS}) t(field, pos) on cells.field = t.field where row_number <= 500 group by all"""
+)
+def sampled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields as inference by the first 500 rows of a job finds them, with where each was first seen."""
+    found = profiling.null_rates(demo.sales(spark, sf_dir), 500)
+    return found.select("source_id", "job_id", "field", "total", "null_count", F.col("seen.row_number").alias("first_row"), F.col("seen.pos").alias("first_pos"))
+
+
+_FLAG = "case when event_type = 'error' and event_id % 10 = 0 then 'yes' when event_id % 2 = 0 then 'TRUE' else 'false' end"
+_INSTANT = "cast(year(ts) as string) || '-' || lpad(cast(month(ts) as string), 2, '0') || '-' || lpad(cast(day(ts) as string), 2, '0') || 'T' || lpad(cast(hour(ts) as string), 2, '0') || ':30' || case event_type when 'click' then '' when 'view' then ':05Z' when 'purchase' then ':05.250+02:00' else ':05 UTC' end"
+
+
+@query(
+    f"""with v as (select event_type as source_id, 'flag' as field, {_FLAG} as v from events union all select event_type, 'at', {_INSTANT} from events)
+    select source_id, field, count(distinct v) as distinct_count, case when bool_and(lower(v) in ('true', 'false')) then 'BOOLEAN' when bool_and(regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}(\\.[0-9]+)?)?(Z|[+-][0-9]{{2}}:[0-9]{{2}})?')) then 'DATETIME'
+    when count(distinct v) < 20 then 'CATEGORY' else 'FREE_TEXT' end as inferred_type from v group by all"""
+)
+def flags_and_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.table(spark, sf_dir, "events").select("event_type", "event_id", F.expr(_FLAG).alias("flag"), F.expr(_INSTANT).alias("at"))
+    staged = stage(rows, ["flag", "at"], F.col("event_type"), F.lit("job-1"), F.col("event_id"))
+    return profiling.types(profiling.values(staged)).select("source_id", "field", "distinct_count", "inferred_type")
+
+
+@query(f"{ISSUES}, bad as (select distinct {_K} from issues where severity = 'CRITICAL') select {_K}, record_hash from hashed anti join bad using ({_K})")
+def accepted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.accepted(demo.sales(spark, sf_dir), _issues(spark, sf_dir, "COMPLETENESS")).select("source_id", "job_id", "row_number", "record_hash")
+
+
+@query(f"{ISSUES} select {_K}, rule, case when source_id = 'web' and rule = 'VALIDITY_DATE_FORMAT' then 'ACKNOWLEDGED' else 'OPEN' end as status from issues")
+def acknowledged_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, keys = _issues(spark, sf_dir), ["source_id", "job_id", "row_number", "rule"]
+    return reads.acknowledge(found, found.where("source_id = 'web' AND rule = 'VALIDITY_DATE_FORMAT'"), keys).select(*keys, "status")
+
+
+@query(f"{SCORES} select source_id, job_id, cast(overall as double) as overall from scores qualify row_number() over (partition by source_id order by job_id desc) <= 3")
+def newest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doubles(reads.latest(_scores(spark, sf_dir), ["source_id"], "job_id", 3).select("source_id", "job_id", "overall"), "overall")
+
+
+@query(
+    f"""{MAPPED} select source_id, field, case when field = 'City' then 'regions' else entity end as entity, case when field = 'City' then 'name' else target end as target, confidence,
+    case when field in ('City', 'shipping_cost_fee') then 'AUTO_CONFIRMED' when field = 'State' then 'IGNORED' else status end as status from mapped"""
+)
+def mapping_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One mapping confirmed, one redirected, one ignored by hand."""
+    out = mapping.override(mapping.map_fields(_fields(spark), mapping.registry(spark)), "demo", "shipping_cost_fee")
+    out = mapping.override(out, "demo", "City", "regions", "name")
+    return _doubles(mapping.override(out, "demo", "State", status="IGNORED"), "confidence")
+
+
+@query(
+    f"""{MAPPED}, hints as (select * from (values ('Postal Code', 'customers', 'segment', 0.9), ('City', 'regions', 'nowhere', 0.99), ('Ship Mode', 'orders', 'status', 0.5)) t(field, he, ht, hc)),
+    surer as (select m.field, he, ht, hc from mapped m join hints h on m.field = h.field and exists (select 1 from targets where entity = he and target = ht) and hc > m.confidence)
+    select m.source_id, m.field, coalesce(he, entity) as entity, coalesce(ht, target) as target, cast(coalesce(hc, confidence) as double) as confidence, case when hc >= 0.8 then 'AUTO_CONFIRMED' when hc >= 0.55 then 'PENDING' else status end as status
+    from mapped m left join surer s on m.field = s.field"""
+)
+def advised_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An advisor's suggestions: one surer than the heuristic, one without a target, one less sure. It fails once and is asked again."""
+    failures = iter([True])
+
+    def advise(fields: DataFrame) -> DataFrame:
+        if next(failures, False):
+            raise TimeoutError("no answer")
+        hints = [("Postal Code", "customers", "segment", 0.9), ("City", "regions", "nowhere", 0.99), ("Ship Mode", "orders", "status", 0.5)]
+        return fields.join(spark.createDataFrame(hints, "field string, entity string, target string, confidence double"), "field").select("source_id", "field", "entity", "target", "confidence")
+
+    return _doubles(mapping.map_fields(_fields(spark), mapping.registry(spark), advisor=mapping.retried(advise)), "confidence")
+
+
+_NARROW = {"customers": ["name", "email"], "orders": ["order_date"]}
+
+
+@query(f"{SALES}, long as ({_LONG}) select entity, field, entity || 's.' || field not in ({_sql_list([f'{e}.{f}' for e, fs in _NARROW.items() for f in fs])}) as extra, count(value) as n from long group by all")
+def attributes_without_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped values where the entities have few columns: the others become additional attributes."""
+    return mapping.transform_long(demo.sales(spark, sf_dir), _maps(spark), _NARROW).groupBy("entity", "field", "extra").agg(F.count("value").alias("n"))
+
+
 # ---- statistical drift: each day of events is a batch, each type a source ----
 _NULLS = "case when value < 20 and day(ts) >= 28 and event_type = 'click' then null when value < 5 then null else value end"
 _PROFILES = f"""with e as (select event_type as source_id, day(ts) as batch, {_NULLS} as v, cast(user_id % 20 + case when day(ts) >= 30 and event_type = 'view' then 1000 else 0 end as string) as u from events),
