@@ -92,7 +92,8 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
-    """Fingerprints of each whole text and of its edited text, and how alike the sketches are.
+    """Fingerprints of each whole text and of its edited text, how alike the sketches are, and what they
+    estimate of the text: its distinct shingles, and the share of them that the edited text has.
 
     The edited text has its last quarter replaced by the start of the next document's. Null texts
     are empty. Rows without doc_id have no next document: their edited text is their own, near_next
@@ -127,5 +128,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
             as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
             resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
             F.coalesce(resemblance(F.col("sketch"), F.col("next_sketch"), k), F.lit(0.0)).alias("near_next"),
+            distinct_count(F.col("sketch"), k).alias("n_distinct"),
+            containment(F.col("sketch"), F.col("edited_sketch"), k).alias("contained_edited"),
         )
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from tallyloom.llm.numbering import fresh
 from tallyloom.llm.store import materialise, slices
 
 #: Distinct texts of each language, at most, that the piece probabilities are learned from.
@@ -253,8 +254,8 @@ def train(docs: DataFrame, vocabulary_path: str, sample_documents: int = SAMPLE_
     return languages, log_prob
 
 
-def predict(docs: DataFrame, languages: list[str], log_prob: np.ndarray, vocabulary_path: str, most: int = 300_000) -> DataFrame:
-    """All columns of ``docs``, then _tl_lang, the language with the greatest probability of the whole text;
+def predict(docs: DataFrame, languages: list[str], log_prob: np.ndarray, vocabulary_path: str, most: int = 300_000, out: Sequence[str] = ("_tl_lang", "_tl_score", "_tl_margin")) -> DataFrame:
+    """All columns of ``docs``, then three named ``out``: _tl_lang, the language with the greatest probability of the whole text;
     _tl_score, its share of the languages' probabilities; and _tl_margin, by how many nats a character it is ahead of
     equally likely pieces. ``und``, 0 and 0 if the text is null, has no letter, or no language is known.
     A text is its words, as white space parts them, with all their characters; a word's probabilities are found once
@@ -316,9 +317,9 @@ def predict(docs: DataFrame, languages: list[str], log_prob: np.ndarray, vocabul
                 scores.append(score)
                 margins.append(margin)
             added = [pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(margins))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "_tl_lang", "_tl_score", "_tl_margin"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *out])
 
-    schema = StructType(list(docs.schema)).add("_tl_lang", StringType()).add("_tl_score", DoubleType()).add("_tl_margin", DoubleType())
+    schema = StructType(list(docs.schema)).add(out[0], StringType()).add(out[1], DoubleType()).add(out[2], DoubleType())
     return docs.mapInArrow(run, schema)
 
 
@@ -338,9 +339,10 @@ LEAST_MARGIN = 0.0
 def keep_identified(docs: DataFrame, vocabulary_path: str, wanted: Sequence[str] | None = None, least_margin: float = LEAST_MARGIN, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """The documents in one of the ``wanted`` languages (None: any that the labels name) that explains their text better than
     equally likely pieces do, by more than ``least_margin``. Null texts and texts without a letter go; where nothing is
-    labelled, no language can be told and only they go."""
+    labelled, no language can be told and only they go. Other columns stay, whatever their names."""
     languages, log_prob = train(docs.select("text", "lang"), vocabulary_path, sample_documents)
     if not languages:
         return lettered(docs)
-    found = predict(docs, languages, log_prob, vocabulary_path).where((F.col("_tl_lang") != "und") & (F.col("_tl_margin") > least_margin))
-    return (found if wanted is None else found.where(F.col("_tl_lang").isin(list(wanted)))).select(*docs.columns)
+    lang, score, margin = fresh(docs.columns, "_tl_lang", "_tl_score", "_tl_margin")
+    found = predict(docs, languages, log_prob, vocabulary_path, out=(lang, score, margin)).where((F.col(lang) != "und") & (F.col(margin) > least_margin))
+    return (found if wanted is None else found.where(F.col(lang).isin(list(wanted)))).select(*docs.columns)

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.numbering import number_within
 
+#: Pieces of one length that are numbered in one task, about.
+PER_SLICE = 1_000_000
+OUT = ("piece", "start", "length", "bin_id", "bin_size", "bin_offset")
+
 SIZES = (1024, 2048, 4096, 8192, 16384)
 
 
@@ -87,14 +91,18 @@ def pack(df: DataFrame, length: Column, ids: Sequence[str], sizes: Sequence[int]
     row for each length up to the largest size) goes to the driver, and what returns is for each
     length the runs of ranks that share a bin pattern; the pieces find their bins by their rank
     among those of the same length, so all of the data stays distributed and no bin is decided in
-    one task. Repeated rows are packed as often as they come.
+    one task: those of one length are numbered in slices, whose number grows with them. Repeated rows are packed as
+    often as they come. Other columns are not read; ``ids`` named like one of the columns that are added are refused.
     """
+    if clash := {c.lower() for c in ids} & {*OUT}:
+        raise ValueError(f"ids named like added columns: {', '.join(sorted(clash))}")
+    keys = [f"_id{i}" for i in range(len(ids))]
     top = max(sizes)
     pieces = (
-        df.select(*ids, length.cast("long").alias("_len"))
+        df.select(*[F.col(c).alias(k) for c, k in zip(ids, keys, strict=True)], length.cast("long").alias("_len"))
         .where("_len > 0")
-        .select(*ids, "_len", F.explode(F.sequence(F.lit(0), ((F.col("_len") - 1) / top).cast("int"))).alias("piece"))
-        .select(*ids, "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("_len") - F.col("piece").cast("long") * top).cast("int").alias("length"))
+        .select(*keys, "_len", F.explode(F.sequence(F.lit(0), ((F.col("_len") - 1) / top).cast("int"))).alias("piece"))
+        .select(*keys, "piece", (F.col("piece").cast("long") * top).alias("start"), F.least(F.lit(top), F.col("_len") - F.col("piece").cast("long") * top).cast("int").alias("length"))
     )
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     used = dict.fromkeys(counts, 0)
@@ -109,12 +117,13 @@ def pack(df: DataFrame, length: Column, ids: Sequence[str], sizes: Sequence[int]
     columns = ["length", "lo", "hi", "first", "each", "base", "size"]
     table = df.sparkSession.createDataFrame(pd.DataFrame(runs, columns=columns), "length int, lo long, hi long, first long, each int, base int, size int")
     table = table.groupBy(F.col("length").alias("_l")).agg(F.collect_list(F.struct(*columns[1:])).alias("runs"))
-    ranked = number_within(pieces, "length", [*ids, "piece", "start"], "_rank")
+    salts = max(64, -(-max(counts.values(), default=0) // PER_SLICE))
+    ranked = number_within(pieces, "length", [*keys, "piece", "start"], "_rank", salts)
     placed = ranked.join(F.broadcast(table), F.col("length") == F.col("_l"))
     placed = placed.withColumn("_run", F.filter("runs", lambda r: (r["lo"] <= F.col("_rank")) & (F.col("_rank") < r["hi"]))[0])
     nth = F.col("_rank") - F.col("_run.lo")
     return placed.select(
-        *ids,
+        *[F.col(k).alias(c) for c, k in zip(ids, keys, strict=True)],
         "piece",
         "start",
         "length",

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.numbering import fresh
+
 #: The patterns of the kinds.
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
@@ -122,12 +124,13 @@ def random_spans(text: Column, base: Column, model: list[float], margin: float =
     return _if(text.rlike(CANDIDATE.replace("{20,}", "{20}")), found)
 
 
-def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
-    """The documents' columns and ``_base`` and ``_spans``: arrays of (start, kind, end) in code points,
-    end exclusive, ordered. Null texts are empty. ``_spans`` keeps all of ``_base``."""
+def scan(docs: DataFrame, model: list[float] | None = None, base: str = "_base", spans: str = "_spans") -> DataFrame:
+    """The documents' columns and ``base`` and ``spans``: arrays of (start, kind, end) in code points,
+    end exclusive, ordered. Null texts are empty. ``spans`` keeps all of ``base``.
+    Columns of these names are replaced."""
     model = train(docs) if model is None else model
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("_base", base_spans(text)).withColumn("_spans", F.array_sort(F.concat("_base", random_spans(text, F.col("_base"), model))))
+    return docs.withColumn(base, base_spans(text)).withColumn(spans, F.array_sort(F.concat(base, random_spans(text, F.col(base), model))))
 
 
 def joined(spans: Column) -> Column:
@@ -145,7 +148,8 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span (overlaps as one) replaced by ``mark``; n_chars follows the text.
-    Documents without spans, null texts among them, are unchanged; none is dropped."""
+    Documents without spans, null texts among them, are unchanged; none is dropped. Other columns stay, whatever their names."""
+    base, spans = fresh(docs.columns, "_base", "_spans")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -153,8 +157,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         out = F.when(new, F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    text = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    changed = scan(docs).withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
+    text = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    changed = scan(docs, None, base, spans).withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)

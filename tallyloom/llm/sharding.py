@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.numbering import number_within
+from tallyloom.llm.numbering import fresh, number_within
 
 SHARDS_PER_RACK = 2
 RACKS_PER_REGION = 4
@@ -50,7 +50,8 @@ def _children(pairs: Sequence[tuple[int, float]]) -> Column:
 
 
 def shard_of(df: DataFrame, key: Sequence[str], tree: Sequence[Leaf], out: str) -> DataFrame:
-    """Add ``out``, the shard of each row; key values and the tree alone decide (nulls hash too).
+    """Add ``out``, the shard of each row; key values and the tree alone decide (nulls hash too). Other columns
+    stay, whatever their names; one named ``out`` is replaced.
 
     Three draws are made, each among the children of the node reached so far, weighted by the sum
     of the weights below. When weights change in one subtree, draws elsewhere are untouched: rows
@@ -62,7 +63,7 @@ def shard_of(df: DataFrame, key: Sequence[str], tree: Sequence[Leaf], out: str)
     racks = {r: sorted({leaf.rack for leaf in tree if leaf.region == r}) for r in regions}
     weight = lambda r, k=None: sum(x.weight for x in tree if x.region == r and k in (None, x.rack))
     keys = [F.col(c) for c in key]
-    region_col, rack_col = f"_{out}_region", f"_{out}_rack"
+    region_col, rack_col = fresh(df.columns, f"_{out}_region", f"_{out}_rack")
     by_region = F.create_map(*[x for r in regions for x in (F.lit(r), _children([(k, weight(r, k)) for k in racks[r]]))])
     leaves = {(r, k): [(i, x.weight) for i, x in enumerate(tree) if (x.region, x.rack) == (r, k)] for r in regions for k in racks[r]}
     by_rack = F.create_map(*[x for (r, k), of in leaves.items() for x in (F.lit(f"{r}/{k}"), _children(of))])

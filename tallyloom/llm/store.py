@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,29 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``, or the session's own checkpoint folder where that is unset. Only a session that is
-    one process (``local[n]``) gets a temporary folder where there is neither; on a cluster that is an error."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if path is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir is not set, nor has the session a checkpoint folder")
-        path = tempfile.mkdtemp(prefix="tallyloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from tallyloom.functions.lineage import scratch
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: later jobs neither recompute it nor need
     the executors that made it."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.store import scratch_path, slices
+from tallyloom.functions.lineage import scratch
+from tallyloom.llm.store import slices
 
 BLOCK = 512
 SEGMENT = 1 << 20
@@ -294,6 +295,6 @@ def lookup(spark, path: str, value: int) -> DataFrame:
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the corpus in ascending doc_id order and return its digests as read from the files.
     No documents give files without rows and no digests. Other columns are not read."""
-    path = scratch_path(docs.sparkSession, "wavelet")
+    path = scratch(docs.sparkSession, "wavelet")
     write(docs, tokenizer, path)
     return token_digests(docs.sparkSession, path)

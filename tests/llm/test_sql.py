@@ -6,10 +6,12 @@ import random
 import re
 import struct
 
+import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tallyloom.llm import fingerprints, packing, secrets, sharding
+from tallyloom.llm import fingerprints, language_id, numbering, packing, secrets, sharding
 from tallyloom.llm.queries import ORACLE_SQL, QUERIES
 from tallyloom.llm.store import documents
 from tests.conftest import SF
@@ -109,6 +111,14 @@ def alike(a, b):
     return len({*union} & {*a} & {*b}) / len(union)
 
 
+def distinct(a):
+    return len(a) if len(a) < fingerprints.K else (fingerprints.K - 1) / ((a[-1] + 2**63) / 2**64)
+
+
+def contained(a, b):
+    return min(1.0, alike(a, b) * distinct(sorted({*a, *b})[: fingerprints.K]) / distinct(a)) if a else 1.0
+
+
 def test_fingerprints_are_bottom_k_sketches(spark):
     text = {r["doc_id"]: r["text"] or "" for r in documents(spark, SF).collect()}
     got = {r["doc_id"]: r for r in QUERIES["op5_fingerprints"](spark, SF).collect()}
@@ -121,6 +131,7 @@ def test_fingerprints_are_bottom_k_sketches(spark):
         r = got[i]
         assert (r["fingerprint"], r["edited_fingerprint"]) == (show(own), show(edited))
         assert math.isclose(r["near_edited"], alike(own, edited)) and math.isclose(r["near_next"], alike(own, sketched(after)))
+        assert math.isclose(r["n_distinct"], distinct(own)) and math.isclose(r["contained_edited"], contained(own, edited))
 
 
 def random_by_force(text, model):
@@ -144,3 +155,28 @@ def test_random_spans_are_those_of_the_ratio(spark):
     found = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("random")] for r in secrets.scan_documents(docs).collect()}
     assert found == {i: random_by_force(t, model) for i, t in text.items()}
     assert found[80001] == ["random:20:49"] and found[None]
+
+
+def test_columns_with_helpers_names_stay(spark):
+    schema = "doc_id long, text string, lang string, _base string, _SPANS string, _tl_lang string, _tl_margin int, _s_region int, _s_rack int, _slice int, _g int, _n int, _start int"
+    rows = [(i, f"the river ran under old stones and token: abcdefgh{i} stayed", "en", f"b{i}", f"s{i}", f"l{i}", *[i + k for k in range(7)]) for i in range(6)]
+    docs = spark.createDataFrame([*rows, (None,) * 13], schema)
+    own = {r["_base"]: tuple(r)[2:] for r in docs.collect()}
+    for out in (secrets.redact(docs), language_id.keep_identified(docs, public_tokenizers.path("piece_bpe_32k.model")), sharding.shard_of(docs, ["doc_id"], sharding.even_tree(24), "s").drop("s"), numbering.number_within(docs, "lang", ["doc_id"], "nth", 4).drop("nth")):
+        assert out.columns == docs.columns
+        got = {r["_base"]: tuple(r)[2:] for r in out.collect()}
+        assert len(got) >= 6 and all(own[k] == v for k, v in got.items())
+
+
+def test_packing_takes_ids_of_any_name_but_its_own(spark):
+    df = spark.createDataFrame([(i, i % 3 * 500, 7) for i in range(30)], "_rank long, _len int, runs int")
+    got = packing.pack(df, F.col("_len"), ["_rank", "runs"]).collect()
+    assert sorted(r["_rank"] for r in got) == [i for i in range(30) if i % 3] and {r["runs"] for r in got} == {7}
+    with pytest.raises(ValueError, match="length"):
+        packing.pack(df.withColumnRenamed("_rank", "Length"), F.col("_len"), ["Length"])
+
+
+def test_packing_of_many_pieces_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_SLICE", 3)
+    got = packing.pack(spark.range(1000), F.lit(400), ["id"]).collect()
+    assert len({(r["bin_id"], r["bin_offset"]) for r in got}) == 1000 and {r["bin_size"] for r in got} <= set(packing.SIZES)
