@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, ctw, embeddings, fingerprints, language_id, minhash, packing, secrets, sharding, wavelet
+from tallyloom.llm import bpe, ctw, divergence, embeddings, fingerprints, language_id, minhash, packing, repeats, secrets, sharding, trie, wavelet
 from tallyloom.llm.store import documents
 
 
@@ -51,8 +51,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_prefixes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(documents(spark, sf_dir))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_token_output, op4_near_duplicates, op5_fingerprints, op6_secrets, op7_embeddings, op8_lm_scores, op9_language_id, op10_bpe)
+    f.__name__: f for f in (op1_sharding, op2_packing, op3_token_output, op4_near_duplicates, op5_fingerprints, op6_secrets, op7_embeddings, op8_lm_scores, op9_language_id, op10_bpe, op11_prefix_trie, op12_repeated_passages, op13_source_divergence)
 }
 
 #: The smallest id that each node reaches over ``pairs(a, b)``, from ``nodes(id)``.
@@ -77,4 +89,7 @@ pairs as (select x.vec_id as a, y.vec_id as b from live x join live y on x.vec_i
 nodes as (select vec_id as id from embeddings), {_REACHED},
 links as (select a, count(*) as n from pairs group by a)
 select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join least on vec_id = node left join links on vec_id = a""",
+    "op11_prefix_trie": trie.SQL,
+    "op12_repeated_passages": repeats.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
