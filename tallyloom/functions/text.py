@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tallyloom.functions.fixed import DATE_FORMATS, EMAIL, RULE_DATES, TYPE_AMOUNT, TYPE_EMAIL, TYPE_PHONE
 
 
+_LOW = "".join(map(chr, range(0x21)))
+_SPACE = " \t\n\x0b\f\r"
+
+
 def full(value: Column, pattern: str) -> Column:
     """Whether the whole value matches; a final line break doesn't slip through."""
     return value.rlike(f"\\A(?:{pattern})\\z")
@@ -15,11 +19,11 @@ def full(value: Column, pattern: str) -> Column:
 
 def trim(value: Column) -> Column:
     """Without leading and trailing characters up to U+0020 (plain trim takes spaces only)."""
-    return F.regexp_replace(value, "\\A[\\x00-\\x20]+|[\\x00-\\x20]+\\z", "")
+    return F.trim(value, F.lit(_LOW))
 
 
 def is_blank(value: Column) -> Column:
-    return value.isNull() | full(value, "\\s*")
+    return value.isNull() | (F.trim(value, F.lit(_SPACE)) == "")
 
 
 def norm_name(name: Column) -> Column:

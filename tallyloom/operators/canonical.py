@@ -114,12 +114,13 @@ def cluster(rows: DataFrame, entity: Entity) -> DataFrame:
     earlier = [F.when(F.col(f"_f{i}") < F.col("row_number"), F.col(f"_f{i}")) for i in range(len(entity.keys) + 1)]
     out = out.withColumn("first", F.coalesce(*earlier, "row_number")).drop(*[f"_f{i}" for i in range(len(entity.keys) + 1)])
     pointers = cut(out.select("row_number", "first"))
-    while True:
+    while not pointers.where("first <> row_number").isEmpty():
         ahead = pointers.select(F.col("row_number").alias("_r"), F.col("first").alias("_next"))
         jumped = cut(pointers.join(ahead, F.col("first") == F.col("_r")).select("row_number", F.col("_next").alias("to"), (F.col("_next") != F.col("first")).alias("moved")))
         pointers = jumped.select("row_number", F.col("to").alias("first"))
         if jumped.where("moved").isEmpty():
-            return out.drop("first").join(pointers, "row_number")
+            break
+    return out.drop("first").join(pointers, "row_number")
 
 
 def fold(rows: DataFrame, entity: Entity, by: list[str]) -> DataFrame:
@@ -136,19 +137,20 @@ def empty_store(spark, entity: Entity) -> DataFrame:
     return spark.createDataFrame([], f"entity_id string, source string, ref string, {cols}, additional_attributes map<string,string>, quality_score decimal(5,4), has_conflicts boolean")
 
 
-def load(records: DataFrame, store: DataFrame, entity: Entity, trust: DataFrame, winner: str = "incoming") -> tuple[DataFrame, DataFrame, DataFrame]:
+def load(records: DataFrame, store: DataFrame, entity: Entity, trust: DataFrame, winner: str = "incoming", changed_only: bool = False, job: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Load one job of one source. ``records``: source, row_number, fields map, and perhaps additional_attributes map and
     quality_score, the score of the job, which inserted and updated rows take. Attributes of an update join those stored.
 
-    Gives the new store, the conflicts, and row_number -> entity_id. Rows that match a stored row update
+    Gives the new store (``changed_only``: its new and changed rows), the conflicts, and row_number -> entity_id. Rows that match a stored row update
     it: what is null never erases; on another source's row, conflicts are found first, then the
     incoming values win (``winner="trust"``: only where its source is not trusted less). Rows that match
-    nothing are clustered among themselves and inserted. Rows without any key are entities of their own.
+    nothing are clustered among themselves and inserted. Rows without any key are entities of their own. Ids of new rows come from the
+    source, the job and the row; ``job`` must differ between jobs of a source whose row numbers begin anew.
     """
     rows = cut(match(typed(records, entity), store, entity))
     hit = rows.where("entity_id IS NOT NULL")
     new = cluster(rows.where("entity_id IS NULL").drop("entity_id"), entity)
-    made = F.sha2(F.concat_ws("/", F.lit(entity.table), "source", F.col("first").cast("string")), 256)
+    made = F.sha2(F.concat_ws("/", F.lit(entity.table), "source", F.lit(job or None).cast("string"), F.col("first").cast("string")), 256)
     new = new.withColumn("entity_id", made)
     own = {c: F.coalesce(c, F.lit(v)) for c, v in entity.defaults}
     others = ["additional_attributes", "quality_score"]
@@ -156,7 +158,7 @@ def load(records: DataFrame, store: DataFrame, entity: Entity, trust: DataFrame,
     updates = fold(hit, entity, ["entity_id", "source"])
     found = conflict.detect(entity.table, store, updates, trust) if entity.table in conflict.WATCHED else None
     u = updates.select("entity_id", F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in [*entity.columns, *others]])
-    both = store.join(u, "entity_id", "left")
+    both = store.join(u, "entity_id", "inner" if changed_only else "left")
     if winner == "trust":
         t = trust.select("source_id", "trust")
         both = both.join(t.select(F.col("source_id").alias("source"), F.col("trust").alias("_ta")), "source", "left").join(t.select(F.col("source_id").alias("_source"), F.col("trust").alias("_tb")), "_source", "left")

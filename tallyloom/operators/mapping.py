@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.fixed import REGISTRY
@@ -111,22 +111,28 @@ def override(mappings: DataFrame, source_id: str, field: str, entity: str | None
 
 
 def transform_long(staged: DataFrame, mappings: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """Mapped values: keys, entity (singular), field, value, extra. A confirmed mapping to a column that
+    """Mapped values: keys, entity (singular), field, value, extra, pos (place in the payload). A confirmed mapping to a column that
     the entity has (``known``; all registry columns if not given) gives a column, other mappings go to
     the additional attributes if they have a value. Names match in any case; of several mappings the first by name wins."""
     columns = [f"{e}.{f}" for e, f, _, _ in REGISTRY] if known is None else [f"{e}.{f}" for e, fs in known.items() for f in fs]
     once = Window.partitionBy("source_id", "_key").orderBy("field")
     rules = mappings.where("entity <> '' AND target <> ''").select("source_id", F.lower("field").alias("_key"), "entity", "target", "status", "field")
     rules = rules.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n", "field")
-    cells = staged.select("source_id", "job_id", "row_number", F.explode(F.map_entries("payload")).alias("e"))
-    joined = cells.select("source_id", "job_id", "row_number", F.lower("e.key").alias("_key"), F.col("e.value").alias("value")).join(rules, ["source_id", "_key"])
+    cells = staged.select("source_id", "job_id", "row_number", F.posexplode(F.map_entries("payload")).alias("pos", "e"))
+    joined = cells.select("source_id", "job_id", "row_number", "pos", F.lower("e.key").alias("_key"), F.col("e.value").alias("value")).join(rules, ["source_id", "_key"])
     column = (F.col("status") == "AUTO_CONFIRMED") & F.concat_ws(".", "entity", "target").isin(*columns)
-    out = joined.select("source_id", "job_id", "row_number", F.regexp_replace("entity", "s$", "").alias("entity"), F.col("target").alias("field"), "value", (~column).alias("extra"))
+    out = joined.select("source_id", "job_id", "row_number", F.regexp_replace("entity", "s$", "").alias("entity"), F.col("target").alias("field"), "value", (~column).alias("extra"), "pos")
     return out.where(~F.col("extra") | F.col("value").isNotNull())
 
 
 def entities(long: DataFrame) -> DataFrame:
-    """One row for each record and entity: fields map and additional_attributes map."""
-    pairs = lambda test: F.map_from_entries(F.array_sort(F.collect_set(F.when(test & F.col("value").isNotNull(), F.struct("field", "value")))))
-    once = long.dropDuplicates(["source_id", "job_id", "row_number", "entity", "field", "extra"])
-    return once.groupBy("source_id", "job_id", "row_number", "entity").agg(pairs(~F.col("extra")).alias("fields"), pairs(F.col("extra")).alias("additional_attributes"))
+    """One row for each record and entity: fields map and additional_attributes map. Of several source fields with one
+    target the last in the payload counts, its null too."""
+    cells = F.filter("cells", lambda c: ~F.exists("cells", lambda d: (d["field"] == c["field"]) & (d["extra"] == c["extra"]) & (d["pos"] > c["pos"])))
+
+    def pairs(extra: bool) -> Column:
+        own = F.filter("cells", lambda c: (c["extra"] if extra else ~c["extra"]) & c["value"].isNotNull())
+        return F.map_from_entries(F.array_sort(F.transform(own, lambda c: F.struct(c["field"].alias("key"), c["value"].alias("value")))))
+
+    gathered = long.groupBy("source_id", "job_id", "row_number", "entity").agg(F.collect_list(F.struct("field", "value", "extra", "pos")).alias("cells")).withColumn("cells", cells)
+    return gathered.select("source_id", "job_id", "row_number", "entity", pairs(False).alias("fields"), pairs(True).alias("additional_attributes"))

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, GRADES, MISSING, PENALTIES, WEIGHTS
+from tallyloom.functions.lineage import written
 from tallyloom.functions.text import first_present, is_blank, is_rule_date, is_rule_email, iso_date, trim
 
 KEYS = ["source_id", "job_id", "row_number"]
+DUPLICATE = "UNIQUENESS_DUPLICATE_HASH"
 
 
 @dataclass(frozen=True)
@@ -45,18 +47,18 @@ def validity(p: Column) -> list[Rule]:
         rules.append(Rule(code, "VALIDITY", "HIGH", field, ~is_blank(p[field]) & condition, message))
 
     for f in ("order_date", "Order Date", "ship_date", "Ship Date"):
-        add("VALIDITY_DATE_FORMAT", f, ~is_rule_date(p[f]), _says(f"Field '{f}' value '", p[f], "' is not a recognisable date format"))
+        add("VALIDITY_DATE_FORMAT", f, ~is_rule_date(p[f]), _says(f"{f}: '", p[f], "' fits no date format"))
     for f in ("total_amount", "Sales", "quantity", "unit_price", "shipping_cost", "Shipping Cost"):
         number = p[f].try_cast("double")
-        add("VALIDITY_NEGATIVE_NUMBER", f, number < 0, _says(f"Field '{f}' has negative value: ", p[f]))
-        add("VALIDITY_NON_NUMERIC", f, number.isNull(), _says(f"Field '{f}' value '", p[f], "' cannot be parsed as a number"))
+        add("VALIDITY_NEGATIVE_NUMBER", f, number < 0, _says(f"{f}: ", p[f], " is below zero"))
+        add("VALIDITY_NON_NUMERIC", f, number.isNull(), _says(f"{f}: '", p[f], "' is no number"))
     for f in ("email", "email_address", "contact_email"):
-        add("VALIDITY_EMAIL_FORMAT", f, ~is_rule_email(p[f]), _says(f"Field '{f}' value '", p[f], "' is not a valid email address"))
+        add("VALIDITY_EMAIL_FORMAT", f, ~is_rule_email(p[f]), _says(f"{f}: '", p[f], "' is no email address"))
     return rules
 
 
 def uniqueness(copies: Column) -> list[Rule]:
-    return [Rule("UNIQUENESS_DUPLICATE_HASH", "UNIQUENESS", "HIGH", "record_hash", copies > 1, F.lit("Another record of the source has the same content"))]
+    return [Rule(DUPLICATE, "UNIQUENESS", "HIGH", "record_hash", copies > 1, F.lit("Another record of the source has the same content"))]
 
 
 def consistency(p: Column, as_of: Column) -> list[Rule]:
@@ -82,7 +84,7 @@ def accuracy(p: Column) -> list[Rule]:
     for code, names, allowed in (("ACCURACY_INVALID_CURRENCY", ("currency", "currency_code", "curr"), CURRENCIES), ("ACCURACY_INVALID_COUNTRY", ("country", "country_code", "nation"), COUNTRIES)):
         for f in names:
             value = spelt(p, f)
-            rules.append(Rule(code, "ACCURACY", "LOW", f, ~is_blank(value) & ~F.upper(trim(value)).isin(*allowed), _says(f"Field '{f}' value '", value, "' is not in the standard list")))
+            rules.append(Rule(code, "ACCURACY", "LOW", f, ~is_blank(value) & ~F.upper(trim(value)).isin(*allowed), _says(f"{f}: '", value, "' is not among the known ones")))
     return rules
 
 
@@ -101,26 +103,35 @@ def user_rule(code: str, dimension: str, severity: str, field: str, expression:
     return Rule(code, dimension, severity, field, ~F.coalesce(F.expr(expression), F.lit(False)), F.lit(f"Rule not met: {expression}"))
 
 
-def _fired(rows: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    fired = F.array(
-        *[F.when(r.condition, F.struct(F.lit(i).alias("rule_ord"), F.lit(r.code).alias("rule"), F.lit(r.dimension).alias("dimension"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"), r.message.alias("message"))) for i, r in rules]
-    )
-    found = rows.select(*KEYS, F.explode(F.filter(fired, lambda x: x.isNotNull())).alias("i"))
-    return found.select(*KEYS, "i.*", F.lit("OPEN").alias("status"))
+def judge(staged: DataFrame, as_of: str, extra: list[Rule] | None = None, dimensions: set[str] | None = None) -> DataFrame:
+    """keys, record_hash, fired: each record with the rules that it breaks, from one reading of the staged rows. This slim table is
+    written, and issues, counts and totals come from it; payloads are neither read nor hashed again."""
+    rules = [*rules_for(F.col("payload"), F.lit(None), F.lit(as_of).cast("date")), *(extra or [])]
+    wanted = [(i, r) for i, r in enumerate(rules) if (dimensions is None or r.dimension in dimensions) and r.code != DUPLICATE]
+    none = F.lit(None).cast("struct<rule_ord:int,rule:string,dimension:string,severity:string,field:string,message:string>")
+    fired = F.array(*[F.when(r.condition, _issue(i, r)) for i, r in wanted], none)
+    return written(staged.select(*KEYS, "record_hash", F.filter(fired, lambda x: x.isNotNull()).alias("fired")), "judged")
+
+
+def _issue(i: int, r: Rule) -> Column:
+    return F.struct(F.lit(i).alias("rule_ord"), F.lit(r.code).alias("rule"), F.lit(r.dimension).alias("dimension"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"), r.message.alias("message"))
+
+
+def issues(judged: DataFrame, dimensions: set[str] | None = None) -> DataFrame:
+    """Issues: keys, rule_ord, rule, dimension, severity, field, message, status. For uniqueness hashes are counted, and those with copies meet
+    the keys again."""
+    found = judged.select(*KEYS, F.explode("fired").alias("i")).select(*KEYS, "i.*", F.lit("OPEN").alias("status"))
+    if dimensions is not None and "UNIQUENESS" not in dimensions:
+        return found
+    place, rule = next((i, r) for i, r in enumerate(rules_for(F.col("payload"), F.col("_copies"), F.current_date())) if r.code == DUPLICATE)
+    copies = judged.groupBy("source_id", "record_hash").agg(F.count_if(~is_blank(F.col("record_hash"))).alias("_copies")).where("_copies > 1")
+    again = judged.select(*KEYS, "record_hash").join(copies, ["source_id", "record_hash"]).where(rule.condition)
+    return found.unionByName(again.select(*KEYS, _issue(place, rule).alias("i")).select(*KEYS, "i.*", F.lit("OPEN").alias("status")))
 
 
 def check(staged: DataFrame, as_of: str, extra: list[Rule] | None = None, dimensions: set[str] | None = None) -> DataFrame:
-    """Issues: keys, rule_ord, rule, dimension, severity, field, message, status. The rules of a record are one
-    projection. For uniqueness only keys and hashes move: hashes are counted, and those with copies meet the keys again."""
-    rules = [*rules_for(F.col("payload"), F.col("_copies"), F.lit(as_of).cast("date")), *(extra or [])]
-    wanted = [(i, r) for i, r in enumerate(rules) if dimensions is None or r.dimension in dimensions]
-    of_hash = [(i, r) for i, r in wanted if r.code == "UNIQUENESS_DUPLICATE_HASH"]
-    found = [_fired(staged, of_record)] if (of_record := [x for x in wanted if x not in of_hash]) else []
-    if of_hash:
-        hashes = staged.select(*KEYS, "record_hash")
-        copies = hashes.groupBy("source_id", "record_hash").agg(F.count_if(~is_blank(F.col("record_hash"))).alias("_copies")).where("_copies > 1")
-        found.append(_fired(hashes.join(copies, ["source_id", "record_hash"]), of_hash))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    """The issues of staged rows, of some dimensions or all."""
+    return issues(judge(staged, as_of, extra, dimensions), dimensions)
 
 
 def rejected(issues: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ _YEAR = "cast(year(o_orderdate) as string)"
 _CENTS = "cast(round(o_totalprice * 100) as bigint)"
 
 
+ISO_DATE = f"({_YEAR} || '-' || {_MONTH} || '-' || {_DAY})"
+
+
 def money(cents: str) -> str:
     return f"(cast(cast(floor(({cents}) / 100) as bigint) as string) || '.' || lpad(cast(({cents}) % 100 as string), 2, '0'))"
 

@@ -4,47 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.lineage import cut
 from tallyloom.operators import canonical, mapping, profiling, quality
+from tallyloom.operators.history import History, after_job
+from tallyloom.operators.versions import Versions
 from tallyloom.sources.staging import numbered
 
 #: Entities that stand by themselves, loaded before the orders that link to them.
 ALONE = {"customer": canonical.CUSTOMERS, "product": canonical.PRODUCTS, "salesperson": canonical.SALESPERSONS, "region": canonical.REGIONS}
 JOB = ["source_id", "job_id"]
+MAPPINGS = "source_id string, field string, entity string, target string, confidence decimal(3,2), status string"
 
 
-def counters(staged: DataFrame, issues: DataFrame, ids: dict[str, DataFrame], conflicts: list[DataFrame]) -> DataFrame:
-    """For each job: records read, without and with a critical issue, with any canonical row, and its conflicts."""
+def counters(judged: DataFrame, issues: DataFrame, ids: dict[str, DataFrame], conflicts: list[DataFrame]) -> DataFrame:
+    """Of one job: records read, without and with a critical issue, with any canonical row, and conflicts found."""
     critical = issues.where("severity = 'CRITICAL'").select(*quality.KEYS).distinct().withColumn("_bad", F.lit(True))
     hit = None
     for own in ids.values():
-        one = own.select(F.col("source").alias("source_id"), "row_number")
-        hit = one if hit is None else hit.unionByName(one)
-    marked = staged.select(*quality.KEYS).join(critical, quality.KEYS, "left").join(hit.distinct().withColumn("_loaded", F.lit(True)), ["source_id", "row_number"], "left")
+        hit = own.select("row_number") if hit is None else hit.unionByName(own.select("row_number"))
+    marked = judged.select(*quality.KEYS).join(critical, quality.KEYS, "left").join(hit.distinct().withColumn("_loaded", F.lit(True)), "row_number", "left")
     out = marked.groupBy(*JOB).agg(F.count(F.lit(1)).alias("read_records"), F.count_if(F.col("_bad").isNull()).alias("passed_records"), F.count("_bad").alias("rejected_records"), F.count("_loaded").alias("loaded_records"))
-    each = None
-    for found in conflicts:
-        one = found.select(F.col("source_b").alias("source_id"))
-        each = one if each is None else each.unionByName(one)
-    return out.join(each.groupBy("source_id").agg(F.count(F.lit(1)).alias("conflicts")), "source_id", "left").fillna(0, ["conflicts"])
+    return out.withColumn("conflicts", F.lit(sum(found.count() for found in conflicts)).cast("long"))
 
 
-def run_job(staged: DataFrame, stores: dict[str, DataFrame], trust: DataFrame, as_of: str, targets: DataFrame, mappings: DataFrame | None = None, winner: str = "incoming") -> dict[str, DataFrame]:
-    """Profile, map, check, score and load one job of one source; each result is a DataFrame by name.
+def only_job(staged: DataFrame) -> tuple[str, str] | None:
+    """The source and job of the rows; None without rows. Row numbers are those of one job, so rows of more are refused."""
+    found = staged.select(*JOB).distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("rows of more than one source or job: load them one by one")
+    return (found[0]["source_id"], found[0]["job_id"]) if found else None
+
+
+def assess(staged: DataFrame, as_of: str, history: History | None = None, seq: int = 0) -> dict[str, DataFrame]:
+    """Profiles, issues and scores of one job of one source. With ``history`` its profiles and schema are recorded as those of job
+    ``seq``, and drift against the jobs before it counts among the issues and in the scores."""
+    job = only_job(staged)
+    profiles = cut(profiling.profile(staged))
+    judged = quality.judge(staged, as_of)
+    issues = quality.issues(judged)
+    if history is not None and job is not None:
+        issues = issues.unionByName(after_job(history, *job, seq, profiles))
+    issues = cut(issues)
+    return {"profiles": profiles, "judged": judged, "issues": issues, "scores": cut(quality.scores(judged, issues))}
+
+
+def run_job(
+    staged: DataFrame, stores: dict[str, DataFrame], trust: DataFrame, as_of: str, targets: DataFrame, mappings: DataFrame | None = None, winner: str = "incoming", history: History | None = None, seq: int = 0, changed_only: bool = False
+) -> dict[str, DataFrame]:
+    """Profile, map, check, score and load one job of one source; each result is a DataFrame by name. Rows of several are refused.
 
     ``stores``: the canonical tables by name, each an ``entity_id``-keyed DataFrame. Records with a critical issue are not
     loaded. Customers, products, salespersons and regions come first, then orders with the customer of their record (and its
     salesperson and region if there are any), then line items. Rows carry additional attributes and the job's score.
+    ``history``: where profiles and schemas of jobs are kept, see ``assess``. ``changed_only``: of the canonical tables only rows that are
+    new or changed are given.
     """
-    profiles = cut(profiling.profile(staged))
+    _, job = only_job(staged) or ("", "")
+    done = assess(staged, as_of, history, seq)
+    profiles, judged, issues, scores = (done[k] for k in ("profiles", "judged", "issues", "scores"))
     fields = profiles.select("source_id", "field", "inferred_type")
     maps = cut(mapping.map_fields(fields, targets, mappings))
-    issues = cut(quality.check(staged, as_of))
-    scores = cut(quality.scores(staged, issues))
     good = quality.accepted(staged, issues)
     long = cut(mapping.transform_long(good, maps))
     overall = scores.select(*JOB, F.col("overall").alias("quality_score"))
@@ -53,11 +75,11 @@ def run_job(staged: DataFrame, stores: dict[str, DataFrame], trust: DataFrame, a
     ids, lines, conflicts = {}, [], []
 
     def put(name: str, entity: canonical.Entity, records: DataFrame) -> None:
-        store, found, ids[name] = canonical.load(records, stores[entity.table], entity, trust, winner)
+        store, found, ids[name] = canonical.load(records, stores[entity.table], entity, trust, winner, changed_only, job)
         out[entity.table] = store
         if found is not None:
-            out[f"{entity.table}_conflicts"] = found
-            conflicts.append(found)
+            out[f"{entity.table}_conflicts"] = cut(found)
+            conflicts.append(out[f"{entity.table}_conflicts"])
         lines.append(canonical.lineage(long, ids[name], name))
 
     for name, entity in ALONE.items():
@@ -68,52 +90,58 @@ def run_job(staged: DataFrame, stores: dict[str, DataFrame], trust: DataFrame, a
     lineage = lines[0]
     for more in lines[1:]:
         lineage = lineage.unionByName(more)
-    return out | {"lineage": lineage, "counters": counters(staged, issues, ids, conflicts)}
+    return out | {"lineage": lineage, "counters": counters(judged, issues, ids, conflicts)}
 
 
 def empty_stores(spark: SparkSession) -> dict[str, DataFrame]:
     return {e.table: canonical.empty_store(spark, e) for e in (*ALONE.values(), canonical.ORDERS)}
 
 
-def each_window(root: str, trust: DataFrame, targets: DataFrame, as_of: Callable[[], str]) -> Callable[[DataFrame, int], None]:
+def versioned(spark: SparkSession, root: str) -> dict[str, Versions]:
+    """The canonical tables under ``root``, by name, as tables of changes."""
+    return {name: Versions(spark, f"{root}/{name}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)) for name, df in empty_stores(spark).items()}
+
+
+#: Windows between two compactions of the canonical tables.
+COMPACT_EVERY = 50
+
+
+def each_window(root: str, trust: DataFrame, targets: DataFrame, as_of: Callable[[], str], compact_every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
     """What the live path does with each window: one job for each of its sources, in order of their ids.
 
     The first window of a source maps its fields, later ones keep those mappings and map new fields; every window is
-    profiled. Results are tables under ``root``, a folder for each window, so a window that runs again replaces what it
-    wrote; stores and mappings are read from the newest window before it.
+    profiled, and drift counts among its issues. A window writes what it found, the mappings of its sources, and the canonical rows
+    that are new or changed; those before it are read merged. Every ``compact_every`` windows the changes become a base. A window
+    that runs again replaces what it had written, since it reads only what came before it.
     """
 
-    def read(spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
-        try:
-            kept = spark.read.parquet(f"{root}/{name}").where(F.col("window") < batch_id)
-        except AnalysisException as missing:
-            if missing.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        newest = kept.agg(F.max("window")).first()[0]
-        return None if newest is None else kept.where(F.col("window") == newest).drop("window")
-
     def each(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
+        history, tables = History(spark, f"{root}/history"), versioned(spark, root)
         staged = cut(numbered(rows.select("source_id", "job_id", "payload", "raw_payload", "record_hash")))
         sources = sorted(r["source_id"] for r in staged.select("source_id").distinct().collect())
-        stores = {n: read(spark, n, batch_id) for n in empty_stores(spark)}
-        stores = {n: empty if stores[n] is None else stores[n].select(*empty.columns) for n, empty in empty_stores(spark).items()}
-        maps = read(spark, "mappings", batch_id)
+        before = {name: t.read(batch_id) for name, t in tables.items()}
+        changed: dict[str, DataFrame] = {}
         kept: dict[str, list[DataFrame]] = {}
         for source in sources:
-            known = None if maps is None else maps.where(F.col("source_id") == source)
-            out = run_job(staged.where(F.col("source_id") == source), stores, trust, as_of(), targets, known)
-            for name in stores:
-                stores[name] = cut(out[name])
+            last = history.before(source, batch_id, 1)
+            known = spark.read.schema(MAPPINGS).parquet(f"{root}/mappings/window={last[0]['seq']}").where(F.col("source_id") == source) if last else None
+            stores = {n: s if n not in changed else s.join(changed[n].select("entity_id"), "entity_id", "left_anti").unionByName(changed[n]) for n, s in before.items()}
+            out = run_job(staged.where(F.col("source_id") == source), stores, trust, as_of(), targets, known, history=history, seq=batch_id, changed_only=True)
+            for name in tables:
+                new = cut(out[name])
+                changed[name] = new if name not in changed else cut(changed[name].join(new.select("entity_id"), "entity_id", "left_anti").unionByName(new))
             for name in ("profiles", "mappings", "issues", "scores", "lineage", "counters", "order_line_items", *[n for n in out if n.endswith("_conflicts")]):
                 kept.setdefault(name, []).append(out[name])
-        if maps is not None and sources:
-            kept["mappings"].append(maps.where(~F.col("source_id").isin(sources)))
-        for name, tables in [*kept.items(), *[(n, [s]) for n, s in stores.items() if sources]]:
-            whole = tables[0]
-            for more in tables[1:]:
+        for name, found in kept.items():
+            whole = found[0]
+            for more in found[1:]:
                 whole = whole.unionByName(more)
             whole.write.mode("overwrite").parquet(f"{root}/{name}/window={batch_id}")
+        for name, rows_ in changed.items():
+            tables[name].write(rows_, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            for table in tables.values():
+                table.compact(batch_id)
 
     return each

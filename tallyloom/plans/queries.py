@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, REGISTRY, WEIGHTS
 from tallyloom.functions.lineage import cut, scratch
 from tallyloom.operators import canonical, conflict, evolve, mapping, profiling, quality, reads
+from tallyloom.operators import history as histories
+from tallyloom.operators.history import History
 from tallyloom.plans import demo
-from tallyloom.plans.pipeline import empty_stores, run_job
+from tallyloom.plans.pipeline import assess, empty_stores, run_job, versioned
 from tallyloom.sources.staging import due_sources, read_csv, stage, write_staged
 from tallyloom.sources.staging import duplicate_hashes as find_duplicates
 from tallyloom.streaming import live
@@ -116,7 +118,8 @@ def rejected_with_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sales s left join marks m on s.source_id = m.source_id and s.job_id = m.job_id and s.row_number = m.row_number group by all"""
 )
 def pass_fail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.pass_fail(demo.sales(spark, sf_dir), _issues(spark, sf_dir))
+    judged = quality.judge(demo.sales(spark, sf_dir), demo.AS_OF)
+    return quality.pass_fail(judged, quality.issues(judged))
 
 
 @query(f"{ISSUES} select source_id, job_id, dimension, severity, count(*) as n from issues group by all")
@@ -128,17 +131,19 @@ _PENALTY = "case severity when 'CRITICAL' then 100 when 'HIGH' then 50 when 'MED
 _HALF_UP = "cast(floor({0} + 0.5) as bigint)"
 # scores in whole ten-thousandths: 10000 * (1 - lost / (100 n)), rounded half up
 _SCORE = "greatest(0, cast(floor((2 * (100 * n - least(lost_{0}, 100 * n)) * 10000 + 100 * n) / (200 * n)) as bigint))"
-SCORES = f"""{ISSUES}, totals as (select source_id, job_id, count(*) as n from sales group by all),
+_SCORED = f"""totals as (select source_id, job_id, count(*) as n from sales group by all),
 lost as (select source_id, job_id, {", ".join(f"coalesce(sum({_PENALTY}) filter (where dimension = '{d}'), 0) as lost_{d}" for d in WEIGHTS)} from issues group by all),
 each as (select t.source_id, t.job_id, n, {", ".join(f"coalesce({_SCORE.format(d)}, 10000) as {d.lower()}" for d in WEIGHTS)} from totals t left join lost l on t.source_id = l.source_id and t.job_id = l.job_id),
 overall as (select *, cast(floor(({" + ".join(f"{d.lower()} * {int(w.replace('0.', ''))}" for d, w in WEIGHTS.items())} + 50) / 100) as bigint) as total from each),
 scores as (select source_id, job_id, n as total_records, {", ".join(f"{d.lower()} / 10000.0 as {d.lower()}" for d in WEIGHTS)}, total / 10000.0 as overall,
 case when total >= 9500 then 'A' when total >= 8500 then 'B' when total >= 7000 then 'C' when total >= 5500 then 'D' else 'F' end as grade from overall)"""
+SCORES = f"{ISSUES}, {_SCORED}"
 _SCORE_COLS = [*[d.lower() for d in WEIGHTS], "overall"]
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.scores(demo.sales(spark, sf_dir), _issues(spark, sf_dir))
+    judged = quality.judge(demo.sales(spark, sf_dir), demo.AS_OF)
+    return quality.scores(judged, quality.issues(judged))
 
 
 _AS_DOUBLE = ", ".join(f"cast({c} as double) as {c}" for c in _SCORE_COLS)
@@ -244,16 +249,29 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- mapping ----
-SOURCE_FIELDS = [
-    ("Order Date", "DATE"), ("Ordr Date", "DATE"), ("shipping_cost_fee", "DECIMAL"), ("Random Date Column", "DATE"), ("completely_random_field_name", "BOOLEAN"), ("State", "CATEGORY"), ("Country", "CATEGORY"), ("Region", "CATEGORY"),
-    ("City", "FREE_TEXT"), ("Currency", "CATEGORY"), ("group", "CATEGORY"), ("Postal Code", "INTEGER"), ("Quantity", "INTEGER"), ("Row ID", "INTEGER"), ("Customer Name", "FREE_TEXT"), ("Ship Mode", "CATEGORY"), ("Sales", "DECIMAL"),
-    ("Price Paid", "CURRENCY_AMOUNT"), ("customer_name", "FREE_TEXT"), ("email", "EMAIL"), ("segment", "CATEGORY"), ("sku", "FREE_TEXT"), ("order_date", "FREE_TEXT"), ("total_amount", "FREE_TEXT"), ("unit_price", "DECIMAL"), ("currency", "CATEGORY"), ("country", "FREE_TEXT"),
-]
-_FIELD_ROWS = ", ".join(f"('demo', '{f}', '{t}')" for f, t in SOURCE_FIELDS)
+#: Fields of three sources as their tables give them: table, key, and what each field holds.
+SOURCE_FIELDS = {
+    "crm": ("customer", "c_custkey", {
+        "Customer Name": "c_name", "group": "c_mktsegment", "City": "'City ' || cast(c_custkey % 40 as string)", "Country": "'Country ' || cast(c_nationkey as string)", "State": "'S' || cast(c_custkey % 9 as string)",
+        "Postal Code": "cast(10000 + c_custkey % 5000 as string)", "email": "'c' || cast(c_custkey as string) || '@example.com'", "completely_random_field_name": "case when c_custkey % 2 = 0 then 'true' else 'FALSE' end", "Row ID": "cast(c_custkey as string)",
+    }),
+    "catalog": ("part", "p_partkey", {
+        "sku": "'P' || cast(p_partkey as string)", "Price Paid": f"'$' || {demo.money('cast(round(p_retailprice * 100) as bigint)')}", "unit_price": demo.money("cast(round(p_retailprice * 100) as bigint)"),
+        "Currency": "case when p_partkey % 2 = 0 then 'USD' else 'EUR' end", "Quantity": "cast(p_size as string)", "department": "p_brand",
+    }),
+    "shop": ("orders", "o_orderkey", {
+        "Order Date": demo.ISO_DATE, "Ordr Date": demo.ISO_DATE, "Random Date Column": demo.ISO_DATE, "shipping_cost_fee": demo.money("o_orderkey % 900"), "Sales": demo.money("cast(round(o_totalprice * 100) as bigint)"),
+        "Ship Mode": "case when o_orderkey % 2 = 0 then 'AIR' else 'SHIP' end", "Region": "'R' || cast(o_orderkey % 5 as string)", "customer_name": "case when o_orderkey % 3 = 0 then null else 'C' || cast(o_custkey as string) end",
+    }),
+}
+_FIELD_CELLS = " union all ".join(f"select '{s}' as source_id, '{f}' as field, {e} as v from {t}" for s, (t, _, fields) in SOURCE_FIELDS.items() for f, e in fields.items())
+_FIELD_TYPES = f"""select source_id, field, case when bool_and({_INT}) then 'INTEGER' when bool_and({_DEC}) then 'DECIMAL' when bool_and(lower(v) in ('true', 'false')) then 'BOOLEAN' when bool_and(regexp_full_match(v, '[0-9]{{4}}-{_M}-{_D}')) then 'DATE'
+when bool_and(regexp_full_match(v, '[A-Za-z0-9+_.-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) then 'EMAIL' when bool_and(regexp_full_match(v, '[$][0-9]+(\\.[0-9]{{1,2}})?')) then 'CURRENCY_AMOUNT' when count(distinct v) < 20 then 'CATEGORY' else 'FREE_TEXT' end as inferred_type
+from ({_FIELD_CELLS}) where v is not null group by all"""
 _TARGET_ROWS = ", ".join(f"({i}, '{e}', '{f}', '{t}', [{_sql_list([f, *s])}])" for i, (e, f, t, s) in enumerate(REGISTRY))
 _NORM = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[ _]+'), lambda t: t <> ''))"
-MAPPED = f"""with fields as (select * from (values {_FIELD_ROWS}) t(source_id, field, inferred_type)), targets as (select * from (values {_TARGET_ROWS}) t(ord, entity, target, target_type, names)),
+MAPPED = f"""with fields as ({_FIELD_TYPES}), targets as (select * from (values {_TARGET_ROWS}) t(ord, entity, target, target_type, names)),
 names as (select source_id, field, inferred_type, ord, entity, target, target_type, {_NORM.format('field')} as mine, {_NORM.format('name')} as theirs, {_WORDS.format('field')} as a, {_WORDS.format('name')} as b from fields, (select *, unnest(names) as name from targets)),
 pairs as (select source_id, field, ord, entity, target, max(case when mine = theirs then 1.00 when levenshtein(mine, theirs) <= 2 then 0.85 when len(list_intersect(a, b)) * 2 >= len(list_distinct(list_concat(a, b))) and len(a) + len(b) > 0 then 0.70
 when inferred_type = target_type or (inferred_type = 'CURRENCY_AMOUNT' and target_type = 'DECIMAL') then 0.55 else 0 end) as confidence from names group by all),
@@ -262,32 +280,39 @@ mapped as (select source_id, field, case when confidence >= 0.55 then entity els
 case when confidence >= 0.8 then 'AUTO_CONFIRMED' when confidence >= 0.55 then 'PENDING' else 'IGNORED' end as status from best)"""
 
 
-def _fields(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("demo", f, t) for f, t in SOURCE_FIELDS], "source_id string, field string, inferred_type string")
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the sources with the types that profiling finds."""
+    found = None
+    for source, (name, key, fields) in SOURCE_FIELDS.items():
+        flat = demo.table(spark, sf_dir, name).select(F.col(key).alias("_row"), *[F.expr(e).alias(f) for f, e in fields.items()])
+        staged = stage(flat, list(fields), F.lit(source), F.lit("job-1"), F.col("_row"))
+        own = profiling.types(profiling.values(staged)).select("source_id", "field", "inferred_type")
+        found = own if found is None else found.unionByName(own)
+    return cut(found)
 
 
 @query(f"{MAPPED} select source_id, field, entity, target, cast(confidence as double) as confidence from pairs")
 def mapping_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(mapping.score_pairs(_fields(spark), mapping.registry(spark)).select("source_id", "field", "entity", "target", "confidence"), "confidence")
+    return _doubles(mapping.score_pairs(_fields(spark, sf_dir), mapping.registry(spark)).select("source_id", "field", "entity", "target", "confidence"), "confidence")
 
 
 @query(f"{MAPPED} select * from mapped")
 def mapping_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(mapping.map_fields(_fields(spark), mapping.registry(spark)), "confidence")
+    return _doubles(mapping.map_fields(_fields(spark, sf_dir), mapping.registry(spark)), "confidence")
 
 
 @query(f"{MAPPED} select source_id, field, case when field = 'City' then 'customers' else entity end as entity, case when field = 'City' then 'segment' else target end as target, case when field = 'City' then 1.0 else confidence end as confidence, case when field = 'City' then 'AUTO_CONFIRMED' else status end as status from mapped")
 def mapping_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An existing mapping stays, an ignored one is scored again."""
-    old = spark.createDataFrame([("demo", "City", "customers", "segment", "1.00", "AUTO_CONFIRMED"), ("demo", "Sales", "", "", "0.00", "IGNORED"), ("demo", "Gone", "orders", "total_amount", "1.00", "AUTO_CONFIRMED")], "source_id string, field string, entity string, target string, confidence string, status string")
+    old = spark.createDataFrame([("crm", "City", "customers", "segment", "1.00", "AUTO_CONFIRMED"), ("shop", "Sales", "", "", "0.00", "IGNORED"), ("crm", "Gone", "orders", "total_amount", "1.00", "AUTO_CONFIRMED")], "source_id string, field string, entity string, target string, confidence string, status string")
     old = old.withColumn("confidence", F.col("confidence").cast("decimal(3,2)"))
-    return _doubles(mapping.map_fields(_fields(spark), mapping.registry(spark), old), "confidence")
+    return _doubles(mapping.map_fields(_fields(spark, sf_dir), mapping.registry(spark), old), "confidence")
 
 
-@query("select 'demo' as source_id, 'Gone' as field")
+@query(f"{MAPPED} select * from (values ('crm', 'City'), ('crm', 'Gone'), ('shop', 'City')) t(source_id, field) where not exists (select 1 from fields f where f.source_id = t.source_id and f.field = t.field)")
 def stale_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = spark.createDataFrame([("demo", "City"), ("demo", "Gone")], "source_id string, field string")
-    return mapping.stale(old, _fields(spark))
+    old = spark.createDataFrame([("crm", "City"), ("crm", "Gone"), ("shop", "City")], "source_id string, field string")
+    return mapping.stale(old, _fields(spark, sf_dir))
 
 
 _MAPS = [("customer_name", "customers", "name", "AUTO_CONFIRMED"), ("EMAIL", "customers", "email", "AUTO_CONFIRMED"), ("segment", "customers", "segment", "PENDING"), ("sku", "products", "sku", "AUTO_CONFIRMED"), ("unit_price", "products", "unit_price", "AUTO_CONFIRMED"), ("order_date", "orders", "order_date", "AUTO_CONFIRMED"), ("total_amount", "orders", "total_amount", "AUTO_CONFIRMED"), ("ship mode", "orders", "ship_mode", "AUTO_CONFIRMED"), ("country", "customers", "country", "AUTO_CONFIRMED"), ("currency", "", "", "IGNORED")]
@@ -306,7 +331,7 @@ _LONG = " union all ".join(
 
 @query(f"{SALES}, long as ({_LONG}) select * from long where not extra or value is not null")
 def transform_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.transform_long(demo.sales(spark, sf_dir), _maps(spark))
+    return mapping.transform_long(demo.sales(spark, sf_dir), _maps(spark)).drop("pos")
 
 
 @query(f"{SALES}, long as ({_LONG}), kept as (select * from long where not extra or value is not null) select {_K}, entity, count(*) filter (where extra) as extras, count(value) filter (where not extra) as columns from kept group by all")
@@ -315,6 +340,19 @@ def additional_attributes_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_id", "job_id", "row_number", "entity", F.size("additional_attributes").cast("bigint").alias("extras"), F.size("fields").cast("bigint").alias("columns"))
 
 
+_TWO = [("total_amount", "orders", "total_amount"), ("line_total", "orders", "total_amount"), ("email", "customers", "phone"), ("sku", "customers", "phone")]
+
+
+@query(f"{SALES} select {_K}, 'order' as entity, line_total as value from sales union all select {_K}, 'customer', sku from sales")
+def transform_two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields with one target: the later in the payload counts, even if it is null."""
+    maps = spark.createDataFrame([(s, *m, "AUTO_CONFIRMED") for s in ("store", "web") for m in _TWO], "source_id string, field string, entity string, target string, status string")
+    known = {"orders": ["total_amount"], "customers": ["phone"]}
+    out = mapping.entities(mapping.transform_long(demo.sales(spark, sf_dir), maps, known))
+    value = F.coalesce(F.try_element_at("fields", F.lit("total_amount")), F.try_element_at("fields", F.lit("phone")))
+    return out.select("source_id", "job_id", "row_number", "entity", value.alias("value"))
+
+
 # ---- canonical ----
 def _loaded(spark: SparkSession, sf_dir: str, kind: str, entity: canonical.Entity, sources: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     store, found = canonical.empty_store(spark, entity), None
@@ -401,19 +439,119 @@ def external_refs_business(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.typed(demo.records(spark, sf_dir, "store", "customers"), canonical.CUSTOMERS).select("row_number", "ref")
 
 
+_WEB_SEGMENT = "case when source_id = 'web' and row_number % 5 = 0 then 'CORPORATE' else segment end"
+
+
 @query(
-    f"""{ISSUES}, bad as (select distinct {_K} from issues where severity = 'CRITICAL')
-    select s.source_id, s.job_id, count(*) as read_records, count(*) filter (where b.row_number is null) as passed_records, count(b.row_number) as rejected_records, count(*) filter (where b.row_number is null) as loaded_records, 0 as conflicts
-    from sales s left join bad b on s.source_id = b.source_id and s.job_id = b.job_id and s.row_number = b.row_number group by all"""
+    f"""{SALES}, marked as (select *, customer_name is not null and sku is not null as ok, {_WEB_SEGMENT} as said from sales),
+    ends as (select source_id, email, arg_max(said, row_number) as said from marked where ok group by all),
+    unlike as (select count(*) as n from ends s join ends w on s.email = w.email and s.source_id = 'store' and w.source_id = 'web' where s.said <> w.said)
+    select source_id, 'job-1' as job_id, count(*) as read_records, count(*) filter (where ok) as passed_records, count(*) filter (where not ok) as rejected_records, count(*) filter (where ok) as loaded_records,
+    case when source_id = 'web' then (select n from unlike) else 0 end as conflicts from marked group by source_id"""
 )
 def run_job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole jobs of both sources, from staged rows to canonical ones, into empty stores."""
-    return _job(spark, sf_dir)["counters"]
+    """A job of each source, one after the other, into the same stores: the second finds what the first says otherwise."""
+    maps = _maps(spark).withColumn("confidence", F.lit("1.00").cast("decimal(3,2)")).withColumn("status", F.when(F.col("field") == "segment", "AUTO_CONFIRMED").otherwise(F.col("status")))
+    flat = demo.sales_flat(spark, sf_dir).withColumn("segment", F.expr(_WEB_SEGMENT))
+    stores, told = empty_stores(spark), None
+    for source in ("store", "web"):
+        staged = stage(flat.where(F.col("source_id") == source), list(demo.FIELDS), F.col("source_id"), F.lit("job-1"), F.col("row_number"))
+        out = run_job(staged, stores, demo.trust(spark), demo.AS_OF, mapping.registry(spark), maps.where(F.col("source_id") == source))
+        stores = {name: cut(out[name]) for name in stores}
+        told = out["counters"] if told is None else told.unionByName(out["counters"])
+    return told
+
+
+# ---- jobs one after another: what they leave behind, and drift among their issues ----
+_JOBS = ["job-1996", "job-1997", "job-1998", "job-1999"]
+_CHANGED = {"customer_name": "case when job_id = 'job-1999' and row_number % 4 = 0 then null else customer_name end", "unit_price": "case when job_id = 'job-1999' then '50' || unit_price else unit_price end", "segment": "case when job_id = 'job-1999' then 'New ' || segment else segment end"}
+_FEWER = ("job-1998", "job-1999")
+_LATER = f"""(select source_id, job_id, row_number, {", ".join(f'{_CHANGED.get(f) or (f"case when job_id in ({_sql_list(list(_FEWER))}) then null else country end" if f == "country" else chr(34) + f + chr(34))} as "{f}"' for f in demo.FIELDS)}
+from ({demo.SALES_SQL}) where source_id = 'store' and job_id in ({_sql_list(_JOBS)}))"""
+_DRIFTS = f"""jobs as (select * from (values {", ".join(f"('{j}', {i})" for i, j in enumerate(_JOBS, 1))}) t(job_id, seq)),
+own as (select seq, c.* from cells c join jobs using (job_id) where not (field = 'country' and job_id in ({_sql_list(list(_FEWER))}))),
+kinds as (select seq, types.* from types join jobs using (job_id)),
+rates as (select seq, field, floor((count(*) - count(v)) * 10000.0 / count(*) + 0.5) / 10000.0 as null_rate from own group by all),
+tops as (select seq, field, list(v) as top from (select seq, field, v, row_number() over (partition by seq, field order by n desc, v) as r from vals join jobs using (job_id)) where r <= 10 group by all),
+ends as (select k.seq, k.field, case when any_value(inferred_type) in ('INTEGER', 'DECIMAL') then arg_min(v, (try_cast(v as decimal(38,10)), first_row)) else min(v) end as lo,
+case when any_value(inferred_type) in ('INTEGER', 'DECIMAL') then arg_max(v, (try_cast(v as decimal(38,10)), -first_row)) else max(v) end as hi from vals v join kinds k on v.job_id = k.job_id and v.field = k.field group by k.seq, k.field),
+profs as (select rates.seq, rates.field, null_rate, coalesce(top, []) as top, try_cast(lo as double) as lo, try_cast(hi as double) as hi from rates left join tops using (seq, field) left join ends using (seq, field)),
+hist as (select n.seq, p.field, floor(avg(p.null_rate) * 10000 + 0.5 + 1e-7) / 10000.0 as usual, list_distinct(flatten(list(p.top))) as known from jobs n join profs p on p.seq in (n.seq - 1, n.seq - 2) where n.seq >= 3 group by all having count(*) = 2),
+spread as (select n.seq, field, count(x) as times, avg(x) as m, stddev_pop(x) as sd from jobs n join (select seq, field, unnest([lo, hi]) as x from profs) p on p.seq in (n.seq - 1, n.seq - 2) group by all),
+drift as (select job_id, field, unnest([case when abs(null_rate - usual) > 0.20 then 'COMPLETENESS_NULL_RATE_DRIFT' end, case when len(top) > 0 and len(known) > 0 and len(list_filter(top, lambda x: not list_contains(known, x))) > 0.5 * len(top) then 'VALIDITY_VALUE_DISTRIBUTION_DRIFT' end,
+case when times >= 2 and sd <> 0 and (coalesce(lo < m - 3 * sd, false) or coalesce(hi > m + 3 * sd, false)) then 'ACCURACY_RANGE_EXPANSION_DRIFT' end]) as rule from profs join hist using (seq, field) join spread using (seq, field) join jobs using (seq))"""
+_ASSESSED = f"{ISSUES}, {_CELLS[len(SALES) + 2 :]}, {_TYPES}, {_DRIFTS}".replace(demo.SALES_SQL, _LATER[1:-1])
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> tuple[History, list[dict[str, DataFrame]]]:
+    """Four jobs of a source: the third lacks a field, the fourth has other values, more nulls and a wider range."""
+    history = History(spark, scratch(spark, "history"))
+    flat = demo.sales_flat(spark, sf_dir).where("source_id = 'store'").withColumns({f: F.expr(e) for f, e in _CHANGED.items()})
+    done = []
+    for seq, job in enumerate(_JOBS, 1):
+        fields = [f for f in demo.FIELDS if f != "country" or job not in _FEWER]
+        staged = stage(flat.where(F.col("job_id") == job), fields, F.col("source_id"), F.col("job_id"), F.col("row_number"))
+        done.append(assess(staged, demo.AS_OF, history, seq))
+    return history, done
+
+
+@query(f"{_ASSESSED} select job_id, field, rule from drift where rule is not null")
+def job_drift_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of each job against those before it, as it stands among the job's issues."""
+    found = None
+    for out in _assessed(spark, sf_dir)[1]:
+        own = out["issues"].where("row_number IS NULL").select("job_id", "field", "rule")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
-def _job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    maps = _maps(spark).withColumn("confidence", F.lit("1.00").cast("decimal(3,2)"))
-    return run_job(demo.sales(spark, sf_dir), empty_stores(spark), demo.trust(spark), demo.AS_OF, mapping.registry(spark), maps)
+@query(
+    f"""{_ASSESSED}, {_SCORED.replace("from issues group by all)", "from (select source_id, job_id, severity, dimension from issues union all select 'store', job_id, 'MEDIUM', split_part(rule, '_', 1) from drift where rule is not null) group by all)")},
+    differ as (select n.seq, count(*) filter (where a.inferred_type is distinct from b.inferred_type) as changed from jobs n cross join (select distinct field from kinds) f left join kinds a on a.seq = n.seq and a.field = f.field left join kinds b on b.seq = n.seq - 1 and b.field = f.field group by all)
+    select j.job_id, cast(sum(case when changed > 0 then 1 else 0 end) over (order by j.seq) as int) as version, cast(coalesce(changed, 0) as int) as changed, cast((select count(*) from drift d where d.job_id = j.job_id and rule is not null) as int) as drifted, cast(overall as double) as overall, grade
+    from jobs j left join differ using (seq) join scores s on s.job_id = j.job_id"""
+)
+def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of the four jobs, with the scores that drift has lowered."""
+    history, done = _assessed(spark, sf_dir)
+    scores = None
+    for out in done:
+        scores = out["scores"] if scores is None else scores.unionByName(out["scores"])
+    return _doubles(history.read("ledger").join(scores.select("job_id", "overall", "grade"), "job_id").select("job_id", "version", "changed", "drifted", "overall", "grade"), "overall")
+
+
+@query(
+    f"""{_ASSESSED}, differ as (select n.seq, n.job_id, count(*) filter (where a.inferred_type is distinct from b.inferred_type) as changed, count(a.field) as fields from jobs n cross join (select distinct field from kinds) f left join kinds a on a.seq = n.seq and a.field = f.field left join kinds b on b.seq = n.seq - 1 and b.field = f.field group by all),
+    made as (select job_id, fields, row_number() over (order by seq) as version from differ where changed > 0)
+    select row_number() over (order by version desc) as place, 'store' as source_id, cast(version as int) as version, case when version = max(version) over () then 'ACTIVE' else 'SUPERSEDED' end as status, job_id, fields from made"""
+)
+def schema_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema's versions as the four jobs made them, newest first."""
+    found = histories.schema_versions(_assessed(spark, sf_dir)[0], "store")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("version"))).cast("bigint"))
+
+
+# ---- tables of changes ----
+@query(
+    """select 'O' || cast(o_orderkey as string) as ref, cast(round(o_totalprice * 100) as bigint) as cents, case when o_orderkey % 5 = 0 and o_orderkey % 3 <> 0 then 'RAIL' when o_orderkey % 2 = 0 then 'AIR' else 'SHIP' end as ship_mode,
+    case when o_orderkey % 3 = 0 or o_orderkey % 5 = 0 then 1 else 0 end as window from orders"""
+)
+def orders_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in two windows, the second with new ones and changes to some of the first: merged, they are what a full load has. The first
+    is compacted before the second comes; ``window`` says where each row was last written."""
+    everything = demo.records(spark, sf_dir, "store", "orders")
+    rail = F.map_concat(F.map_filter("fields", lambda k, v: k != "ship_mode"), F.create_map(F.lit("ship_mode"), F.lit("RAIL")))
+    first = everything.where("row_number % 3 <> 0")
+    second = everything.where("row_number % 3 = 0").unionByName(everything.where("row_number % 3 <> 0 AND row_number % 5 = 0").withColumn("fields", rail))
+    table = versioned(spark, scratch(spark, "tables"))["orders"]
+    for window, records in enumerate((first, second)):
+        changed, _, _ = canonical.load(records, table.read(window), canonical.ORDERS, demo.trust(spark), changed_only=True, job=f"job-{window}")
+        table.write(changed, window)
+        if window == 0:
+            table.compact(0)
+    now = spark.read.parquet(f"{table.path}/changes/window=1").select("entity_id", F.lit(1).alias("window"))
+    merged = table.read().join(now, "entity_id", "left").fillna(0, ["window"])
+    return merged.select("ref", F.round(F.col("total_amount") * 100).cast("bigint").alias("cents"), "ship_mode", "window")
 
 
 @query(f"{SALES} select source_id, field, least(10, count(*)) as drawn from (select source_id, unnest([{', '.join(f'{chr(39)}{f}{chr(39)}' for f in demo.FIELDS)}]) as field, unnest([{', '.join(f'{chr(34)}{f}{chr(34)}' for f in demo.FIELDS)}]) as v from sales) where v is not null group by source_id, field")
@@ -653,9 +791,9 @@ def newest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mapping_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mapping confirmed, one redirected, one ignored by hand."""
-    out = mapping.override(mapping.map_fields(_fields(spark), mapping.registry(spark)), "demo", "shipping_cost_fee")
-    out = mapping.override(out, "demo", "City", "regions", "name")
-    return _doubles(mapping.override(out, "demo", "State", status="IGNORED"), "confidence")
+    out = mapping.override(mapping.map_fields(_fields(spark, sf_dir), mapping.registry(spark)), "shop", "shipping_cost_fee")
+    out = mapping.override(out, "crm", "City", "regions", "name")
+    return _doubles(mapping.override(out, "crm", "State", status="IGNORED"), "confidence")
 
 
 @query(
@@ -674,7 +812,7 @@ def advised_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         hints = [("Postal Code", "customers", "segment", 0.9), ("City", "regions", "nowhere", 0.99), ("Ship Mode", "orders", "status", 0.5)]
         return fields.join(spark.createDataFrame(hints, "field string, entity string, target string, confidence double"), "field").select("source_id", "field", "entity", "target", "confidence")
 
-    return _doubles(mapping.map_fields(_fields(spark), mapping.registry(spark), advisor=mapping.retried(advise)), "confidence")
+    return _doubles(mapping.map_fields(_fields(spark, sf_dir), mapping.registry(spark), advisor=mapping.retried(advise)), "confidence")
 
 
 _NARROW = {"customers": ["name", "email"], "orders": ["order_date"]}

@@ -124,7 +124,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_windows_become_jobs(spark, tmp_path):
     """Each window is a job: the first maps the fields, later ones keep the mappings, stores go on."""
     from tallyloom.operators import mapping
-    from tallyloom.plans.pipeline import each_window
+    from tallyloom.plans.pipeline import each_window, versioned
 
     def sale(i, name, amount, **more):
         fields = {"event_id": str(i), "source_system": "pos", "event_time": "2024-01-01T00:00:00Z", "customer_name": name, "email": f"{name}@x.example", "sku": f"p{i}", "total_amount": amount, **more}
@@ -141,8 +141,11 @@ def test_windows_become_jobs(spark, tmp_path):
     go()
     window = lambda name, i: spark.read.parquet(f"{root}/{name}/window={i}")
     assert [(r["read_records"], r["passed_records"], r["loaded_records"]) for i in (0, 1) for r in window("counters", i).collect()] == [(3, 2, 2), (1, 1, 1)]
-    assert sorted((r["name"], r["segment"]) for r in window("customers", 1).collect()) == [("ann", "new"), ("bob", None)]
-    assert window("orders", 0).count() == 2 and window("orders", 1).count() == 3
+    tables = versioned(spark, root)
+    assert sorted((r["name"], r["segment"]) for r in tables["customers"].read().collect()) == [("ann", "new"), ("bob", None)]
+    assert tables["orders"].read(1).count() == 2 and tables["orders"].read().count() == 3
+    changes = lambda name, i: spark.read.parquet(f"{root}/{name}/changes/window={i}").count()
+    assert [changes("customers", i) for i in (0, 1)] == [2, 1] and [changes("orders", i) for i in (0, 1)] == [2, 1]
     first, later = ({r["field"]: r["status"] for r in window("mappings", i).collect()} for i in (0, 1))
     assert set(later) == {*first, "segment"} and first["email"] == later["email"] == "AUTO_CONFIRMED"
     told = spark.read.parquet(str(tmp_path / "metrics")).orderBy("batch").collect()
