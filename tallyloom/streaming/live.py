@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tallyloom.functions.text import full, is_blank
+from tallyloom.streaming.seen import Seen
 
 #: ISO-8601 instants: Z or an offset.
 INSTANT = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})"
@@ -78,26 +82,75 @@ def window_counts(events: DataFrame, time: Column, size: str = "1 hour", late: s
     return stamped.groupBy(F.window("event_ts", size).alias("w"), "source_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "source_id", "n")
 
 
-def start(events: DataFrame, sources: Callable[[], DataFrame], staged_path: str, dead_path: str, checkpoint: str, pipeline: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None, dead: Callable[[DataFrame, int], None] | None = None, metrics_path: str | None = None):
+class Progress(StreamingQueryListener):
+    """What Spark tells about the triggers of the session's streams, the last ``most`` of them: a row for each in ``rows``. Register it with
+    ``spark.streams.addListener``."""
+
+    def __init__(self, most: int = 1000):
+        self.rows: deque[dict] = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append({"query": p.name or str(p.id), "batch": p.batchId, "read": p.numInputRows, "duration_ms": p.durationMs.get("triggerExecution"), "rows_per_second": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+METRICS = "read long, staged long, repeated long, dead long, unknown long, first_event timestamp, duration_ms long"
+#: Windows between two compactions of the index of seen events.
+COMPACT_EVERY = 100
+
+
+def start(
+    events: DataFrame,
+    sources: Callable[[], DataFrame],
+    staged_path: str,
+    dead_path: str,
+    checkpoint: str,
+    pipeline: Callable[[DataFrame, int], None] | None = None,
+    trigger: dict | None = None,
+    dead: Callable[[DataFrame, int], None] | None = None,
+    metrics_path: str | None = None,
+    compact_every: int = COMPACT_EVERY,
+):
     """Run the live path: each micro-batch is the window of 30 seconds, staged under its batch id, then
-    handed to ``pipeline`` (``plans.pipeline.each_window`` makes one) if it has rows. Dead letters are kept under ``dead_path`` and go to
-    ``dead`` too; ``metrics_path`` gets a row about each window. A batch that is run again after a failure replaces what it had written, so
+    handed to ``pipeline`` (``plans.pipeline.each_window`` makes one) if it has rows; or leave that to ``windows.start``, which has
+    windows for each source. Dead letters are kept under ``dead_path`` and go to ``dead`` too. Repeats are found by an index beside the
+    staging table (``seen.Seen``), which is compacted every ``compact_every`` windows. ``metrics_path`` gets a row about each window, counted by
+    observation while the window is staged. A batch that is run again after a failure replaces what it had written, so
     the staging table has each event once; the source registry is read anew for every batch."""
+    index = Seen(events.sparkSession, f"{staged_path.rstrip('/')}_seen")
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, began = batch.sparkSession, time.monotonic()
         resolved = resolve_sources(parse(batch), sources()).persist()
+        good, kept, bad = Observation(), Observation(), Observation()
+        at = F.try_to_timestamp(F.try_element_at("payload", F.lit("event_time")))
         try:
-            old = spark.read.parquet(staged_path).where(F.col("batch") != batch_id)
-            rows = fresh(valid(resolved), old)
+            found = valid(resolved).observe(good, F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
+            rows = index.fresh(found, batch_id).observe(kept, F.count(F.lit(1)).alias("n"))
             rows.withColumn("job_id", F.concat_ws("-", F.lit("stream"), "source_id", F.lit(str(batch_id)))).write.mode("overwrite").parquet(f"{staged_path}/batch={batch_id}")
-            dead_letters(resolved).write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
+            letters = dead_letters(resolved).observe(bad, F.count(F.lit(1)).alias("n"), F.count_if(F.col("error") == "unknown source system").alias("unknown"))
+            letters.write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
             written = spark.read.parquet(f"{staged_path}/batch={batch_id}")
-            if metrics_path is not None:
-                metrics(resolved, written).write.mode("overwrite").parquet(f"{metrics_path}/batch={batch_id}")
+            index.add(written, batch_id)
+            if (batch_id + 1) % compact_every == 0:
+                index.compact(batch_id)
             if dead is not None:
                 dead(dead_letters(resolved), batch_id)
         finally:
             resolved.unpersist()
+        if metrics_path is not None:
+            of_good, of_kept, of_bad = good.get, kept.get, bad.get
+            row = (of_good["n"] + of_bad["n"], of_kept["n"], of_good["n"] - of_kept["n"], of_bad["n"], of_bad["unknown"], of_good["first"], int(1000 * (time.monotonic() - began)))
+            spark.createDataFrame([row], METRICS).write.mode("overwrite").parquet(f"{metrics_path}/batch={batch_id}")
         if pipeline is not None and not written.isEmpty():
             pipeline(written, batch_id)
 

@@ -149,7 +149,8 @@ def test_windows_become_jobs(spark, tmp_path):
     first, later = ({r["field"]: r["status"] for r in window("mappings", i).collect()} for i in (0, 1))
     assert set(later) == {*first, "segment"} and first["email"] == later["email"] == "AUTO_CONFIRMED"
     told = spark.read.parquet(str(tmp_path / "metrics")).orderBy("batch").collect()
-    assert [(r["read"], r["staged"], r["repeated"], r["dead"]) for r in told] == [(5, 3, 1, 1), (1, 1, 0, 0)]
+    assert [(r["read"], r["staged"], r["repeated"], r["dead"], r["unknown"]) for r in told] == [(5, 3, 1, 1, 0), (1, 1, 0, 0, 0)]
+    assert all(r["duration_ms"] > 0 and str(r["first_event"]) == "2024-01-01 00:00:00" for r in told)
 
 
 def test_event_time_windows_stream(spark, tmp_path):
