@@ -150,10 +150,12 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHU
     Texts up to ``chunk`` code points are encoded where they are read. Longer ones become
     overlapping chunks that are pre-tokenised in any task; the starts of a text's pieces meet again
     with the text and are stitched, encoded and decoded. Rows with the same id and text keep their
-    number. Very long pieces take n log n.
+    number, but of a long text's copies each task sends one on, with how many it had. doc_ids are taken as longs; a null id
+    stays null. Very long pieces take n log n. Other columns are not read.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     names = schema.replace(",", " ").split()[::2]
+    sent = ["doc_id", "text_id", "k", "begin", "part", "starts", "n"]
 
     def digest(own: Bpe, pieces: list[str]) -> tuple[int, str, str]:
         ids, raw = own.encode_pieces(pieces)
@@ -168,18 +170,30 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHU
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(ranks, pattern)
+        copies: dict[tuple, int] = {}
         for batch in batches:
-            starts = [(np.array(own.starts(t), "i4") + b).tolist() for b, t in zip(batch.column("begin").to_pylist(), batch.column("part").to_pylist(), strict=True)]
-            kept = [batch.column(c) for c in ("doc_id", "text_id", "k", "begin", "part")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(starts, pa.list_(pa.int32()))], names=["doc_id", "text_id", "k", "begin", "part", "starts"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_id", "k")), strict=True))
+            new = []
+            for key in keys:
+                new.append(key not in copies)
+                copies[key] = copies.get(key, 0) + 1
+            part = batch.filter(pa.array(new, pa.bool_()))
+            starts = [(np.array(own.starts(t), "i4") + b).tolist() for b, t in zip(part.column("begin").to_pylist(), part.column("part").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(starts, pa.list_(pa.int32())), pa.array([1] * part.num_rows, pa.int64())], names=sent)
+        more = [(*key, n - 1) for key, n in copies.items() if key[2] == 0 and n > 1]
+        if more:
+            ids, texts_, ks, ns = zip(*more, strict=True)
+            none = [None] * len(more)
+            kinds = [(ids, pa.int64()), (texts_, pa.int64()), (ks, pa.int32()), (none, pa.int32()), (none, pa.string()), (none, pa.list_(pa.int32())), (ns, pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in kinds], names=sent)
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         own = bpe(ranks, pattern)
-        copies = int((rows.k == 0).sum())
-        rows = rows.drop_duplicates("k").sort_values("k")
+        copies = int(rows.n[rows.k == 0].sum())
+        rows = rows[rows.part.notna()].drop_duplicates("k").sort_values("k")
         text, end = "", 0
         parts = []
-        for begin, part, starts in zip(rows.begin, rows.part, rows.starts, strict=True):
+        for begin, part, starts in zip(rows.begin.astype(int), rows.part, rows.starts, strict=True):
             text += part[end - begin :]
             end = begin + len(part)
             parts.append((begin, end, list(starts)))
@@ -187,7 +201,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHU
         out = digest(own, [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)])
         return pd.DataFrame([(rows.doc_id.iloc[0], *out)] * copies, columns=names).astype({"doc_id": "Int64"})
 
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     short = texts.where(F.length("text") <= chunk).mapInArrow(whole, schema)
     step = chunk - overlap
     long = (
@@ -196,7 +210,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHU
         .select("doc_id", "text_id", "k", (F.col("k") * step).alias("begin"), F.substring("text", F.col("k") * step + 1, F.lit(chunk)).alias("part"))
     )
     stitched = (
-        long.mapInArrow(cut, "doc_id long, text_id long, k int, begin int, part string, starts array<int>")
+        long.mapInArrow(cut, "doc_id long, text_id long, k int, begin int, part string, starts array<int>, n long")
         .groupBy("doc_id", "text_id")
         .applyInPandas(meet, schema)
     )

@@ -26,6 +26,8 @@ from tallyloom.llm.store import slices
 BLOCK = 512
 SEGMENT = 1 << 20
 SHARD_BYTES = 8 << 20
+#: Shards that are summed together.
+RUN = 1024
 SCHEMA = "shard int, segment int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, planes array<binary>, zeros array<bigint>, ranks array<binary>"
 
 #: White space of Unicode, as the byte-level pre-tokeniser has it.
@@ -189,15 +191,31 @@ class WaveletMatrix:
             lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if value >> (depth - 1 - level) & 1 else (lo - a, hi - b)
         return hi - lo
 
+    def _nth(self, level: int, one: int, k: int) -> int:
+        """Where a plane has its k-th (from 0) bit of the kind: its block by the counts before blocks, then its place in there."""
+        ones = self.ranks[level].astype("i8")
+        before = ones if one else np.arange(ones.size) * BLOCK - ones
+        block = int(np.searchsorted(before, k, "right")) - 1
+        inside = np.unpackbits(self.plane(level)[block * BLOCK // 8 : (block + 1) * BLOCK // 8])[: self.n - block * BLOCK]
+        return block * BLOCK + int(np.flatnonzero(inside == one)[k - int(before[block])])
+
     def select(self, value: int, nth: int) -> int:
-        """Where an id occurs for the nth time (from 0); -1 if it doesn't."""
-        if nth < 0 or nth >= self.rank(value, self.n):
+        """Where an id occurs for the nth time (from 0); -1 if it doesn't. Down the planes to where the id's run begins in the last
+        order, and from its nth place back up, by select in each plane."""
+        depth = len(self.packed)
+        if nth < 0 or value < 0 or value >> depth:
             return -1
         lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if self.rank(value, mid + 1) > nth else (mid + 1, hi)
-        return lo
+        for level in range(depth):
+            a, b = self._ones_before(level, lo), self._ones_before(level, hi)
+            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if value >> (depth - 1 - level) & 1 else (lo - a, hi - b)
+        if nth >= hi - lo:
+            return -1
+        at = lo + nth
+        for level in range(depth - 1, -1, -1):
+            one = value >> (depth - 1 - level) & 1
+            at = self._nth(level, one, at - self.zeros[level] if one else at)
+        return at
 
     def all(self) -> np.ndarray:
         """All ids in order: the planes undone from the lowest up."""
@@ -212,7 +230,7 @@ class WaveletMatrix:
         return cur.astype("<u4")
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES, segment: int = SEGMENT) -> None:
     """Encode whole texts (null: empty), add ``end_id`` to each, and write the files under ``path``.
 
     Shards are ranges of doc_id of about ``shard_bytes`` of text; null ids come first, rows with
@@ -226,7 +244,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_byt
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, segment = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, shard, part_of_shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], own.kind)
         ids: list[np.ndarray] = []
         names: list = []
@@ -235,7 +253,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_byt
 
         def row() -> pa.RecordBatch:
             m = WaveletMatrix.of(np.concatenate(ids))
-            data = {"shard": shard, "segment": segment, "n_ids": m.n, "doc_ids": names, "lengths": lengths, "planes": m.packed, "zeros": m.zeros, "ranks": [r.tobytes() for r in m.ranks]}
+            data = {"shard": shard, "segment": part_of_shard, "n_ids": m.n, "doc_ids": names, "lengths": lengths, "planes": m.packed, "zeros": m.zeros, "ranks": [r.tobytes() for r in m.ranks]}
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(data.values(), kinds, strict=True)], names=list(data))
 
@@ -247,10 +265,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, shard_byt
                     names.append(name)
                     lengths.append(len(one) + 1)
                     held += len(one) + 1
-                    if held >= SEGMENT:
+                    if held >= segment:
                         yield row()
                         ids, names, lengths, held = [], [], [], 0
-                        segment += 1
+                        part_of_shard += 1
         if names:
             yield row()
 
@@ -274,9 +292,22 @@ def token_digests(spark, path: str) -> DataFrame:
 
     segments = spark.read.schema(SCHEMA).parquet(path)
     rows = segments.mapInArrow(decode, "shard int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("shard", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.select("shard", "segment", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    return rows.join(starts, ["shard", "segment"]).select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(segment_starts(segments), ["shard", "segment"]).select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def segment_starts(segments: DataFrame) -> DataFrame:
+    """shard, segment, first: the ids before each segment. Segments are summed within their shards, shards within runs of RUN, and only
+    one row for each run meets in one task."""
+
+    def before(of: DataFrame, within: list[str], by: str, total: str, out: str) -> DataFrame:
+        w = (Window.partitionBy(*within) if within else Window).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return of.withColumn(out, F.coalesce(F.sum(total).over(w), F.lit(0)))
+
+    slim = segments.select("shard", "segment", "n_ids", F.floor(F.col("shard") / RUN).alias("run"))
+    shards = slim.groupBy("run", "shard").agg(F.sum("n_ids").alias("n"))
+    runs = before(shards.groupBy("run").agg(F.sum("n").alias("n")), [], "run", "n", "_run").select("run", "_run")
+    placed = before(shards, ["run"], "shard", "n", "_shard").join(runs, "run").select("shard", (F.col("_run") + F.col("_shard")).alias("_before"))
+    return before(slim, ["shard"], "segment", "n_ids", "_segment").join(placed, "shard").select("shard", "segment", (F.col("_before") + F.col("_segment")).alias("first"))
 
 
 def lookup(spark, path: str, value: int) -> DataFrame:
@@ -292,9 +323,10 @@ def lookup(spark, path: str, value: int) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path).mapInArrow(find, "shard int, segment int, n long, first long")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write the corpus in ascending doc_id order and return its digests as read from the files.
-    No documents give files without rows and no digests. Other columns are not read."""
+def encode_documents(docs: DataFrame, tokenizer: str, shard_bytes: int = SHARD_BYTES, segment: int = SEGMENT) -> DataFrame:
+    """Write the corpus in ascending doc_id order and return its digests as read from the files, whose shards hold about
+    ``shard_bytes`` of text and segments about ``segment`` ids. No documents give files without rows and no digests. Other columns are
+    not read."""
     path = scratch(docs.sparkSession, "wavelet")
-    write(docs, tokenizer, path)
+    write(docs, tokenizer, path, shard_bytes=shard_bytes, segment=segment)
     return token_digests(docs.sparkSession, path)

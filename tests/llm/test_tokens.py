@@ -65,3 +65,43 @@ def test_bpe_is_tiktoken(spark, chunk, overlap):
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     got = bpe.encode_documents(frame(spark, ODD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, chunk, overlap).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_token_files_of_many_shards_and_segments(spark, tmp_path, monkeypatch):
+    """Starts go on across segments, shards and runs of shards."""
+    monkeypatch.setattr(wavelet, "RUN", 3)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), " ".join(rng.choice(["alpha", "beta", "gamma"], rng.integers(1, 60)))) for i in rng.permutation(300)] + [(7, "again"), (7, "again")]
+    got = wavelet.encode_documents(frame(spark, rows), P.path("byte_bpe_50k.json"), shard_bytes=2000, segment=100).collect()
+    tokenizer, at, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0, []
+    for i, t in sorted(rows):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in got) == want
+    wavelet.write(frame(spark, rows), P.path("byte_bpe_50k.json"), str(tmp_path / "w"), shard_bytes=2000, segment=100)
+    files = spark.read.parquet(str(tmp_path / "w"))
+    assert files.select("shard").distinct().count() > 6 and files.where("segment > 1").count() > 0
+
+
+def test_select_is_the_inverse_of_rank():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([np.zeros(1500, "u4"), rng.choice(np.array([3, 5, 1000], "u4"), 1500), np.full(1100, 5, "u4")])
+    m = wavelet.WaveletMatrix.of(ids)
+    for v in (0, 3, 5, 1000):
+        places = np.flatnonzero(ids == v)
+        for k in {0, 1, len(places) // 2, len(places) - 1}:
+            assert m.select(v, k) == places[k] and m.rank(v, int(places[k])) == k
+    assert m.select(7, 0) == m.select(-1, 0) == m.select(1 << 20, 0) == -1
+
+
+def test_bpe_counts_copies_of_long_texts(spark):
+    """Whole-number ids of any width; rows with one id and one long text keep their number, whatever tasks they are in."""
+    text = "many words, many copies. " * 300
+    rows = [(4, text)] * 7 + [(4, text + "other"), (5, text), (6, None), (6, None)]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id int, text string").repartition(3)
+    got = bpe.encode_documents(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 500, 50).collect()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((i, len(own.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert sorted((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in got) == want
