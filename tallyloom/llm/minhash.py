@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
@@ -22,8 +22,8 @@ PERCENT = 85
 STRAY = 5
 #: Members of a bucket that meet in one task; larger buckets are dealt out in pairs of such parts.
 PART = 256
-#: So many ids (16 MB) may be broadcast to pick texts; beyond that, texts and ids are shuffled.
-BROADCAST_IDS = 2_000_000
+#: So many ids (with their sets' hashes about 50 MB) may be broadcast to pick texts; beyond that, texts and ids are shuffled.
+BROADCAST_IDS = 1_000_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], "u8")
 
@@ -192,22 +192,40 @@ def _first_band(sig: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
     return same.argmax(1)
 
 
-def _across(members: DataFrame, docs: DataFrame, percent: float) -> DataFrame:
+def _layout(members: DataFrame) -> DataFrame:
+    """How each bucket is cut in parts: key, comp, begin, many, shared, total. A component of PART members or more has parts of its own
+    (``many`` from ``begin``), the members of smaller ones share the first ``shared`` parts; the row without comp tells of the whole bucket."""
+    counts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    large = F.col("n") >= PART
+    per = F.ceil(F.col("n") / PART)
+    buckets = counts.groupBy("key").agg(F.ceil(F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)) / PART).alias("shared"), F.coalesce(F.sum(F.when(large, per)), F.lit(0)).alias("own"))
+    buckets = buckets.select("key", "shared", (F.col("shared") + F.col("own")).alias("total"))
+    before = F.sum("many").over(Window.partitionBy("key").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1))
+    owned = counts.where(large).select("key", "comp", per.alias("many")).join(buckets, "key").withColumn("begin", F.col("shared") + F.coalesce(before, F.lit(0)))
+    return owned.select("key", "comp", "begin", "many", "shared", "total").unionByName(buckets, allowMissingColumns=True)
+
+
+def _across(members: DataFrame, docs: DataFrame, chosen: DataFrame, percent: float) -> DataFrame:
     """Links (a, b) between different components within the buckets.
 
-    ``members(key, band, id, n, comp, sig)``. Buckets are cut in parts of about PART members, and every two
-    parts of a bucket meet where their rows land. There, pairs of different components that sizes and
+    ``members(key, band, id, n, comp, sig)``. Buckets are cut in parts of about PART members, those of a large component apart from
+    others, and every two parts of a bucket meet where their rows land, but for two of one component. There, pairs of different components that sizes and
     signatures allow are noted, each in the first band that both have, as positions in one row for
     the parts, never as rows. The sets of the members with such pairs then come to the same parts, and
     pairs are confirmed on them; a pair whose ends are linked by then is passed over.
     """
     parts = ["key", "i", "j"]
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    layout = materialise(_layout(members.select("key", "comp")), "layout")
+    shared = layout.where("comp IS NULL").select("key", "shared", "total")
+    own_parts = layout.where("comp IS NOT NULL").select("key", "comp", "begin", "many")
+    placed = members.join(shared, "key").join(own_parts, ["key", "comp"], "left")
+    hashed = F.xxhash64("id")
+    own = F.when(F.col("begin").isNotNull(), F.col("begin") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.greatest("shared", F.lit(1)))).cast("int")
+    # parts of one component have nothing to find in each other
+    others = F.filter(F.sequence(F.lit(0), F.col("total").cast("int") - 1), lambda p: F.col("begin").isNull() | (p < F.col("begin")) | (p >= F.col("begin") + F.col("many")))
     dealt = (
-        members.join(sizes, "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        placed.withColumn("own", own)
+        .withColumn("other", F.explode(others))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "band", "id", "n", "comp", "sig")
     )
 
@@ -259,8 +277,8 @@ def _across(members: DataFrame, docs: DataFrame, percent: float) -> DataFrame:
 
     noted = materialise(_streamed(dealt, parts, ["id"], meet, "key long, i int, j int, ids array<bigint>, pairs binary"), "noted")
     wanted = noted.select(*parts, F.posexplode("ids").alias("pos", "id"), "pairs").withColumn("pairs", F.when(F.col("pos") == 0, F.col("pairs")))
-    sets = _sets(docs, wanted.select(F.col("id").alias("doc_id")))
-    with_sets = wanted.join(sets.withColumnRenamed("doc_id", "id"), "id").dropDuplicates([*parts, "pos"])
+    sets = _sets(docs, wanted.select(F.col("id").alias("doc_id")), chosen)
+    with_sets = wanted.join(sets.withColumnRenamed("doc_id", "id"), "id")
     return _streamed(with_sets, parts, ["pos"], confirm, "a long, b long").distinct()
 
 
@@ -271,23 +289,26 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: float) -> bool:
     return 100 * common >= percent * (both.size - common)
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, set (64-bit hashes of all shingles) of the documents in ``ids(doc_id)``."""
+def _sets(docs: DataFrame, ids: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, set (64-bit hashes of all shingles) of the documents in ``ids(doc_id)``. Of rows with one id those count whose set is the
+    one that ``chosen(doc_id, set_id)`` names; these are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
             for at, n in slices(batch.column(1)):
                 part = batch.slice(at, n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "set"])
+                sets = [shingle(t).tobytes() for t in part.column(1).to_pylist()]
+                keep = pa.array([xxhash.xxh3_128_digest(x) == i for x, i in zip(sets, part.column(2).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), pa.array(sets, pa.binary()).filter(keep)], names=["doc_id", "set"])
 
-    ids = materialise(ids.distinct(), "ends")
+    ids = materialise(ids.distinct().join(chosen, "doc_id"), "ends")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary"), "sets")
+    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").mapInArrow(run, "doc_id long, set binary"), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, percent: float) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union, on the full sets of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +316,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: float) -> DataFrame:
             keep = [_alike(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), percent) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    full = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    full = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), chosen)
     left = full.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
     right = full.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
@@ -312,13 +333,17 @@ def near_duplicates(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
     several components, the members of different components with each other. Pairs pass the sizes, the
     signatures and then the full sets. Similar classes share a band, and pass the signatures, but
     for less than one in a million by estimate. A row without doc_id is linked with nothing: component_id null, kept. Rows with the same
-    doc_id count as one document in links. Extra columns are not read.
+    doc_id are one document: of their sets the one with the least hash (of those that aren't empty) stands for it in links, and all of
+    them get its component. Extra columns are not read.
     """
     spark = docs.sparkSession
     rows = materialise(sketch(docs, percent), "sketch")
-    classes = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    member = materialise(rows.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").select("doc_id", "n_shingles", "rep"), "members")
-    reps = rows.join(member.where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").where("n_shingles > 0")
+    stands = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("set_id").alias("set_id"))
+    classes = stands.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    chosen = materialise(stands.join(classes, "set_id"), "chosen")
+    member = materialise(rows.select("doc_id", "n_shingles").join(chosen.select("doc_id", "rep"), "doc_id", "left"), "members")
+    first_of = chosen.where("doc_id = rep").select("doc_id", "set_id")
+    reps = rows.select("doc_id", "n_shingles", "set_id", "keys", "sig").join(first_of, ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id"])
     sigs = reps.select("doc_id", "sig")
     keyed = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key")).select("key", "band", "id", "n")
     order = F.xxhash64("key", "id")
@@ -331,12 +356,12 @@ def near_duplicates(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
         .distinct(),
         "star",
     )
-    first = materialise(_verified(materialise(_possible(star, sigs, percent), "pairs"), docs, percent), "links")
+    first = materialise(_verified(materialise(_possible(star, sigs, percent), "pairs"), docs, first_of, percent), "links")
     labels = components(first)
     placed = buckets.join(labels, buckets.id == labels.node, "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(mixed, "key", "left_semi").join(sigs.withColumnRenamed("doc_id", "id"), "id")
-    second = _across(open_, docs, percent)
+    open_ = materialise(placed.join(mixed, "key", "left_semi"), "open")
+    second = _across(open_.join(sigs.withColumnRenamed("doc_id", "id"), "id"), docs, first_of, percent)
     final = components(materialise(first.unionByName(second), "links"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return (
@@ -349,7 +374,6 @@ def near_duplicates(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
     """The documents with one of each group: that with the smallest doc_id stays. Rows that repeat both its id and its text
     go, rows with its id and another text stay."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    named = first.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(first.where("doc_id IS NULL"))
+    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, docs.doc_id.cast("long") == kept["_kept"], "left_semi")
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))

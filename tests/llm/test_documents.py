@@ -246,3 +246,29 @@ def test_redaction(spark):
     text = {i: t for (i, _), t in out.items()}
     assert text[1] == "[SECRET]' and [SECRET]" and text[5] is None and text[9] == SECRETS[8][1]
     assert HEX not in "".join(t or "" for t in text.values()) and text[3].startswith("é👍 [SECRET] ")
+
+
+def test_ids_with_several_texts(spark):
+    """The rows of one id are one document: one of its sets stands for it, so unlike documents do not meet through it."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, one), (5, one), (5, two), (7, two), (9, two), (9, two)]
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got in ({(1, 1), (5, 1), (7, 7), (9, 7)}, {(1, 1), (5, 5), (7, 5), (9, 5)})
+    again = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows[::-1]).repartition(3)).collect()}
+    assert again == got
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    words = [f"w{i % 9000}x{i % 77}" for i in range(120_000)]
+    near = words[:60_000] + ["changed"] + words[60_001:]
+    rows = [(3, " ".join(words)), (2, " ".join(near)), (1, " ".join(words[:40_000])), (4, "short text of just six words"), (6, None), (None, "no id")]
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(3, 2), (2, 2), (1, 1), (4, 4), (6, 6), (None, None)}
+
+
+def test_large_components_have_parts_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 4)
+    rows = [(1, 10, c, c) for c in ("a" * 11 + "b" * 4 + "cde")] + [(2, 10, "f", "f")]
+    members = spark.createDataFrame([(k, ord(c)) for k, _, c, _ in rows], "key long, comp long")
+    got = {(r["key"], chr(r["comp"]) if r["comp"] else None): (r["begin"], r["many"], r["shared"], r["total"]) for r in minhash._layout(members).collect()}
+    assert got == {(1, "a"): (1, 3, 1, 5), (1, "b"): (4, 1, 1, 5), (1, None): (None, None, 1, 5), (2, None): (None, None, 1, 1)}
