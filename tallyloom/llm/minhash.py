@@ -338,8 +338,8 @@ def near_duplicates(docs: DataFrame, percent: float = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = materialise(sketch(docs, percent), "sketch")
-    stands = rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("set_id").alias("set_id"))
-    classes = stands.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    stands = materialise(rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("set_id").alias("set_id")), "stands")
+    classes = materialise(stands.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")  # written, so that Spark can split a large class in the join
     chosen = materialise(stands.join(classes, "set_id"), "chosen")
     member = materialise(rows.select("doc_id", "n_shingles").join(chosen.select("doc_id", "rep"), "doc_id", "left"), "members")
     first_of = chosen.where("doc_id = rep").select("doc_id", "set_id")
