@@ -59,7 +59,7 @@ def after_job(history: History, source_id: str, job_id: str, seq: int, profiles:
     """Record a job's profiles and, if its fields or their types differ from the active version's, a new version. Gives the issues that
     statistical drift against the last jobs raises, in the columns of record issues (without row and order of the rule)."""
     past = history.before(source_id, seq)
-    now = profiles.select(*[c.split()[0] for c in _COLUMNS["profiles"].split(", ")], F.lit(source_id).alias("source_id"), F.lit(seq).cast("long").alias("seq"))
+    now = profiles.withColumn("job_id", F.lit(job_id)).select(*[c.split()[0] for c in _COLUMNS["profiles"].split(", ")], F.lit(source_id).alias("source_id"), F.lit(seq).cast("long").alias("seq"))
     history.write("profiles", now)
     own = history.profiles(source_id, [seq])
     recent = history.profiles(source_id, [p["seq"] for p in past] + [seq])

@@ -25,6 +25,24 @@ def page(df: DataFrame, order: list, number: int = 0, size: int = 20) -> DataFra
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+def after(df: DataFrame, keys: list[str], last: list | None = None, size: int = 20) -> DataFrame:
+    """The ``size`` rows that follow the row with the keys ``last`` (None: the first rows), by ascending ``keys``, which together are
+    unique. Pages before it are not gone through: the condition reaches the scan, and a table that is sorted by the keys skips the files
+    and row groups before them."""
+    if last is not None:
+        beyond = F.lit(False)
+        for i in range(len(keys) - 1, -1, -1):
+            beyond = (F.col(keys[i]) > F.lit(last[i])) | ((F.col(keys[i]) == F.lit(last[i])) & beyond) if i < len(keys) - 1 else F.col(keys[i]) > F.lit(last[i])
+        df = df.where((F.col(keys[0]) >= F.lit(last[0])) & beyond)
+    return df.orderBy(*keys).limit(size)
+
+
+def seekable(df: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """``df`` as a table under ``path``, sorted by the keys as a whole, for ``after``."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def counted_page(df: DataFrame, order: list, number: int = 0, size: int = 20) -> tuple[DataFrame, int]:
     """The page, and how many rows there are on all pages."""
     return page(df, order, number, size), df.count()

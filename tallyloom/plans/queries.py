@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,12 +12,16 @@ from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, REGISTRY, WEIGHTS
 from tallyloom.functions.lineage import cut, scratch
 from tallyloom.operators import canonical, conflict, evolve, mapping, profiling, quality, reads
 from tallyloom.operators import history as histories
+from tallyloom.operators.catalog import Catalog
 from tallyloom.operators.history import History
+from tallyloom.operators.register import Sources, jobs
+from tallyloom.operators.summaries import Summaries, of_conflicts
 from tallyloom.plans import demo
 from tallyloom.plans.pipeline import assess, empty_stores, run_job, versioned
 from tallyloom.sources.staging import due_sources, read_csv, stage, write_staged
 from tallyloom.sources.staging import duplicate_hashes as find_duplicates
 from tallyloom.streaming import live
+from tallyloom.streaming.seen import Seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -701,6 +706,136 @@ def demote_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.try_element_at("additional_attributes", F.lit("c_mktsegment")).alias("segment"), F.size("additional_attributes").alias("n_attributes"))
 
 
+# ---- orders with all their links ----
+@query(
+    """select 'O' || cast(o_orderkey as string) as ref, case when o_orderkey % 4 <> 0 then s_name end as seller, case when o_orderkey % 3 <> 0 then r_name end as region
+    from orders left join supplier on s_suppkey = o_orderkey % 10 + 1 left join region on r_regionkey = o_orderkey % 5"""
+)
+def orders_with_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the salesperson and the region of their records, where these name any."""
+    trust, orders, per_order, _ = demo.trust(spark), *_with_owner(spark, sf_dir)
+    _, _, customers = canonical.load(per_order, canonical.empty_store(spark, canonical.CUSTOMERS), canonical.CUSTOMERS, trust)
+    key = demo.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_number"))
+    loaded = {}
+    for entity, kind, k, some in ((canonical.SALESPERSONS, "salespersons", F.col("row_number") % 10 + 1, "row_number % 4 <> 0"), (canonical.REGIONS, "regions", F.col("row_number") % 5, "row_number % 3 <> 0")):
+        those = demo.records(spark, sf_dir, "store", kind).select(F.col("row_number").alias("k"), "fields")
+        records = key.where(some).withColumn("k", k).join(those, "k").select(F.lit("store").alias("source"), "row_number", "fields")
+        store, _, ids = canonical.load(records, canonical.empty_store(spark, entity), entity, trust)
+        loaded[entity.table] = (store.select(F.col("entity_id").alias(f"{kind[:-1]}_id"), F.col("name").alias(kind[:-1])), ids)
+    linked = canonical.link_orders(orders, customers, loaded["salespersons"][1], loaded["regions"][1])
+    store, _, _ = canonical.load(linked, canonical.empty_store(spark, canonical.ORDERS), canonical.ORDERS, trust)
+    named = store.join(loaded["salespersons"][0], "salesperson_id", "left").join(loaded["regions"][0], "region_id", "left")
+    return named.select("ref", F.col("salesperson").alias("seller"), "region")
+
+
+# ---- pages of the canonical tables, by key ----
+_PAGES = {
+    "customers": (canonical.CUSTOMERS, "customer", "c_custkey", {"name": "c_name", "segment": "c_mktsegment"}),
+    "products": (canonical.PRODUCTS, "part", "p_partkey", {"name": "p_name", "category": "p_brand"}),
+    "salespersons": (canonical.SALESPERSONS, "supplier", "s_suppkey", {"name": "s_name"}),
+    "regions": (canonical.REGIONS, "region", "r_regionkey", {"name": "r_name"}),
+    "orders": (canonical.ORDERS, "orders", "o_orderkey", {"ref": "'O' || cast(o_orderkey as string)"}),
+}
+
+
+def _page_query(kind: str) -> None:
+    entity, table, key, columns = _PAGES[kind]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store, _, _ = canonical.load(demo.records(spark, sf_dir, "store", kind), canonical.empty_store(spark, entity), entity, demo.trust(spark))
+        sought = reads.seekable(store, ["entity_id"], scratch(spark, kind))
+        return reads.after(sought.select("entity_id", *columns), ["entity_id"], ["7"]).withColumn("total", F.lit(sought.count()).cast("long"))
+
+    run.__name__ = f"{kind}_page"
+    run.__doc__ = "The page of rows whose ids follow a given one, and how many rows there are."
+    query(f"with t as (select sha256('{kind}/store/' || cast({key} as string)) as entity_id, {', '.join(f'{e} as {c}' for c, e in columns.items())}, count(*) over () as total from {table}) select * from t where entity_id > '7' order by entity_id limit 20")(run)
+
+
+for _kind in _PAGES:
+    _page_query(_kind)
+
+
+@query(
+    """with t as (select sha256('orders/store/' || cast(o_orderkey as string)) as order_id, sha256('products/store/' || cast(p_partkey as string)) as product_id, o_orderkey as row_number, cast(o_orderkey % 7 + 1 as int) as quantity, count(*) over () as total
+    from orders join part on p_partkey = o_orderkey % 200 + 1) select * from t where order_id >= '7' and (order_id > '7' or row_number > 0) order by order_id, row_number limit 20"""
+)
+def order_line_items_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of line items that follow a given order and row: each record has one, with its order and its product."""
+    orders = demo.records(spark, sf_dir, "store", "orders")
+    trust = demo.trust(spark)
+    _, _, order_ids = canonical.load(orders, canonical.empty_store(spark, canonical.ORDERS), canonical.ORDERS, trust)
+    _, _, parts = canonical.load(demo.records(spark, sf_dir, "store", "products"), canonical.empty_store(spark, canonical.PRODUCTS), canonical.PRODUCTS, trust)
+    product_ids = orders.select("source", "row_number", (F.col("row_number") % 200 + 1).alias("k")).join(parts.select(F.col("row_number").alias("k"), "entity_id"), "k").select("source", "row_number", "entity_id")
+    records = orders.withColumn("fields", F.create_map(F.lit("quantity"), (F.col("row_number") % 7 + 1).cast("string")))
+    items = canonical.line_items(records, order_ids, product_ids)
+    sought = reads.seekable(items.select("order_id", "product_id", "row_number", "quantity"), ["order_id", "row_number"], scratch(spark, "items"))
+    return reads.after(sought, ["order_id", "row_number"], ["7", 0]).withColumn("total", F.lit(sought.count()).cast("long"))
+
+
+# ---- summaries that follow changes ----
+@query(f"{_CONFLICTS} select source_id, 'open_conflicts' as kind, '' as key, count(*) as n from (select unnest([source_a, source_b]) as source_id from conflicts where status = 'OPEN' and entity = 'customers' and value_a <> 'BUILDING') group by all")
+def maintained_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open conflicts of each source after three loads, each adding what it found, and after some were resolved."""
+    summary = Summaries(spark, scratch(spark, "summaries"))
+    store, found = canonical.empty_store(spark, canonical.CUSTOMERS), []
+    for source in _ALL:
+        store, conflicts, _ = canonical.load(demo.records(spark, sf_dir, source, "customers"), store, canonical.CUSTOMERS, demo.trust(spark))
+        store, conflicts = cut(store), cut(conflicts)
+        summary.apply(of_conflicts(conflicts))
+        found.append(conflicts)
+    settled = found[-1].where("value_a = 'BUILDING'")
+    summary.apply(of_conflicts(settled, -1))
+    return summary.read()
+
+
+# ---- canonical tables in the catalog ----
+@query(
+    """with v as (select 'name' as field, false as extra, count(*) as n from customer union all select 'tier', true, count(*) from customer where c_custkey % 4 <> 0),
+    phases as (select * from (values (0, false), (1, true), (2, false)) t(phase, has))
+    select phase, field, extra and not has as extra, case when field = 'tier' and has then n else n end as n from v, phases"""
+)
+def promoted_in_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How values of two fields are taken while the catalog lacks a column for one, after it was promoted, and after it was demoted."""
+    catalog = Catalog(spark, f"canonical_{uuid.uuid4().hex[:12]}", scratch(spark, "catalog"))
+    catalog.create(canonical.CUSTOMERS)
+    flat = demo.table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name as name", "case when c_custkey % 4 <> 0 then cast(c_custkey % 5 as string) end as tier")
+    staged = stage(flat, ["name", "tier"], F.lit("crm"), F.lit("job-1"), F.col("c_custkey"))
+    maps = spark.createDataFrame([("crm", f, "customers", f, "AUTO_CONFIRMED") for f in ("name", "tier")], "source_id string, field string, entity string, target string, status string")
+    out = None
+    for phase, step in enumerate((lambda: None, lambda: catalog.promote("customers", "tier", "INTEGER"), lambda: catalog.demote("customers", "tier"))):
+        step()
+        long = mapping.transform_long(staged, maps, catalog.known())
+        told = cut(long.groupBy("field", "extra").agg(F.count("value").alias("n")).select(F.lit(phase).alias("phase"), "field", "extra", "n"))
+        out = told if out is None else out.unionByName(told)
+    spark.sql(f"DROP DATABASE {catalog.database} CASCADE")
+    return out
+
+
+# ---- the register of sources, the list of jobs ----
+@query("select 'n' || cast(n_nationkey as string) as source_id, n_name as name, case n_nationkey % 3 when 0 then 'CSV_FILE' when 1 then 'JDBC_POSTGRES' else 'KAFKA_STREAM' end as source_type, cast(0.5 + n_nationkey % 5 / 10.0 as double) as trust from nation where n_regionkey = 1 order by n_nationkey limit 3")
+def sources_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source for each nation, registered by the user with the region's number; the first page of one user's."""
+    sources = Sources(spark, scratch(spark, "sources"))
+    nations = demo.table(spark, sf_dir, "nation")
+    kind = F.expr("case n_nationkey % 3 when 0 then 'CSV_FILE' when 1 then 'JDBC_POSTGRES' else 'KAFKA_STREAM' end")
+    made = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, n_nationkey)")
+    rows = nations.select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source_id"), F.col("n_name").alias("name"), kind.alias("source_type"), F.expr("0.5 + n_nationkey % 5 / 10.0").alias("trust"), F.lit(True).alias("active"), F.create_map(F.lit("query"), F.lit("select 1")).alias("config"), F.col("n_regionkey").alias("created_by"), made.alias("created_at")
+    )
+    sources.create(rows)
+    return _doubles(reads.page(sources.of_user(1), ["created_at", "source_id"], size=3), "trust").select("source_id", "name", "source_type", "trust")
+
+
+@query(f"{SCORES} select job_id, source_id, total_records as read_records, 'COMPLETED' as status, grade from scores order by job_id desc, source_id limit 5")
+def jobs_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of all jobs, newest first."""
+    judged = quality.judge(demo.sales(spark, sf_dir), demo.AS_OF)
+    issues = quality.issues(judged)
+    counted = quality.pass_fail(judged, issues).withColumnRenamed("total_records", "read_records")
+    listed = jobs(counted, quality.scores(judged, issues))
+    return reads.page(listed, [F.desc("job_id"), "source_id"], size=5).select("job_id", "source_id", "read_records", "status", "grade")
+
+
 # ---- sources, samples, reviews ----
 _CSV_JSON = """'{"key":"' || cast(c_custkey as string) || '","name":"' || c_name || ', of ' || cast(c_nationkey as string) || '","segment":' || case when c_custkey % 5 = 0 then 'null' else '"' || c_mktsegment || '"' end || '}'"""
 
@@ -873,6 +1008,18 @@ def stream_valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.fresh(live.valid(_resolved(spark, sf_dir)), None).select("source_id", F.col("payload")["event_id"].alias("event_id"), "record_hash")
 
 
+@query(f"{_LIVE} select distinct source_id, event_id from judged where error is null and id % 4 = 3")
+def unseen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of the events are staged and in the index, in two windows; of all that come again, those that are new."""
+    index = Seen(spark, scratch(spark, "seen"))
+    rows = live.valid(_resolved(spark, sf_dir)).withColumn("event_id", F.col("payload")["event_id"])
+    for batch, part in enumerate(("event_id % 4 < 2", "event_id % 4 <= 2")):
+        index.add(index.fresh(rows.where(part), batch), batch)
+        if batch == 0:
+            index.compact(batch)
+    return index.fresh(rows, 2).select("source_id", "event_id")
+
+
 @query(f"{_LIVE}, kept as (select distinct source_id, event_id, event_time, kind, source_system from judged where error is null) select count(*) as read, (select count(*) from kept) as staged, count(*) filter (where error is null) - (select count(*) from kept) as repeated, count(error) as dead, count(*) filter (where error = 'unknown source system') as unknown from judged")
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = _resolved(spark, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zipfile
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 from io import BytesIO
@@ -105,38 +106,54 @@ def _first_sheet(z: zipfile.ZipFile) -> tuple[str, bool]:
     return numbered[min(numbered)], False
 
 
-def first_sheet(data: bytes) -> list[list[str | None]]:
-    """Cells of a workbook's first sheet: strings as they are, numbers as shown, booleans as true and false, formulas by the
-    value that the file holds; errors and blanks are null. Rows and cells that the file leaves out are blank."""
+def sheet_rows(data: bytes) -> Iterator[list[str | None]]:
+    """Rows of a workbook's first sheet, one after another: strings as they are, numbers as shown, booleans as true and false, formulas by the
+    value that the file holds; errors and blanks are null. Rows and cells that the file leaves out are blank. The sheet is parsed as it is
+    unpacked, and what was given is let go, so of a long sheet one row is in memory, with the workbook's table of strings."""
     with zipfile.ZipFile(BytesIO(data)) as z:
         names = z.namelist()
         path, late = _first_sheet(z)
         shared, codes = [], []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in _each(z, "xl/sharedStrings.xml", "si")]
         if "xl/styles.xml" in names:
             styles = ElementTree.fromstring(z.read("xl/styles.xml"))
             own = FORMATS | {int(f.get("numFmtId")): f.get("formatCode") for f in styles.iter(f"{_MAIN}numFmt")}
             codes = [own.get(int(x.get("numFmtId", 0)), "General") for x in styles.iterfind(f"{_MAIN}cellXfs/{_MAIN}xf")]
-        sheet = ElementTree.fromstring(z.read(path))
-    since = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
-    rows: list[list[str | None]] = []
-    for row in sheet.iter(f"{_MAIN}row"):
-        cells: dict[int, str | None] = {}
-        for nth, c in enumerate(row.iter(f"{_MAIN}c")):
-            kind, v, style = c.get("t", "n"), c.findtext(f"{_MAIN}v"), int(c.get("s", 0))
-            if kind == "inlineStr":
-                v = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-            elif v is None or kind == "e":
-                v = None
-            elif kind == "s":
-                v = shared[int(v)]
-            elif kind == "b":
-                v = "true" if v == "1" else "false"
-            elif kind == "n":
-                v = shown(v, codes[style] if style < len(codes) else "General", since)
-            cells[_column(c.get("r", ""), nth)] = v
-        while len(rows) < int(row.get("r", len(rows) + 1)) - 1:
-            rows.append([])
-        rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return rows
+        since = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
+        given = 0
+        for row in _each(z, path, "row"):
+            cells: dict[int, str | None] = {}
+            for nth, c in enumerate(row.iter(f"{_MAIN}c")):
+                kind, v, style = c.get("t", "n"), c.findtext(f"{_MAIN}v"), int(c.get("s", 0))
+                if kind == "inlineStr":
+                    v = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+                elif v is None or kind == "e":
+                    v = None
+                elif kind == "s":
+                    v = shared[int(v)]
+                elif kind == "b":
+                    v = "true" if v == "1" else "false"
+                elif kind == "n":
+                    v = shown(v, codes[style] if style < len(codes) else "General", since)
+                cells[_column(c.get("r", ""), nth)] = v
+            while given < int(row.get("r", given + 1)) - 1:
+                given += 1
+                yield []
+            given += 1
+            yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+
+
+def _each(z: zipfile.ZipFile, name: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of a tag as they are unpacked; each is emptied when the next is asked for."""
+    with z.open(name) as f:
+        parents: list[ElementTree.Element] = []
+        for event, element in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start":
+                parents.append(element)
+                continue
+            parents.pop()
+            if element.tag == f"{_MAIN}{tag}":
+                yield element
+                if parents:
+                    parents[-1].clear()

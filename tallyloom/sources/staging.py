@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import trim
-from tallyloom.sources.excel import first_sheet
+from tallyloom.sources.excel import sheet_rows
 
 
 def stage(df: DataFrame, fields: list[str], source_id: Column, job_id: Column, row_number: Column) -> DataFrame:
@@ -36,8 +36,11 @@ def numbered(df: DataFrame, out: str = "row_number") -> DataFrame:
     return placed.join(starts, "_part").withColumn(out, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_start")
 
 
-def read_csv(spark: SparkSession, path: str, source_id: str, job_id: str) -> DataFrame:
-    """A CSV upload with a header; a row with another number of columns fails the job."""
+def read_csv(spark: SparkSession, path: str, source_id: str, job_id: str, sources: DataFrame | None = None) -> DataFrame:
+    """A CSV upload with a header; a row with another number of columns fails the job. ``sources``: the register, in which the source
+    must be one of this type."""
+    if sources is not None:
+        require_source(sources, source_id, "CSV")
     if not path.lower().endswith(".csv"):
         raise ValueError("a .csv file is needed")
     df = spark.read.options(header=True, inferSchema=False, mode="FAILFAST", multiLine=False).csv(path)
@@ -46,15 +49,40 @@ def read_csv(spark: SparkSession, path: str, source_id: str, job_id: str) -> Dat
     return stage(numbered(df), df.columns, F.lit(source_id), F.lit(job_id), F.col("row_number"))
 
 
-def read_jdbc(spark: SparkSession, config: dict[str, str], source_id: str, job_id: str) -> DataFrame:
+def read_jdbc(spark: SparkSession, config: dict[str, str], source_id: str, job_id: str, sources: DataFrame | None = None) -> DataFrame:
     """A query against a JDBC source, all columns as text. ``config``: jdbcUrl, user, password,
     driverClassName, query; anything but a SELECT is refused. The query runs once, as one partition, and its rows are numbered
-    in the order in which they come."""
+    in the order in which they come. With ``keyColumn``, a whole-number column of the query's without repeats, it is read in
+    ``partitions`` (8) ranges of the key side by side, between the least and the greatest that a first query asks for, and rows are numbered by the
+    key, so every run gives the same numbers. ``sources``: the register, in which the source must be an active one of this type."""
+    if sources is not None:
+        require_source(sources, source_id, "JDBC")
     options = jdbc_options(config)
+    if key := config.get("keyColumn"):
+        return _read_ranges(spark, options, key, int(config.get("partitions", 8)), source_id, job_id)
     df = spark.read.format("jdbc").options(**options).load()
     return stage(df.withColumn("row_number", F.monotonically_increasing_id() + 1), df.columns, F.lit(source_id), F.lit(job_id), F.col("row_number"))
 
 
+def _read_ranges(spark: SparkSession, options: dict[str, str], key: str, partitions: int, source_id: str, job_id: str) -> DataFrame:
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", key):
+        raise ValueError(f"not a column: {key}")
+    query = options.pop("query")
+    read = lambda **more: spark.read.format("jdbc").options(**options, **more).load()
+    whole = read(query=query)
+    own = next((c for c in whole.columns if c.lower() == key.lower()), None)
+    if own is None:
+        raise ValueError(f"the query has no column {key}")
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier(own)
+    low, high = read(query=f"SELECT MIN({quoted}), MAX({quoted}) FROM ({query}) ends").first()
+    if low is None:
+        return stage(whole, whole.columns, F.lit(source_id), F.lit(job_id), F.lit(1).cast("long"))
+    df = read(dbtable=f"({query}) ranges", partitionColumn=own, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions))
+    # ranges ascend with the partitions, so sorting inside them sorts the whole
+    rows = numbered(df.sortWithinPartitions(own))
+    return stage(rows, df.columns, F.lit(source_id), F.lit(job_id), F.col("row_number"))
+
+
 def jdbc_options(config: dict[str, str]) -> dict[str, str]:
     missing = [k for k in ("jdbcUrl", "user", "password", "driverClassName", "query") if not config.get(k)]
     if missing:
@@ -64,9 +92,13 @@ def jdbc_options(config: dict[str, str]) -> dict[str, str]:
     return {"url": config["jdbcUrl"], "user": config["user"], "password": config["password"], "driver": config["driverClassName"], "query": config["query"], "fetchsize": "1000"}
 
 
-def read_excel(spark: SparkSession, path: str, source_id: str, job_id: str) -> DataFrame:
+def read_excel(spark: SparkSession, path: str, source_id: str, job_id: str, sources: DataFrame | None = None, chunk: int = 2000) -> DataFrame:
     """Workbooks (one or a folder of them): first sheet, first row as header, blank headers ``_c<n>``; of columns with one header
-    the last counts. Each file is read where Spark puts it; rows are numbered within their file, rows without a cell left out."""
+    the last counts. Each file is read where Spark puts it, its sheet as a stream that is handed on every ``chunk`` rows; rows are numbered
+    within their file, rows without a cell left out. A file without a header fails the job. ``sources``: the register, in
+    which the source must be one of this type."""
+    if sources is not None:
+        require_source(sources, source_id, "EXCEL")
     if not re.search(r"\.xlsx$|/$|\*", path.lower()):
         raise ValueError("an .xlsx file is needed")
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -75,14 +107,19 @@ def read_excel(spark: SparkSession, path: str, source_id: str, job_id: str) -> D
         import pandas as pd
 
         for pdf in batches:
-            out = []
             for name, data in zip(pdf.path, pdf.content, strict=True):
-                sheet = first_sheet(data)
-                header = [h if h and h.strip() else f"_c{i}" for i, h in enumerate(sheet[0])] if sheet else []
-                for n, cells in enumerate((r for r in sheet[1:] if r), 1):
+                sheet = sheet_rows(data)
+                header = [h if h and h.strip() else f"_c{i}" for i, h in enumerate(next(sheet, []))]
+                if not header:
+                    raise ValueError(f"the file is empty: {name}")
+                out = []
+                for n, cells in enumerate((r for r in sheet if r), 1):
                     row = {h: cells[i] if i < len(cells) else None for i, h in enumerate(header)}
                     out.append((name, n, list(row.items())))
-            yield pd.DataFrame(out, columns=["path", "row_number", "cells"])
+                    if len(out) >= chunk:
+                        yield pd.DataFrame(out, columns=["path", "row_number", "cells"])
+                        out = []
+                yield pd.DataFrame(out, columns=["path", "row_number", "cells"])
 
     cells = files.mapInPandas(rows, "path string, row_number long, cells array<struct<name:string,value:string>>")
     staged = cells.select(F.lit(source_id).alias("source_id"), F.lit(job_id).alias("job_id"), "row_number", F.map_from_entries("cells").alias("payload"))
@@ -113,7 +150,7 @@ def due_sources(sources: DataFrame, now: str) -> DataFrame:
 
     base = F.coalesce("last_sync_at", "created_at", F.timestamp_seconds(F.lit(0)))
     idle = sources.where("running IS NULL OR NOT running") if "running" in sources.columns else sources
-    wanted = idle.where("source_type = 'JDBC' AND active AND cron_expression IS NOT NULL").select("source_id", "cron_expression", base.alias("base"))
+    wanted = idle.where("split(source_type, '_')[0] = 'JDBC' AND active AND cron_expression IS NOT NULL").select("source_id", "cron_expression", base.alias("base"))
     return wanted.mapInPandas(run, "source_id string, next_run timestamp").where(F.col("next_run") < F.lit(now).cast("timestamp"))
 
 
@@ -122,7 +159,7 @@ def require_source(sources: DataFrame, source_id: str, kind: str) -> None:
     found = sources.where(F.col("source_id") == source_id).select("source_type", "active").head(1)
     if not found:
         raise ValueError(f"no source {source_id}")
-    if found[0]["source_type"] != kind:
+    if found[0]["source_type"].split("_")[0] != kind:
         raise ValueError(f"{source_id} is a source of type {found[0]['source_type']}, not {kind}")
     if kind == "JDBC" and not found[0]["active"]:
         raise ValueError(f"{source_id} is not active")
