@@ -906,7 +906,8 @@ def flags_and_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ISSUES}, bad as (select distinct {_K} from issues where severity = 'CRITICAL') select {_K}, record_hash from hashed anti join bad using ({_K})")
 def accepted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.accepted(demo.sales(spark, sf_dir), _issues(spark, sf_dir, "COMPLETENESS")).select("source_id", "job_id", "row_number", "record_hash")
+    judged = quality.judge(demo.sales(spark, sf_dir), demo.AS_OF, dimensions={"COMPLETENESS"})
+    return quality.accepted(judged, quality.issues(judged, {"COMPLETENESS"})).select("source_id", "job_id", "row_number", "record_hash")
 
 
 @query(f"{ISSUES} select {_K}, rule, case when source_id = 'web' and rule = 'VALIDITY_DATE_FORMAT' then 'ACKNOWLEDGED' else 'OPEN' end as status from issues")
