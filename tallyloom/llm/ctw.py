@@ -17,7 +17,9 @@ from tallyloom.llm.store import materialise
 
 #: Bytes of context.
 DEPTH = 5
-#: Contexts of so many bytes (65,536 at most, whatever the corpus) meet on the driver; the longer ones stay in buckets.
+#: Contexts of so many bytes meet on the driver, a row for each decision in them: 65,536 contexts of 255 decisions at most, whatever the
+#: corpus (16.7 million rows, about 535 MB), of which text has few: 1,642 contexts and 30,886 decisions in 25 MB of four languages. The
+#: longer ones stay in buckets.
 TOP = 2
 BLOCK_BYTES = 8 << 20
 #: Windows that are in memory together; a longer text is taken in stretches.

@@ -71,7 +71,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     Vectors that are null or zero, hold null or non-finite components, or have no id link with
     nothing; nor do vectors of different lengths. Equal vectors form a class that is compared once, so
     copies cost nothing; a vector's links count all rows of the linked classes and the other rows of
-    its own. Every two tiles of classes meet in a task of their own, which returns for each class its
+    its own. Rows that repeat a vec_id with unlike vectors are one node: what either vector reaches is one component, and if the id
+    is the smallest of both classes, each row counts the links of both. Every two tiles of classes meet in a task of their own, which returns for each class its
     number of links and one link of a spanning forest, never the pairs. The work of an exact comparison is
     quadratic in the number of classes; memory of a task is not. Extra columns are not read.
     """

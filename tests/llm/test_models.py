@@ -222,6 +222,12 @@ def test_vectors_of_any_length_link(spark):
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, 4, 0) for i in range(5)}
 
 
+def test_ids_with_several_vectors_are_one_node(spark):
+    rows = [(5, [1.0, 0.0], 1, "x"), (5, [0.0, 1.0], 1, "x"), (9, [1.0, 0.01], 1, "x"), (12, [0.01, 1.0], 1, "x"), (20, [-1.0, 0.5], 1, "x")]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id string")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(5, 2, 5), (5, 2, 5), (9, 1, 5), (12, 1, 5), (20, 0, 20)]
+
+
 def test_bounds_are_never_below_the_cosine():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(200, 33))
