@@ -82,6 +82,6 @@ def is_rule_email(value: Column) -> Column:
     return full(value, EMAIL)
 
 
-def first_present(payload: Column, names: list[str]) -> Column:
-    """The first of several fields that is not blank."""
+def first_present(payload, names: list[str]) -> Column:
+    """The first of several fields (of a map column, or whatever gives columns by name) that is not blank."""
     return F.coalesce(*[F.when(~is_blank(payload[n]), payload[n]) for n in names])

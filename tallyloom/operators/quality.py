@@ -27,11 +27,35 @@ class Rule:
     message: Column
 
 
+class Record:
+    """The fields of a payload that rules ask for, as columns of their own: ``laid_out`` takes each out of the payload once, however many
+    rules use it."""
+
+    def __init__(self) -> None:
+        self.plain: dict[str, str] = {}
+        self.any: dict[str, str] = {}
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.plain.setdefault(name, f"_f{len(self.plain)}"))
+
+    def spelt(self, name: str) -> Column:
+        """The first value whose key is ``name`` in lower case with spaces and dashes as underscores."""
+        return F.col(self.any.setdefault(name, f"_s{len(self.any)}"))
+
+    def laid_out(self, staged: DataFrame) -> DataFrame:
+        keys = F.transform(F.map_entries("payload"), lambda e: F.struct(F.translate(F.lower(e["key"]), " -", "__").alias("key"), e["value"].alias("value")))
+        rows = staged.withColumn("_keys", keys) if self.any else staged
+        fields = [F.col("payload")[name].alias(c) for name, c in self.plain.items()]
+        first = lambda name: F.get(F.filter("_keys", lambda e: e["key"] == name), 0)["value"]
+        spelt = [first(name).alias(c) for name, c in self.any.items()]
+        return rows.select(*staged.columns, *fields, *spelt)
+
+
 def _says(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def completeness(p: Column) -> list[Rule]:
+def completeness(p: Record) -> list[Rule]:
     needed = {
         "customer_name": ("COMPLETENESS_CUSTOMER_NAME", ["customer_name", "Customer Name", "name"]),
         "total_amount": ("COMPLETENESS_TOTAL_AMOUNT", ["total_amount", "Sales", "amount"]),
@@ -40,7 +64,7 @@ def completeness(p: Column) -> list[Rule]:
     return [Rule(code, "COMPLETENESS", "CRITICAL", f, first_present(p, names).isNull(), F.lit(MISSING.format(f))) for f, (code, names) in needed.items()]
 
 
-def validity(p: Column) -> list[Rule]:
+def validity(p: Record) -> list[Rule]:
     rules = []
 
     def add(code: str, field: str, condition: Column, message: Column) -> None:
@@ -61,7 +85,7 @@ def uniqueness(copies: Column) -> list[Rule]:
     return [Rule(DUPLICATE, "UNIQUENESS", "HIGH", "record_hash", copies > 1, F.lit("Another record of the source has the same content"))]
 
 
-def consistency(p: Column, as_of: Column) -> list[Rule]:
+def consistency(p: Record, as_of: Column) -> list[Rule]:
     q, u, t = (p[f].try_cast("double") for f in ("quantity", "unit_price", "line_total"))
     date = iso_date(first_present(p, ["order_date", "Order Date"]))
     return [
@@ -70,7 +94,7 @@ def consistency(p: Column, as_of: Column) -> list[Rule]:
     ]
 
 
-def timeliness(p: Column, as_of: Column) -> list[Rule]:
+def timeliness(p: Record, as_of: Column) -> list[Rule]:
     date = iso_date(first_present(p, ["order_date", "Order Date", "transaction_date"]))
     return [
         Rule("TIMELINESS_FUTURE_DATE", "TIMELINESS", "MEDIUM", "order_date", date > as_of, _says("Date ", date.cast("string"), " is in the future")),
@@ -78,23 +102,17 @@ def timeliness(p: Column, as_of: Column) -> list[Rule]:
     ]
 
 
-def accuracy(p: Column) -> list[Rule]:
-    """One rule for each field name as it may be spelt; other spellings go through ``spelt``."""
+def accuracy(p: Record) -> list[Rule]:
+    """One rule for each field name as it may be spelt; other spellings go through ``Record.spelt``."""
     rules = []
     for code, names, allowed in (("ACCURACY_INVALID_CURRENCY", ("currency", "currency_code", "curr"), CURRENCIES), ("ACCURACY_INVALID_COUNTRY", ("country", "country_code", "nation"), COUNTRIES)):
         for f in names:
-            value = spelt(p, f)
+            value = p.spelt(f)
             rules.append(Rule(code, "ACCURACY", "LOW", f, ~is_blank(value) & ~F.upper(trim(value)).isin(*allowed), _says(f"{f}: '", value, "' is not among the known ones")))
     return rules
 
 
-def spelt(p: Column, name: str) -> Column:
-    """The first value whose key is ``name`` in lower case with spaces and dashes as underscores."""
-    hits = F.filter(F.map_entries(p), lambda e: F.regexp_replace(F.lower(e["key"]), "[ -]", "_") == name)
-    return F.get(hits, 0)["value"]
-
-
-def rules_for(p: Column, copies: Column, as_of: Column) -> list[Rule]:
+def rules_for(p: Record, copies: Column, as_of: Column) -> list[Rule]:
     return [*completeness(p), *validity(p), *uniqueness(copies), *consistency(p, as_of), *timeliness(p, as_of), *accuracy(p)]
 
 
@@ -106,11 +124,12 @@ def user_rule(code: str, dimension: str, severity: str, field: str, expression:
 def judge(staged: DataFrame, as_of: str, extra: list[Rule] | None = None, dimensions: set[str] | None = None) -> DataFrame:
     """keys, record_hash, fired: each record with the rules that it breaks, from one reading of the staged rows. This slim table is
     written, and issues, counts and totals come from it; payloads are neither read nor hashed again."""
-    rules = [*rules_for(F.col("payload"), F.lit(None), F.lit(as_of).cast("date")), *(extra or [])]
+    record = Record()
+    rules = [*rules_for(record, F.lit(None), F.lit(as_of).cast("date")), *(extra or [])]
     wanted = [(i, r) for i, r in enumerate(rules) if (dimensions is None or r.dimension in dimensions) and r.code != DUPLICATE]
     none = F.lit(None).cast("struct<rule_ord:int,rule:string,dimension:string,severity:string,field:string,message:string>")
     fired = F.array(*[F.when(r.condition, _issue(i, r)) for i, r in wanted], none)
-    return written(staged.select(*KEYS, "record_hash", F.filter(fired, lambda x: x.isNotNull()).alias("fired")), "judged")
+    return written(record.laid_out(staged).select(*KEYS, "record_hash", F.filter(fired, lambda x: x.isNotNull()).alias("fired")), "judged")
 
 
 def _issue(i: int, r: Rule) -> Column:
@@ -123,7 +142,7 @@ def issues(judged: DataFrame, dimensions: set[str] | None = None) -> DataFrame:
     found = judged.select(*KEYS, F.explode("fired").alias("i")).select(*KEYS, "i.*", F.lit("OPEN").alias("status"))
     if dimensions is not None and "UNIQUENESS" not in dimensions:
         return found
-    place, rule = next((i, r) for i, r in enumerate(rules_for(F.col("payload"), F.col("_copies"), F.current_date())) if r.code == DUPLICATE)
+    place, rule = next((i, r) for i, r in enumerate(rules_for(Record(), F.col("_copies"), F.current_date())) if r.code == DUPLICATE)
     copies = judged.groupBy("source_id", "record_hash").agg(F.count_if(~is_blank(F.col("record_hash"))).alias("_copies")).where("_copies > 1")
     again = judged.select(*KEYS, "record_hash").join(copies, ["source_id", "record_hash"]).where(rule.condition)
     return found.unionByName(again.select(*KEYS, _issue(place, rule).alias("i")).select(*KEYS, "i.*", F.lit("OPEN").alias("status")))
