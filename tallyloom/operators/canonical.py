@@ -90,6 +90,14 @@ def keys_of(df: DataFrame, entity: Entity) -> DataFrame:
     return df.withColumns({"key_0": ref} | {f"key_{i}": _key(k) for i, k in enumerate(entity.keys, 1)})
 
 
+def key_hashes(df: DataFrame, entity: Entity) -> DataFrame:
+    """A row for each key of each row of ``df``: the row with ``hash``, of which key it is and its value."""
+    keyed = keys_of(df, entity)
+    kinds = range(len(entity.keys) + 1)
+    hashes = F.array(*[F.when(F.col(f"key_{i}").isNotNull(), F.xxhash64(F.lit(i), f"key_{i}")) for i in kinds])
+    return keyed.withColumn("hash", F.explode(F.array_compact(hashes))).drop(*[f"key_{i}" for i in kinds])
+
+
 def match(incoming: DataFrame, store: DataFrame, entity: Entity) -> DataFrame:
     """``incoming`` with ``entity_id`` of the stored row that the first key with a hit finds; of several
     rows with one key the least id. Each key is an equi-join, none is per row."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from tallyloom.sources.staging import numbered
 #: Entities that stand by themselves, loaded before the orders that link to them.
 ALONE = {"customer": canonical.CUSTOMERS, "product": canonical.PRODUCTS, "salesperson": canonical.SALESPERSONS, "region": canonical.REGIONS}
 JOB = ["source_id", "job_id"]
+#: Stored rows of an entity that have a key among some hashes (``canonical.key_hashes``), and perhaps others.
+Lookup = Callable[[DataFrame], DataFrame]
 MAPPINGS = "source_id string, field string, entity string, target string, confidence decimal(3,2), status string"
 
 
@@ -52,11 +55,12 @@ def assess(staged: DataFrame, as_of: str, history: History | None = None, seq: i
 
 
 def run_job(
-    staged: DataFrame, stores: dict[str, DataFrame], trust: DataFrame, as_of: str, targets: DataFrame, mappings: DataFrame | None = None, winner: str = "incoming", history: History | None = None, seq: int = 0, changed_only: bool = False
+    staged: DataFrame, stores: dict[str, DataFrame | Lookup], trust: DataFrame, as_of: str, targets: DataFrame, mappings: DataFrame | None = None, winner: str = "incoming", history: History | None = None, seq: int = 0, changed_only: bool = False
 ) -> dict[str, DataFrame]:
     """Profile, map, check, score and load one job of one source; each result is a DataFrame by name. Rows of several are refused.
 
-    ``stores``: the canonical tables by name, each an ``entity_id``-keyed DataFrame. Records with a critical issue are not
+    ``stores``: the canonical tables by name, each an ``entity_id``-keyed DataFrame, or, with ``changed_only``, a function that looks up the rows
+    that records can match. Records with a critical issue are not
     loaded. Customers, products, salespersons and regions come first, then orders with the customer of their record (and its
     salesperson and region if there are any), then line items. Rows carry additional attributes and the job's score.
     ``history``: where profiles and schemas of jobs are kept, see ``assess``. ``changed_only``: of the canonical tables only rows that are
@@ -75,7 +79,11 @@ def run_job(
     ids, lines, conflicts = {}, [], []
 
     def put(name: str, entity: canonical.Entity, records: DataFrame) -> None:
-        store, found, ids[name] = canonical.load(records, stores[entity.table], entity, trust, winner, changed_only, job)
+        stored = stores[entity.table]
+        if not isinstance(stored, DataFrame):
+            records = cut(records)
+            stored = stored(canonical.key_hashes(canonical.typed(records, entity), entity))
+        store, found, ids[name] = canonical.load(records, stored, entity, trust, winner, changed_only, job)
         out[entity.table] = store
         if found is not None:
             out[f"{entity.table}_conflicts"] = cut(found)
@@ -98,8 +106,9 @@ def empty_stores(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def versioned(spark: SparkSession, root: str) -> dict[str, Versions]:
-    """The canonical tables under ``root``, by name, as tables of changes."""
-    return {name: Versions(spark, f"{root}/{name}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)) for name, df in empty_stores(spark).items()}
+    """The canonical tables under ``root``, by name, as tables of changes whose rows can be looked up by their keys."""
+    schema = lambda e: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in canonical.empty_store(spark, e).schema)
+    return {e.table: Versions(spark, f"{root}/{e.table}", schema(e), keys=partial(canonical.key_hashes, entity=e)) for e in (*ALONE.values(), canonical.ORDERS)}
 
 
 #: Windows between two compactions of the canonical tables.
@@ -111,7 +120,7 @@ def each_window(root: str, trust: DataFrame, targets: DataFrame, as_of: Callable
 
     The first window of a source maps its fields, later ones keep those mappings and map new fields; every window is
     profiled, and drift counts among its issues. A window writes what it found, the mappings of its sources, and the canonical rows
-    that are new or changed; those before it are read merged. Every ``compact_every`` windows the changes become a base. A window
+    that are new or changed; of those before it only the ones that its records can match, by their keys, are read and merged. Every ``compact_every`` windows the changes become a base. A window
     that runs again replaces what it had written, since it reads only what came before it.
     """
 
@@ -120,13 +129,19 @@ def each_window(root: str, trust: DataFrame, targets: DataFrame, as_of: Callable
         history, tables = History(spark, f"{root}/history"), versioned(spark, root)
         staged = cut(numbered(rows.select("source_id", "job_id", "payload", "raw_payload", "record_hash")))
         sources = sorted(r["source_id"] for r in staged.select("source_id").distinct().collect())
-        before = {name: t.read(batch_id) for name, t in tables.items()}
         changed: dict[str, DataFrame] = {}
+
+        def stored(name: str, hashes: DataFrame) -> DataFrame:
+            found = tables[name].sharing(hashes, batch_id)
+            if name in changed:
+                found = found.join(changed[name].select("entity_id"), "entity_id", "left_anti").unionByName(changed[name])
+            return cut(found)
+
         kept: dict[str, list[DataFrame]] = {}
         for source in sources:
             last = history.before(source, batch_id, 1)
             known = spark.read.schema(MAPPINGS).parquet(f"{root}/mappings/window={last[0]['seq']}").where(F.col("source_id") == source) if last else None
-            stores = {n: s if n not in changed else s.join(changed[n].select("entity_id"), "entity_id", "left_anti").unionByName(changed[n]) for n, s in before.items()}
+            stores = {name: partial(stored, name) for name in tables}
             out = run_job(staged.where(F.col("source_id") == source), stores, trust, as_of(), targets, known, history=history, seq=batch_id, changed_only=True)
             for name in tables:
                 new = cut(out[name])

@@ -559,6 +559,28 @@ def orders_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("ref", F.round(F.col("total_amount") * 100).cast("bigint").alias("cents"), "ship_mode", "window")
 
 
+@query(
+    """select 'O' || cast(o_orderkey as string) as ref, case when o_orderkey % 5 = 0 and o_orderkey % 3 <> 0 then 'RAIL' when o_orderkey % 2 = 0 then 'AIR' else 'SHIP' end as ship_mode,
+    case when o_orderkey % 3 = 0 or o_orderkey % 5 = 0 then 1 else 0 end as window, o_orderkey % 3 <> 0 and o_orderkey % 5 = 0 as looked_up from orders"""
+)
+def orders_found_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in two windows, where the second reads no more of the first than the orders that share a key with its records."""
+    everything = demo.records(spark, sf_dir, "store", "orders")
+    rail = F.map_concat(F.map_filter("fields", lambda k, v: k != "ship_mode"), F.create_map(F.lit("ship_mode"), F.lit("RAIL")))
+    second = everything.where("row_number % 3 = 0").unionByName(everything.where("row_number % 3 <> 0 AND row_number % 5 = 0").withColumn("fields", rail))
+    table = versioned(spark, scratch(spark, "tables"))["orders"]
+    looked = None
+    for window, records in enumerate((everything.where("row_number % 3 <> 0"), second)):
+        looked = cut(table.sharing(canonical.key_hashes(canonical.typed(records, canonical.ORDERS), canonical.ORDERS), window))
+        changed, _, _ = canonical.load(records, looked, canonical.ORDERS, demo.trust(spark), changed_only=True, job=f"job-{window}")
+        table.write(changed, window)
+        if window == 0:
+            table.compact(0)
+    now = spark.read.parquet(f"{table.path}/changes/window=1").select("entity_id", F.lit(1).alias("window"))
+    merged = table.read().join(now, "entity_id", "left").join(looked.select("entity_id", F.lit(True).alias("looked_up")), "entity_id", "left").fillna(0, ["window"])
+    return merged.select("ref", "ship_mode", "window", F.coalesce("looked_up", F.lit(False)).alias("looked_up"))
+
+
 @query(f"{SALES} select source_id, field, least(10, count(*)) as drawn from (select source_id, unnest([{', '.join(f'{chr(39)}{f}{chr(39)}' for f in demo.FIELDS)}]) as field, unnest([{', '.join(f'{chr(34)}{f}{chr(34)}' for f in demo.FIELDS)}]) as v from sales) where v is not null group by source_id, field")
 def random_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many values the advisor sees of each field; which ones is left to chance."""
