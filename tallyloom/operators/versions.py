@@ -109,9 +109,10 @@ class Versions:
         return self._newest(self._rows(base, before).where(F.col("bucket").isin(buckets)).join(found, self.key, "left_semi"))
 
     def compact(self, upto: int) -> None:
-        """Merge all up to a window into a new base, bucket by bucket. Rows that it replaces stay for readers that have begun."""
+        """Merge all up to a window into a new base, bucket by bucket. Rows that it replaces stay for readers that have begun. A window that runs
+        again makes its base anew from the one before, so it never reads what it replaces."""
         self._table("base", "upto")
-        merged = self.read(upto + 1)
+        merged = self._newest(self._rows(self.base(upto), upto + 1))
         if self.keys is not None:
             self._base_keys()
             merged = cut(merged)

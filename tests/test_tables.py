@@ -44,6 +44,17 @@ def test_changes_are_merged(spark, tmp_path):
     assert merged(table) == now | {"a": "1", "e": "4"}
 
 
+@pytest.mark.parametrize("keys", [None, lambda df: df.withColumn("hash", F.xxhash64("entity_id"))])
+def test_window_that_runs_again_after_its_compaction(spark, tmp_path, keys):
+    table = Versions(spark, str(tmp_path / "t"), "entity_id string, v string", buckets=2, keys=keys, parts=2)
+    table.write(entities(spark, a="1", b="1"), 0)
+    table.compact(0)
+    for v in "23":
+        table.write(entities(spark, b=v, c=v), 1)
+        table.compact(1)
+        assert merged(table) == {"a": "1", "b": v, "c": v} and merged(table, 1) == {"a": "1", "b": "1"}
+
+
 def test_written_files_grow_with_the_changes(spark, tmp_path):
     table = Versions(spark, str(tmp_path / "t"), "entity_id string, v string", buckets=4)
     size = lambda w: sum(f.stat().st_size for f in (tmp_path / f"t/changes/window={w}").rglob("*.parquet"))
