@@ -108,7 +108,7 @@ def empty_stores(spark: SparkSession) -> dict[str, DataFrame]:
 def versioned(spark: SparkSession, root: str) -> dict[str, Versions]:
     """The canonical tables under ``root``, by name, as tables of changes whose rows can be looked up by their keys."""
     schema = lambda e: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in canonical.empty_store(spark, e).schema)
-    return {e.table: Versions(spark, f"{root}/{e.table}", schema(e), keys=partial(canonical.key_hashes, entity=e)) for e in (*ALONE.values(), canonical.ORDERS)}
+    return {e.table: Versions(spark, f"{root}/{e.table}", schema(e), keys=partial(canonical.key_hashes, entity=e, stored=True)) for e in (*ALONE.values(), canonical.ORDERS)}
 
 
 #: Windows between two compactions of the canonical tables.

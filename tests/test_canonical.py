@@ -161,3 +161,20 @@ def test_failing_advisor_is_asked_again(spark):
     pick = lambda: mapping.map_fields(fields, mapping.registry(spark), advisor=mapping.retried(advisor)).first()["target"]
     assert pick() == "ship_date" and len(asked) == 3
     assert mapping.map_fields(fields, mapping.registry(spark), advisor=mapping.retried(lambda df: 1 / 0)).first()["target"] == "order_date"
+
+
+def test_orders_with_unlike_references_stay_apart(spark):
+    at = {"order_date": "2024-01-02", "total_amount": "5.00"}
+    orders = [at, at | {"external_ref": "1"}, at | {"external_ref": "2"}, at, at | {"external_ref": "1"}]
+    store, _ = load(spark, canonical.ORDERS, ("A", orders))
+    assert sorted(r["ref"] for r in store.collect()) == ["1", "2"]
+    store, _ = load(spark, canonical.ORDERS, ("A", [at]), ("A", orders[1:]), ("A", [at | {"external_ref": "2"}, at | {"external_ref": "3"}, at]))
+    assert sorted(r["ref"] for r in store.collect()) == ["1", "2", "3"]
+
+
+def test_seeking_hashes_find_what_can_match(spark):
+    at = {"order_date": "2024-01-02", "total_amount": "5.00"}
+    hashes = lambda fields, **how: {r["hash"] for r in canonical.key_hashes(canonical.typed(recs(spark, "A", [fields]), canonical.ORDERS), canonical.ORDERS, **how).collect()}
+    one, two = at | {"external_ref": "1"}, at | {"external_ref": "2"}
+    meets = lambda a, b: bool(hashes(a) & hashes(b, stored=True))
+    assert [meets(a, b) for a, b in ((one, one), (one, two), (one, at), (at, one), (at, at))] == [True, False, True, True, True]
