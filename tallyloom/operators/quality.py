@@ -43,10 +43,10 @@ class Record:
         return F.col(self.any.setdefault(name, f"_s{len(self.any)}"))
 
     def laid_out(self, staged: DataFrame) -> DataFrame:
-        keys = F.transform(F.map_entries("payload"), lambda e: F.struct(F.translate(F.lower(e["key"]), " -", "__").alias("key"), e["value"].alias("value")))
+        keys = F.transform(F.map_keys("payload"), lambda k: F.translate(F.lower(k), " -", "__"))
         rows = staged.withColumn("_keys", keys) if self.any else staged
         fields = [F.col("payload")[name].alias(c) for name, c in self.plain.items()]
-        first = lambda name: F.get(F.filter("_keys", lambda e: e["key"] == name), 0)["value"]
+        first = lambda name: F.get(F.map_values("payload"), (F.array_position("_keys", name) - 1).cast("int"))
         spelt = [first(name).alias(c) for name, c in self.any.items()]
         return rows.select(*staged.columns, *fields, *spelt)
 
@@ -127,9 +127,10 @@ def judge(staged: DataFrame, as_of: str, extra: list[Rule] | None = None, dimens
     record = Record()
     rules = [*rules_for(record, F.lit(None), F.lit(as_of).cast("date")), *(extra or [])]
     wanted = [(i, r) for i, r in enumerate(rules) if (dimensions is None or r.dimension in dimensions) and r.code != DUPLICATE]
-    none = F.lit(None).cast("struct<rule_ord:int,rule:string,dimension:string,severity:string,field:string,message:string>")
-    fired = F.array(*[F.when(r.condition, _issue(i, r)) for i, r in wanted], none)
-    return written(record.laid_out(staged).select(*KEYS, "record_hash", F.filter(fired, lambda x: x.isNotNull()).alias("fired")), "judged")
+    none = F.array().cast("array<struct<rule_ord:int,rule:string,dimension:string,severity:string,field:string,message:string>>")
+    # no higher-order function around the rules: what such a function takes is evaluated without generated code
+    fired = F.flatten(F.array(*[F.when(r.condition, F.array(_issue(i, r))).otherwise(none) for i, r in wanted], none))
+    return written(record.laid_out(staged).select(*KEYS, "record_hash", fired.alias("fired")), "judged")
 
 
 def _issue(i: int, r: Rule) -> Column:
