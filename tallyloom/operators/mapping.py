@@ -78,10 +78,19 @@ def map_fields(fields: DataFrame, targets: DataFrame, existing: DataFrame | None
 
 def samples(staged: DataFrame, k: int = 10, seed: int | None = None) -> DataFrame:
     """source_id, field, samples: up to k values of each field, drawn at random from its records that have one."""
-    cells = staged.select("source_id", F.explode(F.map_entries("payload")).alias("e")).select("source_id", F.col("e.key").alias("field"), F.col("e.value").alias("v"))
-    drawn = cells.where(F.col("v").isNotNull()).withColumn("_r", F.rand(seed))
+    cells = staged.select("source_id", F.explode(F.map_entries("payload")).alias("e")).select("source_id", F.col("e.key").alias("field"), F.col("e.value").alias("v")).where(F.col("v").isNotNull())
+    todo = cut(cells.groupBy("source_id", "field").agg(F.count(F.lit(1)).alias("_of")))
     w = Window.partitionBy("source_id", "field").orderBy("_r")
-    return drawn.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).groupBy("source_id", "field").agg(F.collect_list("v").alias("samples"))
+    done, turn = None, 0
+    while done is None or not todo.isEmpty():
+        # about 10 * k values of a field stay to be sorted, all if it has no more; a field that keeps fewer than k of them is drawn again
+        drawn = cells.join(F.broadcast(todo), ["source_id", "field"]).withColumn("_r", F.rand(None if seed is None else seed + turn)).where(F.col("_r") * F.col("_of") < 10 * k)
+        some = drawn.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).groupBy("source_id", "field").agg(F.collect_list("v").alias("samples"), F.first("_of").alias("_of"))
+        some = cut(some.where(F.size("samples") >= F.least(F.lit(k), F.col("_of"))).drop("_of"))
+        done = some if done is None else done.unionByName(some)
+        todo = cut(todo.join(some, ["source_id", "field"], "left_anti"))
+        turn += 1
+    return done
 
 
 def retried(advisor: Callable[[DataFrame], DataFrame], attempts: int = 3) -> Callable[[DataFrame], DataFrame]:
@@ -110,29 +119,51 @@ def override(mappings: DataFrame, source_id: str, field: str, entity: str | None
     return mappings.withColumns({"entity": put("entity", entity), "target": put("target", target), "status": put("status", status)})
 
 
+def _rules(mappings: DataFrame, known: dict[str, list[str]] | None) -> DataFrame:
+    """source_id, _key (a field's name in lower case), entity (singular), field, extra: where the values of a field go."""
+    columns = [f"{e}.{f}" for e, f, _, _ in REGISTRY] if known is None else [f"{e}.{f}" for e, fs in known.items() for f in fs]
+    once = Window.partitionBy("source_id", "_key").orderBy("field")
+    rules = mappings.where("entity <> '' AND target <> ''").select("source_id", F.lower("field").alias("_key"), "entity", "target", "status", "field")
+    rules = rules.withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    column = (F.col("status") == "AUTO_CONFIRMED") & F.concat_ws(".", "entity", "target").isin(*columns)
+    return rules.select("source_id", "_key", F.regexp_replace("entity", "s$", "").alias("entity"), F.col("target").alias("field"), (~column).alias("extra"))
+
+
 def transform_long(staged: DataFrame, mappings: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
     """Mapped values: keys, entity (singular), field, value, extra, pos (place in the payload). A confirmed mapping to a column that
     the entity has (``known``; all registry columns if not given) gives a column, other mappings go to
     the additional attributes if they have a value. Names match in any case; of several mappings the first by name wins."""
-    columns = [f"{e}.{f}" for e, f, _, _ in REGISTRY] if known is None else [f"{e}.{f}" for e, fs in known.items() for f in fs]
-    once = Window.partitionBy("source_id", "_key").orderBy("field")
-    rules = mappings.where("entity <> '' AND target <> ''").select("source_id", F.lower("field").alias("_key"), "entity", "target", "status", "field")
-    rules = rules.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n", "field")
+    rules = _rules(mappings, known)
     cells = staged.select("source_id", "job_id", "row_number", F.posexplode(F.map_entries("payload")).alias("pos", "e"))
     joined = cells.select("source_id", "job_id", "row_number", "pos", F.lower("e.key").alias("_key"), F.col("e.value").alias("value")).join(rules, ["source_id", "_key"])
-    column = (F.col("status") == "AUTO_CONFIRMED") & F.concat_ws(".", "entity", "target").isin(*columns)
-    out = joined.select("source_id", "job_id", "row_number", F.regexp_replace("entity", "s$", "").alias("entity"), F.col("target").alias("field"), "value", (~column).alias("extra"), "pos")
+    out = joined.select("source_id", "job_id", "row_number", "entity", "field", "value", "extra", "pos")
     return out.where(~F.col("extra") | F.col("value").isNotNull())
 
 
 def entities(long: DataFrame) -> DataFrame:
     """One row for each record and entity: fields map and additional_attributes map. Of several source fields with one
     target the last in the payload counts, its null too."""
+    return _folded(long.groupBy("source_id", "job_id", "row_number", "entity").agg(F.collect_list(F.struct("field", "value", "extra", "pos")).alias("cells")))
+
+
+def record_entities(staged: DataFrame, mappings: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
+    """``entities`` of ``transform_long``, made within each staged row: no value of a record is shuffled to meet the others. The mappings of a
+    source, one for each field at most, are a map that is broadcast. Keys of the rows are unique, as staging gives them."""
+    rules = _rules(mappings, known).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("_key", F.struct("entity", "field", "extra")))).alias("_rules"))
+    rows = staged.select("source_id", "job_id", "row_number", "payload").join(F.broadcast(rules), "source_id")
+    found = F.transform(F.map_entries("payload"), lambda e, i: F.struct(F.try_element_at("_rules", F.lower(e["key"])).alias("rule"), e["value"].alias("value"), i.alias("pos")))
+    found = F.filter(found, lambda c: c["rule"].isNotNull() & (~c["rule"]["extra"] | c["value"].isNotNull()))
+    each = rows.select("source_id", "job_id", "row_number", found.alias("_found")).select("*", F.explode(F.array_distinct(F.transform("_found", lambda c: c["rule"]["entity"]))).alias("entity"))
+    own = F.filter("_found", lambda c: c["rule"]["entity"] == F.col("entity"))
+    cells = F.transform(own, lambda c: F.struct(c["rule"]["field"].alias("field"), c["value"].alias("value"), c["rule"]["extra"].alias("extra"), c["pos"].alias("pos")))
+    return _folded(each.select("source_id", "job_id", "row_number", "entity", cells.alias("cells")))
+
+
+def _folded(gathered: DataFrame) -> DataFrame:
     cells = F.filter("cells", lambda c: ~F.exists("cells", lambda d: (d["field"] == c["field"]) & (d["extra"] == c["extra"]) & (d["pos"] > c["pos"])))
 
     def pairs(extra: bool) -> Column:
         own = F.filter("cells", lambda c: (c["extra"] if extra else ~c["extra"]) & c["value"].isNotNull())
         return F.map_from_entries(F.array_sort(F.transform(own, lambda c: F.struct(c["field"].alias("key"), c["value"].alias("value")))))
 
-    gathered = long.groupBy("source_id", "job_id", "row_number", "entity").agg(F.collect_list(F.struct("field", "value", "extra", "pos")).alias("cells")).withColumn("cells", cells)
-    return gathered.select("source_id", "job_id", "row_number", "entity", pairs(False).alias("fields"), pairs(True).alias("additional_attributes"))
+    return gathered.withColumn("cells", cells).select("source_id", "job_id", "row_number", "entity", pairs(False).alias("fields"), pairs(True).alias("additional_attributes"))

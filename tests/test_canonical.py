@@ -178,3 +178,14 @@ def test_seeking_hashes_find_what_can_match(spark):
     one, two = at | {"external_ref": "1"}, at | {"external_ref": "2"}
     meets = lambda a, b: bool(hashes(a) & hashes(b, stored=True))
     assert [meets(a, b) for a, b in ((one, one), (one, two), (one, at), (at, one), (at, at))] == [True, False, True, True, True]
+
+
+def test_entities_within_a_record_need_no_shuffle(spark):
+    st = payloads(spark, [{"Sales": "1", "Amount": "2", "Name": "n", "Other": None}, {"Other": None}, {"sales": "3", "AMOUNT": None}])
+    maps = spark.createDataFrame(
+        [("s", "Sales", "orders", "total_amount", "AUTO_CONFIRMED"), ("s", "amount", "orders", "total_amount", "AUTO_CONFIRMED"), ("s", "name", "customers", "name", "AUTO_CONFIRMED"), ("s", "other", "products", "sku", "PENDING")],
+        "source_id string, field string, entity string, target string, status string",
+    )
+    own = mapping.record_entities(st, maps)
+    told = lambda df: sorted((r["row_number"], r["entity"], r["fields"], r["additional_attributes"]) for r in df.collect())
+    assert told(own) == told(mapping.entities(mapping.transform_long(st, maps)))
