@@ -42,10 +42,15 @@ def _all(test: Column) -> Column:
 
 def types(vals: DataFrame) -> DataFrame:
     """Inferred type and date format of each field: the first that all its values satisfy."""
+    return _typed(vals)
+
+
+def _typed(vals: DataFrame, more: tuple[Column, ...] = (), gives: dict[str, Column] | None = None) -> DataFrame:
+    """``types``, with columns made of ``more`` aggregates (and of the type) of the same reading of the values."""
     v = F.col("v")
     tests = {"INTEGER": X.is_integer(v), "DECIMAL": X.is_decimal(v), "BOOLEAN": X.is_boolean(v), "DATETIME": X.is_datetime(v), "EMAIL": X.is_email(v), "PHONE": X.is_phone(v), "CURRENCY_AMOUNT": X.is_currency_amount(v)}
     agg = vals.groupBy(*FIELD).agg(
-        F.count(F.lit(1)).alias("distinct_count"), *[_all(t).alias(f"is_{k}") for k, t in tests.items()], *[_all(X.matches_format(v, p)).alias(f"fmt_{i}") for i, (p, _) in enumerate(DATE_FORMATS)]
+        F.count(F.lit(1)).alias("distinct_count"), *[_all(t).alias(f"is_{k}") for k, t in tests.items()], *[_all(X.matches_format(v, p)).alias(f"fmt_{i}") for i, (p, _) in enumerate(DATE_FORMATS)], *more
     )
     fmt = F.coalesce(*[F.when(F.col(f"fmt_{i}"), p) for i, (p, _) in enumerate(DATE_FORMATS)])
     chain = F.when(F.col("is_INTEGER"), "INTEGER").when(F.col("is_DECIMAL"), "DECIMAL").when(F.col("is_BOOLEAN"), "BOOLEAN")
@@ -54,7 +59,8 @@ def types(vals: DataFrame) -> DataFrame:
         chain = chain.when(F.col(f"is_{k}"), k)
     chain = chain.when(F.col("distinct_count") < 20, "CATEGORY").otherwise("FREE_TEXT")
     plain = F.col("is_INTEGER") | F.col("is_DECIMAL") | F.col("is_BOOLEAN")
-    return agg.select(*FIELD, "distinct_count", chain.alias("inferred_type"), F.when(~plain, fmt).alias("date_format"))
+    out = agg.withColumns({"inferred_type": chain, "date_format": F.when(~plain, fmt)})
+    return out.select(*FIELD, "distinct_count", "inferred_type", "date_format", *[c.alias(name) for name, c in (gives or {}).items()])
 
 
 def top_values(vals: DataFrame, k: int = 10) -> DataFrame:
@@ -70,29 +76,28 @@ def sample_values(vals: DataFrame, k: int = 5) -> DataFrame:
     return vals.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*FIELD, "rank", "v")
 
 
-def extremes(vals: DataFrame, typed: DataFrame) -> DataFrame:
-    """Least and greatest value of each field: by number for INTEGER and DECIMAL (the text is kept,
+def types_and_extremes(vals: DataFrame) -> DataFrame:
+    """``types`` and, from the same reading, the least and greatest value of each field: by number for INTEGER and DECIMAL (the text is kept,
     the first seen wins ties), else by text."""
     # doubles order any size and exponent; where two are equal, the decimals tell, if they fit
     number = F.when(F.col("v").try_cast("double").isNotNull(), F.struct(F.col("v").try_cast("double"), F.col("v").try_cast("decimal(38,10)")))
-    both = vals.groupBy(*FIELD).agg(
+    ends = (
         F.min_by("v", F.when(number.isNotNull(), F.struct(number, "first_row"))).alias("num_min"),
         F.max_by("v", F.when(number.isNotNull(), F.struct(number, -F.col("first_row")))).alias("num_max"),
         F.min("v").alias("text_min"),
         F.max("v").alias("text_max"),
     )
     numeric = F.col("inferred_type").isin("INTEGER", "DECIMAL")
-    return both.join(typed.select(*FIELD, "inferred_type"), FIELD).select(*FIELD, F.when(numeric, F.col("num_min")).otherwise(F.col("text_min")).alias("min_value"), F.when(numeric, F.col("num_max")).otherwise(F.col("text_max")).alias("max_value"))
+    return _typed(vals, ends, {"min_value": F.when(numeric, F.col("num_min")).otherwise(F.col("text_min")), "max_value": F.when(numeric, F.col("num_max")).otherwise(F.col("text_max"))})
 
 
 def profile(staged: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """The field profiles of each job, a row for each field; fields without values are FREE_TEXT."""
     vals = values(staged, sample_rows)
-    typed = types(vals)
     ranked = lambda df: df.groupBy(*FIELD).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x["v"]).alias("vs"))
     top, first = ranked(top_values(vals)).withColumnRenamed("vs", "top_values"), ranked(sample_values(vals)).withColumnRenamed("vs", "sample_values")
     out = null_rates(staged, sample_rows)
-    for part in (typed, extremes(vals, typed), top, first):
+    for part in (types_and_extremes(vals), top, first):
         out = out.join(part, FIELD, "left")
     return out.withColumns({"distinct_count": F.coalesce("distinct_count", F.lit(0)), "inferred_type": F.coalesce("inferred_type", F.lit("FREE_TEXT"))})
 

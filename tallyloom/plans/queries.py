@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, REGISTRY, WEIGHTS
-from tallyloom.functions.lineage import cut, scratch
+from tallyloom.functions.lineage import cut, scratch, written
 from tallyloom.operators import canonical, conflict, evolve, mapping, profiling, quality, reads
 from tallyloom.operators import history as histories
 from tallyloom.operators.catalog import Catalog
@@ -225,8 +225,7 @@ def sample_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vals v join types t on v.source_id = t.source_id and v.job_id = t.job_id and v.field = t.field group by all"""
 )
 def minmax_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vals = _values(spark, sf_dir)
-    return profiling.extremes(vals, profiling.types(vals))
+    return profiling.types_and_extremes(_values(spark, sf_dir)).select(*profiling.FIELD, "min_value", "max_value")
 
 
 _OLD = f"{_CELLS}, {_TYPES}, old as (select source_id, field, inferred_type from types where job_id = 'job-1996'), new as (select source_id, case when field = 'sku' then 'product_sku' else field end as field, inferred_type from types where job_id = 'job-1999' and field <> 'country')"
@@ -341,7 +340,7 @@ def transform_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SALES}, long as ({_LONG}), kept as (select * from long where not extra or value is not null) select {_K}, entity, count(*) filter (where extra) as extras, count(value) filter (where not extra) as columns from kept group by all")
 def additional_attributes_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mapping.entities(mapping.transform_long(demo.sales(spark, sf_dir), _maps(spark)))
+    out = mapping.record_entities(demo.sales(spark, sf_dir), _maps(spark))
     return out.select("source_id", "job_id", "row_number", "entity", F.size("additional_attributes").cast("bigint").alias("extras"), F.size("fields").cast("bigint").alias("columns"))
 
 
@@ -353,7 +352,7 @@ def transform_two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fields with one target: the later in the payload counts, even if it is null."""
     maps = spark.createDataFrame([(s, *m, "AUTO_CONFIRMED") for s in ("store", "web") for m in _TWO], "source_id string, field string, entity string, target string, status string")
     known = {"orders": ["total_amount"], "customers": ["phone"]}
-    out = mapping.entities(mapping.transform_long(demo.sales(spark, sf_dir), maps, known))
+    out = mapping.record_entities(demo.sales(spark, sf_dir), maps, known)
     value = F.coalesce(F.try_element_at("fields", F.lit("total_amount")), F.try_element_at("fields", F.lit("phone")))
     return out.select("source_id", "job_id", "row_number", "entity", value.alias("value"))
 
@@ -1035,7 +1034,7 @@ def stream_valid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unseen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three quarters of the events are staged and in the index, in two windows; of all that come again, those that are new."""
     index = Seen(spark, scratch(spark, "seen"))
-    rows = live.valid(_resolved(spark, sf_dir)).withColumn("event_id", F.col("payload")["event_id"])
+    rows = written(live.valid(_resolved(spark, sf_dir)).select("source_id", "record_hash", F.col("payload")["event_id"].alias("event_id")), "events")
     for batch, part in enumerate(("event_id % 4 < 2", "event_id % 4 <= 2")):
         index.add(index.fresh(rows.where(part), batch), batch)
         if batch == 0:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.lineage import cut
+from tallyloom.functions.lineage import cut, written
 
 KEY = ["source_id", "record_hash"]
 #: Bits of a filter for each key, and how many of them a key sets: about one key in a hundred hits by chance.
@@ -85,7 +85,7 @@ class Seen:
 
     def fresh(self, events: DataFrame, batch: int) -> DataFrame:
         """The first of equal events of a window that no window before it had. Columns of ``events`` stay."""
-        once = cut(events.dropDuplicates(KEY))
+        once = written(events.dropDuplicates(KEY), "once")
         gens = self._gens(batch)
         since = max((g["upto"] for g in gens), default=-1)
         new = once.join(self.recent(batch, since).select(*KEY), KEY, "left_anti")
