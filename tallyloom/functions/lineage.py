@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,8 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: what reads it takes only the columns that it needs."""
+def nothing(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty table of which the planner knows that it is empty, so what is joined with it costs nothing."""
+    columns = StructType.fromDDL(schema)
+    return spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in columns])
+
+
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, with a folder for each value of ``by``: what reads it takes only the columns and
+    folders that it needs."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

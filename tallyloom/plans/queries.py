@@ -361,9 +361,7 @@ def transform_two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _loaded(spark: SparkSession, sf_dir: str, kind: str, entity: canonical.Entity, sources: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     store, found = canonical.empty_store(spark, entity), None
     for s in sources:
-        store, conflicts, _ = canonical.load(demo.records(spark, sf_dir, s, kind), store, entity, demo.trust(spark))
-        store = cut(store)
-        conflicts = cut(conflicts)
+        store, conflicts, _ = canonical.load(demo.records(spark, sf_dir, s, kind), store if found is None else written(store, entity.table), entity, demo.trust(spark))
         found = conflicts if found is None else found.unionByName(conflicts)
     return store, found
 

@@ -189,3 +189,19 @@ def test_entities_within_a_record_need_no_shuffle(spark):
     own = mapping.record_entities(st, maps)
     told = lambda df: sorted((r["row_number"], r["entity"], r["fields"], r["additional_attributes"]) for r in df.collect())
     assert told(own) == told(mapping.entities(mapping.transform_long(st, maps)))
+
+
+def test_conflicts_are_judged_where_the_rows_meet(spark):
+    """One join of the two sides by entity, none by field, and none that sends all conflicts of a source to one task."""
+    sides = [spark.createDataFrame([(str(i), s, "x", str(i % k)) for i in range(20)], "entity_id string, source string, segment string, email string") for s, k in (("A", 2), ("B", 3))]
+    found = conflict.detect("customers", *sides, trust(spark, A="0.9", B="0.6"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3 and plan.count("rightHint=(strategy=broadcast)") == 2
+    assert sorted((int(r["entity_id"]), r["field"], r["value_a"], r["value_b"]) for r in found.collect()) == [(i, "email", str(i % 2), str(i % 3)) for i in range(20) if i % 2 != i % 3]
+
+
+def test_rows_that_share_no_key_have_no_pointers(spark):
+    rows = lambda *p: canonical.keys_of(canonical.typed(recs(spark, "A", p), canonical.CUSTOMERS), canonical.CUSTOMERS)
+    assert canonical.pointers(rows({"email": "a"}, {"email": "b"}, {"name": "n"}), canonical.CUSTOMERS) is None
+    chain = rows({"email": "a"}, {"email": "a", "name": "n", "phone": "1"}, {"name": "n", "phone": "1"}, {"email": "b"})
+    assert sorted((r["row_number"], r["first"]) for r in canonical.pointers(chain, canonical.CUSTOMERS).collect()) == [(2, 1), (3, 1)]
