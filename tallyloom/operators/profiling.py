@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as X
 from tallyloom.functions.fixed import DATE_FORMATS, DATETIME_FORMAT
+from tallyloom.functions.lineage import written
 
 JOB = ["source_id", "job_id"]
 FIELD = [*JOB, "field"]
@@ -30,7 +31,9 @@ def null_rates(staged: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Null rate of each field to four places; a record that lacks the field counts as null."""
     rows = staged if sample_rows is None else staged.where(F.col("row_number") <= sample_rows)
     totals = rows.groupBy(*JOB).agg(F.count(F.lit(1)).alias("total"))
-    present = cells(staged, sample_rows).groupBy(*FIELD).agg(F.count("v").alias("present"), F.min(F.struct("row_number", "pos")).alias("seen"))
+    # by place first, with plain numbers as aggregates, so that the cells are hashed and not sorted
+    placed = cells(staged, sample_rows).groupBy(*FIELD, "pos").agg(F.count("v").alias("some"), F.min("row_number").alias("row_number"))
+    present = placed.groupBy(*FIELD).agg(F.sum("some").alias("present"), F.min(F.struct("row_number", "pos")).alias("seen"))
     nulls = F.col("total") - F.col("present")
     rate = F.round(nulls.cast("decimal(20,0)") / F.col("total").cast("decimal(20,0)"), 4).cast("decimal(5,4)")
     return present.join(totals, JOB).select(*FIELD, "total", nulls.alias("null_count"), rate.alias("null_rate"), (nulls > 0).alias("nullable"), "seen")
@@ -92,8 +95,9 @@ def types_and_extremes(vals: DataFrame) -> DataFrame:
 
 
 def profile(staged: DataFrame, sample_rows: int | None = None) -> DataFrame:
-    """The field profiles of each job, a row for each field; fields without values are FREE_TEXT."""
-    vals = values(staged, sample_rows)
+    """The field profiles of each job, a row for each field; fields without values are FREE_TEXT. The distinct values are counted once and written;
+    types, extremes, frequent and first values come from that table."""
+    vals = written(values(staged, sample_rows), "values")
     ranked = lambda df: df.groupBy(*FIELD).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x["v"]).alias("vs"))
     top, first = ranked(top_values(vals)).withColumnRenamed("vs", "top_values"), ranked(sample_values(vals)).withColumnRenamed("vs", "sample_values")
     out = null_rates(staged, sample_rows)

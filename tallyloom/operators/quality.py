@@ -121,16 +121,17 @@ def user_rule(code: str, dimension: str, severity: str, field: str, expression:
     return Rule(code, dimension, severity, field, ~F.coalesce(F.expr(expression), F.lit(False)), F.lit(f"Rule not met: {expression}"))
 
 
-def judge(staged: DataFrame, as_of: str, extra: list[Rule] | None = None, dimensions: set[str] | None = None) -> DataFrame:
+def judge(staged: DataFrame, as_of: str, extra: list[Rule] | None = None, dimensions: set[str] | None = None, payloads: bool = False) -> DataFrame:
     """keys, record_hash, fired: each record with the rules that it breaks, from one reading of the staged rows. This slim table is
-    written, and issues, counts and totals come from it; payloads are neither read nor hashed again."""
+    written, and issues, counts and totals come from it; payloads are neither read nor hashed again. With ``payloads`` it has them as well, for
+    steps that need them next: a source is then read once."""
     record = Record()
     rules = [*rules_for(record, F.lit(None), F.lit(as_of).cast("date")), *(extra or [])]
     wanted = [(i, r) for i, r in enumerate(rules) if (dimensions is None or r.dimension in dimensions) and r.code != DUPLICATE]
     none = F.array().cast("array<struct<rule_ord:int,rule:string,dimension:string,severity:string,field:string,message:string>>")
     # no higher-order function around the rules: what such a function takes is evaluated without generated code
     fired = F.flatten(F.array(*[F.when(r.condition, F.array(_issue(i, r))).otherwise(none) for i, r in wanted], none))
-    return written(record.laid_out(staged).select(*KEYS, "record_hash", fired.alias("fired")), "judged")
+    return written(record.laid_out(staged).select(*KEYS, "record_hash", *["payload"] * payloads, fired.alias("fired")), "judged")
 
 
 def _issue(i: int, r: Rule) -> Column:
@@ -160,6 +161,11 @@ def rejected(issues: DataFrame) -> DataFrame:
     return critical.select(*KEYS, F.array_join(F.transform("m", lambda x: x["message"]), "; ").alias("reason"))
 
 
+def critical() -> Column:
+    """Whether a judged record breaks a critical rule. Copies and drift, which are found later, are never critical."""
+    return F.exists("fired", lambda i: i["severity"] == "CRITICAL")
+
+
 def accepted(staged: DataFrame, issues: DataFrame) -> DataFrame:
     return staged.join(issues.where("severity = 'CRITICAL'").select(*KEYS).distinct(), KEYS, "left_anti")
 

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.lineage import cut
+from tallyloom.functions.lineage import cut, written
 from tallyloom.operators import canonical, mapping, profiling, quality
 from tallyloom.operators.history import History, after_job
 from tallyloom.operators.versions import Versions
@@ -22,14 +22,13 @@ Lookup = Callable[[DataFrame], DataFrame]
 MAPPINGS = "source_id string, field string, entity string, target string, confidence decimal(3,2), status string"
 
 
-def counters(judged: DataFrame, issues: DataFrame, ids: dict[str, DataFrame], conflicts: list[DataFrame]) -> DataFrame:
+def counters(judged: DataFrame, ids: dict[str, DataFrame], conflicts: list[DataFrame]) -> DataFrame:
     """Of one job: records read, without and with a critical issue, with any canonical row, and conflicts found."""
-    critical = issues.where("severity = 'CRITICAL'").select(*quality.KEYS).distinct().withColumn("_bad", F.lit(True))
     hit = None
     for own in ids.values():
         hit = own.select("row_number") if hit is None else hit.unionByName(own.select("row_number"))
-    marked = judged.select(*quality.KEYS).join(critical, quality.KEYS, "left").join(hit.distinct().withColumn("_loaded", F.lit(True)), "row_number", "left")
-    out = marked.groupBy(*JOB).agg(F.count(F.lit(1)).alias("read_records"), F.count_if(F.col("_bad").isNull()).alias("passed_records"), F.count("_bad").alias("rejected_records"), F.count("_loaded").alias("loaded_records"))
+    marked = judged.select(*quality.KEYS, quality.critical().alias("_bad")).join(hit.distinct().withColumn("_loaded", F.lit(True)), "row_number", "left")
+    out = marked.groupBy(*JOB).agg(F.count(F.lit(1)).alias("read_records"), F.count_if(~F.col("_bad")).alias("passed_records"), F.count_if("_bad").alias("rejected_records"), F.count("_loaded").alias("loaded_records"))
     return out.withColumn("conflicts", F.lit(sum(found.count() for found in conflicts)).cast("long"))
 
 
@@ -43,15 +42,16 @@ def only_job(staged: DataFrame) -> tuple[str, str] | None:
 
 def assess(staged: DataFrame, as_of: str, history: History | None = None, seq: int = 0) -> dict[str, DataFrame]:
     """Profiles, issues and scores of one job of one source. With ``history`` its profiles and schema are recorded as those of job
-    ``seq``, and drift against the jobs before it counts among the issues and in the scores."""
-    job = only_job(staged)
-    profiles = cut(profiling.profile(staged))
-    judged = quality.judge(staged, as_of)
+    ``seq``, and drift against the jobs before it counts among the issues and in the scores. The staged rows are read once: ``judged`` has
+    their payloads too, and the profiles come from there."""
+    judged = quality.judge(staged, as_of, payloads=True)
+    job = only_job(judged)
+    profiles = written(profiling.profile(judged), "profiles")
     issues = quality.issues(judged)
     if history is not None and job is not None:
         issues = issues.unionByName(after_job(history, *job, seq, profiles))
-    issues = cut(issues)
-    return {"profiles": profiles, "judged": judged, "issues": issues, "scores": cut(quality.scores(judged, issues))}
+    issues = written(issues, "issues")
+    return {"profiles": profiles, "judged": judged, "issues": issues, "scores": written(quality.scores(judged, issues), "scores")}
 
 
 def run_job(
@@ -66,15 +66,16 @@ def run_job(
     ``history``: where profiles and schemas of jobs are kept, see ``assess``. ``changed_only``: of the canonical tables only rows that are
     new or changed are given.
     """
-    _, job = only_job(staged) or ("", "")
     done = assess(staged, as_of, history, seq)
     profiles, judged, issues, scores = (done[k] for k in ("profiles", "judged", "issues", "scores"))
+    _, job = only_job(judged) or ("", "")
     fields = profiles.select("source_id", "field", "inferred_type")
     maps = cut(mapping.map_fields(fields, targets, mappings))
-    good = quality.accepted(staged, issues)
-    long = cut(mapping.transform_long(good, maps))
+    good = judged.where(~quality.critical())
+    long = mapping.transform_long(good, maps)
     overall = scores.select(*JOB, F.col("overall").alias("quality_score"))
-    parts = cut(mapping.entities(long).join(overall, JOB).select(F.col("source_id").alias("source"), "row_number", "entity", "fields", "additional_attributes", "quality_score"))
+    parts = mapping.record_entities(good, maps).join(F.broadcast(overall), JOB)
+    parts = written(parts.select(F.col("source_id").alias("source"), "row_number", "entity", "fields", "additional_attributes", "quality_score"), "parts", by=("entity",))
     out = {"profiles": profiles, "mappings": maps, "issues": issues, "scores": scores, "rejected": quality.rejected(issues)}
     ids, lines, conflicts = {}, [], []
 
@@ -86,7 +87,7 @@ def run_job(
         store, found, ids[name] = canonical.load(records, stored, entity, trust, winner, changed_only, job)
         out[entity.table] = store
         if found is not None:
-            out[f"{entity.table}_conflicts"] = cut(found)
+            out[f"{entity.table}_conflicts"] = found
             conflicts.append(out[f"{entity.table}_conflicts"])
         lines.append(canonical.lineage(long, ids[name], name))
 
@@ -98,7 +99,7 @@ def run_job(
     lineage = lines[0]
     for more in lines[1:]:
         lineage = lineage.unionByName(more)
-    return out | {"lineage": lineage, "counters": counters(judged, issues, ids, conflicts)}
+    return out | {"lineage": lineage, "counters": counters(judged, ids, conflicts)}
 
 
 def empty_stores(spark: SparkSession) -> dict[str, DataFrame]:

@@ -459,7 +459,7 @@ def run_job_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     for source in ("store", "web"):
         staged = stage(flat.where(F.col("source_id") == source), list(demo.FIELDS), F.col("source_id"), F.lit("job-1"), F.col("row_number"))
         out = run_job(staged, stores, demo.trust(spark), demo.AS_OF, mapping.registry(spark), maps.where(F.col("source_id") == source))
-        stores = {name: cut(out[name]) for name in stores}
+        stores = {name: written(out[name], name) for name in stores}
         told = out["counters"] if told is None else told.unionByName(out["counters"])
     return told
 

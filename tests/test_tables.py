@@ -5,13 +5,13 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import canonical, history, mapping, profiling, reads
+from tallyloom.operators import canonical, history, mapping, profiling, quality, reads
 from tallyloom.operators.catalog import Catalog
 from tallyloom.operators.history import History, after_job
 from tallyloom.operators.register import SOURCES, Sources
 from tallyloom.operators.summaries import Summaries
 from tallyloom.operators.versions import Versions
-from tallyloom.plans.pipeline import run_job, versioned
+from tallyloom.plans.pipeline import assess, run_job, versioned
 from tallyloom.sources import staging
 from tests.test_quality import payloads
 
@@ -235,3 +235,25 @@ def test_long_workbooks_come_in_chunks(spark, tmp_path):
         assert sorted((r["row_number"], r["record_hash"]) for r in got.collect()) == sorted((r["row_number"], r["record_hash"]) for r in want.collect())
     with pytest.raises(Exception, match="empty"):
         staging.read_excel(spark, book("none.xlsx"), "s", "j").collect()
+
+
+def test_job_reads_its_staged_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    rows = payloads(spark, [{"customer_name": "a", "total_amount": str(i), "sku": None if i % 4 == 0 else "s"} for i in range(20)])
+    done = assess(rows.mapInPandas(counted, rows.schema), "2024-06-01")
+    assert read.value == 20
+    bad = done["issues"].where("severity = 'CRITICAL'").select("row_number").distinct()
+    assert sorted(r[0] for r in bad.collect()) == sorted(r[0] for r in done["judged"].where(quality.critical()).select("row_number").collect())
+    assert done["profiles"].where("field = 'sku'").first()["null_count"] == 5
+
+
+def test_profiles_do_not_sort_the_cells(spark):
+    plan = profiling.null_rates(payloads(spark, [{"a": "1", "b": None}]))._jdf.queryExecution().executedPlan().toString().splitlines()
+    cells = next(i for i, line in enumerate(plan) if "Generate" in line)
+    assert "HashAggregate" in next(line for line in reversed(plan[:cells]) if "Aggregate" in line)
