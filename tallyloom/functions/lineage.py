@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,3 +48,11 @@ def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def in_methods(df: DataFrame, plain: str, *columns: str | Column) -> DataFrame:
+    """``df.select(*columns)`` for many or long expressions. Fused with its neighbours, such a projection becomes one method, and the JVM never compiles a
+    method of more than 8000 bytes. Spark doesn't fuse a projection that has a higher-order function, and splits its code into small methods;
+    so ``plain``, one of the columns, goes through one that leaves it as it is. The expressions themselves must not be inside such a function."""
+    same = F.transform(F.array(plain), lambda x: x)[0].alias(plain)
+    return df.select(*[same if isinstance(c, str) and c == plain else c for c in columns])

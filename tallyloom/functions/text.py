@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +25,16 @@ def trim(value: Column) -> Column:
 
 
 def is_blank(value: Column) -> Column:
-    return value.isNull() | (F.trim(value, F.lit(_SPACE)) == "")
+    # what begins with more than a space is not trimmed to see it
+    return value.isNull() | ((value < "!") & (F.trim(value, F.lit(_SPACE)) == ""))
+
+
+def changed_keys(payload: str, change: Callable[[Column], Column]) -> Column:
+    """The keys of a map, each changed by a function of text that neither makes nor removes line breaks: all at once as one text, and one by one where a key has
+    a line break."""
+    keys = F.map_keys(payload)
+    parts = F.split(change(F.array_join(keys, "\n")), "\n", -1)
+    return F.when(F.size(parts) == F.size(keys), parts).otherwise(F.transform(keys, change))
 
 
 def norm_name(name: Column) -> Column:

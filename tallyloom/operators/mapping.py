@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.fixed import REGISTRY
-from tallyloom.functions.lineage import cut
-from tallyloom.functions.text import is_blank, name_tokens, norm_name
+from tallyloom.functions.lineage import cut, in_methods
+from tallyloom.functions.text import changed_keys, is_blank, name_tokens, norm_name
 
 
 log = logging.getLogger(__name__)
@@ -148,15 +148,27 @@ def entities(long: DataFrame) -> DataFrame:
 
 def record_entities(staged: DataFrame, mappings: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
     """``entities`` of ``transform_long``, made within each staged row: no value of a record is shuffled to meet the others. The mappings of a
-    source, one for each field at most, are a map that is broadcast. Keys of the rows are unique, as staging gives them."""
-    rules = _rules(mappings, known).groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("_key", F.struct("entity", "field", "extra")))).alias("_rules"))
-    rows = staged.select("source_id", "job_id", "row_number", "payload").join(F.broadcast(rules), "source_id")
-    found = F.transform(F.map_entries("payload"), lambda e, i: F.struct(F.try_element_at("_rules", F.lower(e["key"])).alias("rule"), e["value"].alias("value"), i.alias("pos")))
-    found = F.filter(found, lambda c: c["rule"].isNotNull() & (~c["rule"]["extra"] | c["value"].isNotNull()))
-    each = rows.select("source_id", "job_id", "row_number", found.alias("_found")).select("*", F.explode(F.array_distinct(F.transform("_found", lambda c: c["rule"]["entity"]))).alias("entity"))
-    own = F.filter("_found", lambda c: c["rule"]["entity"] == F.col("entity"))
-    cells = F.transform(own, lambda c: F.struct(c["rule"]["field"].alias("field"), c["value"].alias("value"), c["rule"]["extra"].alias("extra"), c["pos"].alias("pos")))
-    return _folded(each.select("source_id", "job_id", "row_number", "entity", cells.alias("cells")))
+    source, one for each field at most, are broadcast, a row for each entity, and look their values up among the record's keys, from the last
+    to the first. Keys of the rows are unique, as staging gives them."""
+    goals = _rules(mappings, known).groupBy("source_id", "entity", "field", "extra").agg(F.sort_array(F.collect_list("_key")).alias("keys"))
+    own = lambda extra: F.sort_array(F.collect_list(F.when(F.col("extra") == extra, F.struct("field", "keys"))))
+    rules = goals.groupBy("source_id", "entity").agg(own(False).alias("c"), own(True).alias("e"))
+    rules = rules.select("source_id", "entity", F.col("c.field").alias("_columns"), F.col("c.keys").alias("_of"), F.flatten("c.keys").alias("_any"), F.col("e.field").alias("_extras"), F.col("e.keys").alias("_of_extras"))
+    lists = (F.reverse(changed_keys("payload", F.lower)).alias("_keys"), F.reverse(F.map_values("payload")).alias("_values"))
+    rows = in_methods(staged, "row_number", "source_id", "job_id", "row_number", *lists).join(F.broadcast(rules), "source_id")
+
+    def last(keys: Column) -> Column:
+        """The value of the last key that is one of these."""
+        several = F.array_min(F.filter(F.transform(keys, lambda k: F.array_position("_keys", k)), lambda p: p > 0))
+        return F.get("_values", (F.when(F.size(keys) == 1, F.array_position("_keys", keys[0])).otherwise(several) - 1).cast("int"))
+
+    def last_said(keys: Column) -> Column:
+        """The last value that is not null of these keys."""
+        return F.get("_values", F.array_min(F.transform("_keys", lambda k, i: F.when(F.array_contains(keys, k) & F.get("_values", i).isNotNull(), i))))
+
+    pairs = lambda fields, of, value: F.map_filter(F.map_from_arrays(fields, F.transform(of, value)), lambda k, v: v.isNotNull())
+    found = rows.withColumn("additional_attributes", pairs("_extras", "_of_extras", last_said)).where(F.arrays_overlap("_keys", "_any") | (F.size("additional_attributes") > 0))
+    return found.select("source_id", "job_id", "row_number", "entity", pairs("_columns", "_of", last).alias("fields"), "additional_attributes")
 
 
 def _folded(gathered: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.fixed import COUNTRIES, CURRENCIES, GRADES, MISSING, PENALTIES, WEIGHTS
-from tallyloom.functions.lineage import written
-from tallyloom.functions.text import first_present, is_blank, is_rule_date, is_rule_email, iso_date, trim
+from tallyloom.functions.lineage import in_methods, written
+from tallyloom.functions.text import changed_keys, is_blank, is_rule_date, is_rule_email, iso_date, trim
 
 KEYS = ["source_id", "job_id", "row_number"]
 DUPLICATE = "UNIQUENESS_DUPLICATE_HASH"
@@ -29,7 +29,7 @@ class Rule:
 
 class Record:
     """The fields of a payload that rules ask for, as columns of their own: ``laid_out`` takes each out of the payload once, however many
-    rules use it."""
+    rules use it. Blank values are null in them, which is tested once for each field and not for each rule."""
 
     def __init__(self) -> None:
         self.plain: dict[str, str] = {}
@@ -43,12 +43,18 @@ class Record:
         return F.col(self.any.setdefault(name, f"_s{len(self.any)}"))
 
     def laid_out(self, staged: DataFrame) -> DataFrame:
-        keys = F.transform(F.map_keys("payload"), lambda k: F.translate(F.lower(k), " -", "__"))
+        keys = changed_keys("payload", lambda k: F.replace(F.replace(F.lower(k), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_")))
         rows = staged.withColumn("_keys", keys) if self.any else staged
         fields = [F.col("payload")[name].alias(c) for name, c in self.plain.items()]
         first = lambda name: F.get(F.map_values("payload"), (F.array_position("_keys", name) - 1).cast("int"))
         spelt = [first(name).alias(c) for name, c in self.any.items()]
-        return rows.select(*staged.columns, *fields, *spelt)
+        some = [F.when(~is_blank(F.col(c)), F.col(c)).alias(c) for c in (*self.plain.values(), *self.any.values())]
+        return in_methods(in_methods(rows, "row_number", *staged.columns, *fields, *spelt), "row_number", *staged.columns, *some)
+
+
+def _first(p: Record, names: list[str]) -> Column:
+    """The first of several fields that is there."""
+    return F.coalesce(*[p[n] for n in names])
 
 
 def _says(*parts: str | Column) -> Column:
@@ -61,14 +67,14 @@ def completeness(p: Record) -> list[Rule]:
         "total_amount": ("COMPLETENESS_TOTAL_AMOUNT", ["total_amount", "Sales", "amount"]),
         "sku": ("COMPLETENESS_SKU", ["sku", "product_sku", "product_code"]),
     }
-    return [Rule(code, "COMPLETENESS", "CRITICAL", f, first_present(p, names).isNull(), F.lit(MISSING.format(f))) for f, (code, names) in needed.items()]
+    return [Rule(code, "COMPLETENESS", "CRITICAL", f, _first(p, names).isNull(), F.lit(MISSING.format(f))) for f, (code, names) in needed.items()]
 
 
 def validity(p: Record) -> list[Rule]:
     rules = []
 
     def add(code: str, field: str, condition: Column, message: Column) -> None:
-        rules.append(Rule(code, "VALIDITY", "HIGH", field, ~is_blank(p[field]) & condition, message))
+        rules.append(Rule(code, "VALIDITY", "HIGH", field, p[field].isNotNull() & condition, message))
 
     for f in ("order_date", "Order Date", "ship_date", "Ship Date"):
         add("VALIDITY_DATE_FORMAT", f, ~is_rule_date(p[f]), _says(f"{f}: '", p[f], "' fits no date format"))
@@ -87,7 +93,7 @@ def uniqueness(copies: Column) -> list[Rule]:
 
 def consistency(p: Record, as_of: Column) -> list[Rule]:
     q, u, t = (p[f].try_cast("double") for f in ("quantity", "unit_price", "line_total"))
-    date = iso_date(first_present(p, ["order_date", "Order Date"]))
+    date = iso_date(_first(p, ["order_date", "Order Date"]))
     return [
         Rule("CONSISTENCY_LINE_TOTAL", "CONSISTENCY", "MEDIUM", "line_total", F.abs(q * u - t) > 0.01, F.format_string("line_total %.4f differs from quantity * unit_price %.4f", t, q * u)),
         Rule("CONSISTENCY_FUTURE_ORDER_DATE", "CONSISTENCY", "MEDIUM", "order_date", date > as_of, _says("Order date ", date.cast("string"), " is in the future")),
@@ -95,7 +101,7 @@ def consistency(p: Record, as_of: Column) -> list[Rule]:
 
 
 def timeliness(p: Record, as_of: Column) -> list[Rule]:
-    date = iso_date(first_present(p, ["order_date", "Order Date", "transaction_date"]))
+    date = iso_date(_first(p, ["order_date", "Order Date", "transaction_date"]))
     return [
         Rule("TIMELINESS_FUTURE_DATE", "TIMELINESS", "MEDIUM", "order_date", date > as_of, _says("Date ", date.cast("string"), " is in the future")),
         Rule("TIMELINESS_STALE_DATE", "TIMELINESS", "MEDIUM", "order_date", date < F.add_months(as_of, -24), _says("Date ", date.cast("string"), " is more than two years old")),
@@ -108,7 +114,7 @@ def accuracy(p: Record) -> list[Rule]:
     for code, names, allowed in (("ACCURACY_INVALID_CURRENCY", ("currency", "currency_code", "curr"), CURRENCIES), ("ACCURACY_INVALID_COUNTRY", ("country", "country_code", "nation"), COUNTRIES)):
         for f in names:
             value = p.spelt(f)
-            rules.append(Rule(code, "ACCURACY", "LOW", f, ~is_blank(value) & ~F.upper(trim(value)).isin(*allowed), _says(f"{f}: '", value, "' is not among the known ones")))
+            rules.append(Rule(code, "ACCURACY", "LOW", f, value.isNotNull() & ~F.upper(trim(value)).isin(*allowed), _says(f"{f}: '", value, "' is not among the known ones")))
     return rules
 
 
@@ -131,7 +137,7 @@ def judge(staged: DataFrame, as_of: str, extra: list[Rule] | None = None, dimens
     none = F.array().cast("array<struct<rule_ord:int,rule:string,dimension:string,severity:string,field:string,message:string>>")
     # no higher-order function around the rules: what such a function takes is evaluated without generated code
     fired = F.flatten(F.array(*[F.when(r.condition, F.array(_issue(i, r))).otherwise(none) for i, r in wanted], none))
-    return written(record.laid_out(staged).select(*KEYS, "record_hash", *["payload"] * payloads, fired.alias("fired")), "judged")
+    return written(in_methods(record.laid_out(staged), "row_number", *KEYS, "record_hash", *["payload"] * payloads, fired.alias("fired")), "judged")
 
 
 def _issue(i: int, r: Rule) -> Column:

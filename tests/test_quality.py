@@ -1,3 +1,5 @@
+import re
+
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -78,3 +80,17 @@ def test_rejects_say_why(spark):
 def test_user_rule(spark):
     rule = quality.user_rule("NEEDS_REF", "VALIDITY", "LOW", "ref", "payload['ref'] is not null")
     assert rules(spark, GOOD, GOOD | {"ref": "1"}, extra=[rule], dimensions={"VALIDITY"}) == Counter(NEEDS_REF=1)
+
+
+def test_no_method_of_the_rules_is_too_large_to_be_compiled(spark, monkeypatch, capsys):
+    seen = []
+    monkeypatch.setattr(quality, "written", lambda df, *_: seen.append(df) or df)
+    quality.judge(payloads(spark, [{"name": "a"}]), "2001-08-01", payloads=True)
+    seen[0].explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert max(sizes, default=0) < 8000
+
+
+def test_keys_in_any_spelling(spark):
+    got = {(r["rule"], r["field"], r["row_number"]) for r in quality.check(payloads(spark, [{"Currency-Code": "XYZ"}, {"a\nb": "1", "CURRENCY code": "XYZ"}, {"curr": " ", "country": "\t"}, {"NATION": " atlantis"}]), "2001-08-01").where("dimension = 'ACCURACY'").collect()}
+    assert got == {("ACCURACY_INVALID_CURRENCY", "currency_code", 1), ("ACCURACY_INVALID_CURRENCY", "currency_code", 2), ("ACCURACY_INVALID_COUNTRY", "nation", 4)}
