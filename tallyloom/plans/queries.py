@@ -622,12 +622,11 @@ def canonical_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     trust = demo.trust(spark)
     orders, _, order_ids = canonical.load(demo.records(spark, sf_dir, "store", "orders"), canonical.empty_store(spark, canonical.ORDERS), canonical.ORDERS, trust)
     products, _, product_ids = canonical.load(demo.records(spark, sf_dir, "store", "products"), canonical.empty_store(spark, canonical.PRODUCTS), canonical.PRODUCTS, trust)
-    recs = lines.select(F.lit("store").alias("source"), "l_orderkey", "l_partkey", F.create_map(F.lit("quantity"), F.col("l_quantity").cast("int").cast("string")).alias("fields"))
-    o = order_ids.select(F.col("row_number").alias("l_orderkey"), F.col("entity_id").alias("order_id"))
-    p = product_ids.select(F.col("row_number").alias("l_partkey"), F.col("entity_id").alias("product_id"))
-    items = recs.join(o, "l_orderkey").join(p, "l_partkey")
-    named = items.join(orders.select(F.col("entity_id").alias("order_id"), "ref"), "order_id").join(products.select(F.col("entity_id").alias("product_id"), "sku"), "product_id")
-    return named.groupBy("ref", "sku", F.try_element_at("fields", F.lit("quantity")).cast("int").alias("quantity")).agg(F.count(F.lit(1)).alias("n"))
+    # what the result has of an order and of a product meets its record's number first: lines are moved with numbers and short texts, not with ids
+    recs = lines.select("l_orderkey", "l_partkey", F.col("l_quantity").cast("int").alias("quantity"))
+    o = order_ids.select(F.col("row_number").alias("l_orderkey"), "entity_id").join(orders.select("entity_id", "ref"), "entity_id").select("l_orderkey", "ref")
+    p = product_ids.select(F.col("row_number").alias("l_partkey"), "entity_id").join(products.select("entity_id", "sku"), "entity_id").select("l_partkey", "sku")
+    return recs.join(p, "l_partkey").join(o, "l_orderkey").groupBy("ref", "sku", "quantity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_C} select w.k as row_number, s.k as stored from w join s on w.k = s.k")

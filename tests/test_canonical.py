@@ -3,6 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from tallyloom.operators import canonical, conflict, evolve, mapping, reads
+from tallyloom.plans.queries import QUERIES
+from tests.conftest import SF
 from tests.test_quality import payloads
 
 
@@ -205,3 +207,15 @@ def test_rows_that_share_no_key_have_no_pointers(spark):
     assert canonical.pointers(rows({"email": "a"}, {"email": "b"}, {"name": "n"}), canonical.CUSTOMERS) is None
     chain = rows({"email": "a"}, {"email": "a", "name": "n", "phone": "1"}, {"name": "n", "phone": "1"}, {"email": "b"})
     assert sorted((r["row_number"], r["first"]) for r in canonical.pointers(chain, canonical.CUSTOMERS).collect()) == [(2, 1), (3, 1)]
+
+
+def test_orders_of_one_day_and_total_with_unlike_references_need_no_merge(spark):
+    at = {"order_date": "2024-01-02", "total_amount": "5.00"}
+    rows = canonical.keys_of(canonical.typed(recs(spark, "A", [at | {"external_ref": str(i)} for i in range(3)]), canonical.ORDERS), canonical.ORDERS)
+    assert canonical.pointers(rows, canonical.ORDERS) is None
+
+
+def test_lines_are_not_moved_with_ids(spark):
+    plan = QUERIES["canonical_line_items"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "quantity#" in line or "fields#" in line]
+    assert lines and not any(f"{name}_id#" in line for line in lines for name in ("entity", "order", "product"))
